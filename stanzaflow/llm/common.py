@@ -42,3 +42,10 @@ def words(text: Column) -> Column:
 def wide(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small(batches, rows: int = 256):
+    """Arrow batches cut into slices, so that few texts exist as Python objects at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)

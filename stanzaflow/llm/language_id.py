@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small
+
 WINDOW, HIDDEN, LANES = 48, 8, 2048
 PER_LANGUAGE, PIECES = 800, 6
 STEPS, BATCH, RATE = 400, 256, 0.02
@@ -186,7 +188,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
 
 def _predict(model: dict, batch_chars: int = 4_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2048):
             texts, best = b.column("_text").to_pylist(), [(NONE, 0.0)] * b.num_rows
             todo = [i for i, t in enumerate(texts) if t is not None]
             while todo:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, wide
+from .common import small, stored, wide
 
 COORDS, BLOCK, MARGIN = 128, 256, 0.16
 #: threshold in hundredths -> (bands, rows)
@@ -87,7 +87,7 @@ def _sketches(k: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for b in batches:
+        for b in small(batches):
             n, node, low, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, k)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 # --- fixed values of the rules: kind, pattern, flags, group measured, least length of it ---
 BASE_RULES = (
@@ -58,7 +58,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
+    for b in small(batches):
         out = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array([RULE_VERSION] * b.num_rows), pa.array(out, kind)], ["blob", "rule_version", "findings"])
 
