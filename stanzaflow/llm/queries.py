@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, packing, quality_rules, secret_scans, sharding
+from . import html_text, language_id, near_dedup, nearest, packing, quality_rules, secret_scans, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_sharding, op4_packing, op8_quality_rules, op9_secret_scans, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_sharding, op4_packing, op6_html_text, op7_nearest, op8_quality_rules, op9_secret_scans, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
