@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
-from .machine import BY_LINE
+from .machine import by_line
 
 
 def canon(spark: SparkSession) -> DataFrame:
@@ -25,7 +25,7 @@ def canonical_name(name: str | None) -> str | None:
 def with_book(events: DataFrame) -> DataFrame:
     """Adds blob (the ten non-blank lines before), book_start and book (carried forward)."""
     s = F.col("stripped")
-    e = events.withColumn("blob", F.concat_ws(" ", F.collect_list("stripped").over(BY_LINE.rowsBetween(-10, -1))))
+    e = events.withColumn("blob", F.concat_ws(" ", F.collect_list("stripped").over(by_line().rowsBetween(-10, -1))))
     by_book: dict[str, list[str]] = {}
     for line, book in R.triggers().items():
         by_book.setdefault(book, []).append(line)
@@ -33,15 +33,15 @@ def with_book(events: DataFrame) -> DataFrame:
     for line, only_before, part, book in R.AMBIGUOUS:
         start = start.when((s == line) & ((F.col("prev") == part) if only_before else F.contains(F.col("blob"), F.lit(part))), book)
     e = e.withColumn("book_start", start)
-    carried = F.last("book_start", ignorenulls=True).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last("book_start", ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     return e.withColumn("book", F.coalesce(carried, F.lit(R.FRONT)))
 
 
 def with_chapter(booked: DataFrame) -> DataFrame:
     """Adds chapter (as the counting rules have it) and chapter_exact (split verse numbers do not count as chapters)."""
     s = F.col("stripped")
-    changed = F.coalesce((F.col("book") != F.lag("book").over(BY_LINE)).cast("int"), F.lit(0))
-    e = booked.withColumn("changed", changed).withColumn("book_run", F.sum("changed").over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.coalesce((F.col("book") != F.lag("book").over(by_line())).cast("int"), F.lit(0))
+    e = booked.withColumn("changed", changed).withColumn("book_run", F.sum("changed").over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     title = F.when(F.col("kind") == "psalm_title", F.expr("try_cast(substring(stripped, 7) as bigint)"))
     number = F.expr("try_cast(stripped as bigint)")
     psalms = F.col("book") == "Psalms"

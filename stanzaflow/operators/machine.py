@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import rules as R
 from ..functions import text as T
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("lineno")
+def by_line() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("lineno")
 
 
 def features(lines: DataFrame) -> DataFrame:
@@ -32,16 +33,16 @@ def features(lines: DataFrame) -> DataFrame:
 def events(lines: DataFrame) -> DataFrame:
     """One row per non-blank line: kind, the ten counters, and the neighbours that reports show."""
     f = features(lines)
-    before = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
-    upto = BY_LINE.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_line().rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_line().rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumns({
-        "has_next": F.lead("stripped").over(BY_LINE).isNotNull(), "next_opens": F.coalesce(F.lead("opens_next").over(BY_LINE), F.lit(True)), "next_sets": F.coalesce(F.lead(F.col("stanza") | F.col("title")).over(BY_LINE), F.lit(False)),
-        "prev_raw": F.lag("raw").over(BY_LINE), "next_raw": F.lead("raw").over(BY_LINE), "prev": F.lag("stripped").over(BY_LINE), "next": F.lead("stripped").over(BY_LINE),
+        "has_next": F.lead("stripped").over(by_line()).isNotNull(), "next_opens": F.coalesce(F.lead("opens_next").over(by_line()), F.lit(True)), "next_sets": F.coalesce(F.lead(F.col("stanza") | F.col("title")).over(by_line()), F.lit(False)),
+        "prev_raw": F.lag("raw").over(by_line()), "next_raw": F.lead("raw").over(by_line()), "prev": F.lag("stripped").over(by_line()), "next": F.lead("stripped").over(by_line()),
         "run": F.sum(F.when(F.col("digits"), 0).otherwise(1)).over(upto),
     })
     in_run = Window.partitionBy("doc_id", "run").orderBy("lineno")
     f = f.withColumn("pos", F.when(F.col("digits"), F.sum(F.col("digits").cast("int")).over(in_run.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))
-    last_pos = F.coalesce(F.lag("pos").over(BY_LINE), F.lit(0))
+    last_pos = F.coalesce(F.lag("pos").over(by_line()), F.lit(0))
     f = f.withColumn("after_even", ~F.col("digits") & (last_pos > 0) & (last_pos % 2 == 0))
     sets = F.col("stanza") | F.col("title")
     f = f.withColumn(
@@ -50,7 +51,7 @@ def events(lines: DataFrame) -> DataFrame:
         .when(F.col("digits") & (F.col("pos") % 2 == 0) & F.col("next_sets"), F.lit(None).cast("boolean")).when(F.col("next_opens"), False),
     )
     f = f.withColumn("waiting", F.coalesce(F.last("turn", ignorenulls=True).over(before), F.lit(False)))
-    f = f.withColumn("was_waiting", F.coalesce(F.lag("waiting").over(BY_LINE), F.lit(False)))
+    f = f.withColumn("was_waiting", F.coalesce(F.lag("waiting").over(by_line()), F.lit(False)))
     wait, dig = F.col("waiting"), F.col("digits")
     consumed = F.when(dig, ~wait & (F.col("pos") >= 3) & (F.col("pos") % 2 == 1)).otherwise(F.col("after_even") & ~F.col("was_waiting"))
     kind = (

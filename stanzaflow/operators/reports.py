@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
-from .machine import BY_LINE
+from .machine import by_line
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -76,5 +76,5 @@ def psalm_heading_total(events: DataFrame) -> DataFrame:
 
 def psalm_debug(events: DataFrame) -> DataFrame:
     """Each `PSALM n` line with the next two non-blank lines and their categories."""
-    cols = {f"{c}_{k}": F.lead(c, k).over(BY_LINE) for k in (1, 2) for c in ("lineno", "stripped", "category")}
+    cols = {f"{c}_{k}": F.lead(c, k).over(by_line()) for k in (1, 2) for c in ("lineno", "stripped", "category")}
     return events.withColumns(cols).where(T.is_psalm_title(F.col("stripped"))).select("doc_id", "lineno", "stripped", "category", *cols)
