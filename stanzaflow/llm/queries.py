@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, near_dedup, nearest, packing, quality_rules, secret_scans, sharding
+from . import html_text, language_id, near_dedup, nearest, packing, quality_rules, resampling, secret_scans, sentence_pieces, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"), 3, 85)
 
@@ -25,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op5_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -53,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_sharding, op4_packing, op6_html_text, op7_nearest, op8_quality_rules, op9_secret_scans, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_near_dedup, op3_sharding, op4_packing, op5_resampling, op6_html_text, op7_nearest, op8_quality_rules, op9_secret_scans, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
