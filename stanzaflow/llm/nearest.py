@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import small, stored, wide
 
-SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK = 20_000, 400, 8, 200, 0.97, 2_000
+SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, HELD = 20_000, 400, 8, 200, 0.97, 2_000, 100_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -117,6 +117,17 @@ def _best(q, qn, qu, q_id, x, n, u, ids, k: int) -> list[tuple[int, int, float]]
     return out
 
 
+def _combined(pairs: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
+    """Each query's k best pairs."""
+    out, last, n = [], None, 0
+    for p in sorted(pairs, key=lambda p: (p[0], -p[2], p[1])):
+        n = n + 1 if p[0] == last else 1
+        last = p[0]
+        if n <= k:
+            out.append(p)
+    return out
+
+
 PAIRS = "query_id long, vec_id long, score double"
 
 
@@ -191,11 +202,18 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .near_dedup import _groups
 
+        held: list[tuple[int, int, float]] = []  # combined inside the task: a query's k best of all leaves seen here
         for g in _groups(batches, ["leaf", "block"]):
             asks = g.column("query").to_numpy()
             if asks.any() and not asks.all():
                 x, n, u = _unit(g.column("embedding"))
                 ids = g.column("vec_id").to_numpy()
-                yield _pairs(_best(x[asks], n[asks], u[asks], ids[asks], x[~asks], n[~asks], u[~asks], ids[~asks], k))
+                held += _best(x[asks], n[asks], u[asks], ids[asks], x[~asks], n[~asks], u[~asks], ids[~asks], k)
+                if len(held) > HELD:
+                    held = _combined(held, k)
+                    if len(held) > HELD // 2:
+                        yield _pairs(held)
+                        held = []
+        yield _pairs(_combined(held, k))
 
     return _ranked(met.mapInArrow(meet, PAIRS), k).select("query_id", "rank", "vec_id", "score")
