@@ -1,4 +1,4 @@
-"""Times headline queries: median seconds of three runs after one warm-up. Prints one JSON line."""
+"""Times headline queries: median seconds of two runs after one warm-up. Prints one JSON line."""
 
 import json
 import os
@@ -27,7 +27,7 @@ def main() -> None:
     queries, took = catalog.queries(), {}
     for name in HEADLINE:
         runs = []
-        for _ in range(4):
+        for _ in range(3):
             t = time.time()
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - t)
