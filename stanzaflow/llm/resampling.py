@@ -53,7 +53,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
     """doc_id, n_features, log_ratio, noisy, selected of every row; ceil(share * rows) are selected."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_good")).distinct()
     rows = docs.select("doc_id", "text")
-    target = hashed(rows.join(good, rows["doc_id"] == good["_good"], "left_semi").select("doc_id", "text"))
+    # merged at every size: a label table small enough to broadcast today is not so tomorrow
+    target = hashed(rows.join(good.hint("merge"), rows["doc_id"] == good["_good"], "left_semi").select("doc_id", "text"))
     raw = hashed(rows)
     both = raw.select("f", F.lit(False).alias("target")).unionByName(target.select("f", F.lit(True).alias("target")))
     weights = log_ratios_of(both)
