@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import small
 
 WINDOW, HIDDEN, LANES = 48, 8, 2048
-PER_LANGUAGE, PIECES = 800, 6
+PER_LANGUAGE, PIECES, SALTS = 800, 6, 8
 STEPS, BATCH, RATE = 400, 256, 0.02
 NONE = "und"
 
@@ -181,6 +181,9 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     at = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("doc_id")))
     cut = known.select("lang", F.xxhash64("doc_id", F.lit("sample")).alias("h"), F.array(*[F.substring("text", at(k), WINDOW) for k in range(PIECES)]).alias("cuts"))
+    # first in each of SALTS parts of a language, so that no task ranks a whole language
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "cuts")
+    cut = cut.withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language)
     top = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "cuts"))).where(F.col("r") <= per_language)
     rows = top.select("lang", "cuts").orderBy("lang", "r").collect()
     return [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cuts"] if c]
