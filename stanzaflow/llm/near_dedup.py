@@ -5,12 +5,11 @@
    COORDS rounds send all shingles to one bin each, so every coordinate is filled for any set that isn't empty, and
    most sets need one or two rounds.
 2. Equal sets collapse to one node (a 64-bit hash of the whole set).
-3. Banding: each node has one key per band of coordinates. Buckets with two nodes or more are cut into blocks of at
-   most about `BLOCK` nodes (pairs of blocks where a bucket is larger), and each block pair gives a spanning forest of the pairs whose sketches
-   agree enough: at most one edge fewer than it has nodes, never all pairs. `MARGIN` below the threshold is over four standard
-   deviations of the estimate, so nothing that may be linked is cut.
-4. Components of these edges are candidate groups. Each group's texts come together once (again in block pairs where a
-   group is large) and every pair in them is settled on full shingle sets; verified links leave as a spanning forest.
+3. Banding: each node has one key per band of coordinates. Buckets with two nodes or more are compared in blocks (see `grouped`), and each
+   block gives a spanning forest of the pairs whose sketches agree enough: at most one edge fewer than it has nodes, never
+   all pairs. `MARGIN` below the threshold is over four standard deviations of the estimate, so nothing that may be linked is cut.
+4. Components of these edges are candidate groups. Each group's texts come together in blocks likewise, and every pair
+   that isn't connected yet is settled on full shingle sets; verified links leave as a spanning forest.
 5. Components of verified links, by alternating large-star and small-star steps on tables, give the result.
 
 A link at the threshold is missed if no band agrees: 4e-7 for similarity 0.85 (25 bands of 5), 5e-8 for 0.8 (32 of 4).
@@ -23,7 +22,7 @@ used whole. Extra columns are ignored by `components` and kept by `deduplicated`
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small, stored, wide
 
-COORDS, BLOCK, MARGIN = 128, 256, 0.16
+COORDS, BLOCK, HUBS, MARGIN = 128, 256, 8, 0.16
 #: threshold in hundredths -> (bands, rows)
 BANDS = {85: (25, 5), 80: (32, 4)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,7 +151,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _alike(least: float):
-    """Bucket block pairs -> spanning forest of the pairs whose sketches agree in at least that share of coordinates."""
+    """Blocks of buckets -> spanning forest of the pairs whose sketches agree in at least that share of coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], None] = {}
@@ -175,7 +174,7 @@ def _alike(least: float):
 
 
 def _verified(k: int, num: int):
-    """Group block pairs with texts -> forest of the pairs with 100 * intersection >= num * union on full sets."""
+    """Blocks of groups with texts -> forest of the pairs with 100 * intersection >= num * union on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -209,15 +208,46 @@ def _verified(k: int, num: int):
     return run
 
 
-def in_blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
-    """Each row of a key with B blocks once per pair of blocks that its own is in: (i, j), i <= j. One block: once."""
-    own = F.pmod(F.xxhash64("node"), F.col("_b"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1), lambda o: F.struct(F.least(o, F.col("_own")).alias("i"), F.greatest(o, F.col("_own")).alias("j"))))
-    cut = rows.withColumn("_b", blocks.cast("long")).withColumn("_own", own).withColumn("_p", pair)
-    cut = cut.select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_b", "_own", "_p")
+def _dealt(rows: DataFrame, key: str, pairs) -> DataFrame:
+    """Each row once per pair (i, j) of the array `pairs`, gathered by key and pair."""
+    cut = rows.withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p")
     return cut.repartition(wide(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
 
 
+def _at(i, j):
+    return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+
+
+def _upto(n):
+    return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+
+
+def grouped(rows: DataFrame, key: str, attach: Callable[[DataFrame], DataFrame], compare) -> DataFrame:
+    """(node, comp) by the links that compare finds between rows of a key. rows: key, node, n (rows of the key); attach adds what compare reads.
+
+    First each block of about `BLOCK` rows is compared inside, together with about `HUBS` rows of its key that visit all its blocks, so
+    a large group of near copies becomes one component at the cost of its rows. Then only the rows outside the largest component of
+    their key are left, and meet all rows of the key in pairs of blocks: every pair is compared, or already connected.
+    """
+    n, own = F.col("n"), F.xxhash64("node")
+    blocks = F.ceil(n / BLOCK)
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(n / HUBS)) == 0
+    visits = F.when((blocks > 1) & hub, _upto(blocks)).otherwise(F.array(F.pmod(own, blocks)))
+    first = _dealt(attach(rows), key, F.transform(visits, lambda i: _at(i, i)))
+    comps = connected(first.mapInArrow(compare, "a long, b long"))
+    parts = rows.where(n > BLOCK).join(comps.withColumnRenamed("comp", "_c"), "node", "left").select(key, "node", "n", F.coalesce("_c", "node").alias("part"))
+    main = parts.groupBy(key, "part").agg(F.count("*").alias("size")).groupBy(key).agg(F.max(F.struct("size", "part")).alias("_m"))
+    rest = parts.join(main, key).withColumn("_rest", F.ceil((n - F.col("_m.size")) / BLOCK)).where("_rest > 0")
+    rest = stored(rest.select(key, "node", "n", "_rest", (F.col("part") != F.col("_m.part")).alias("_out")), "rest")
+    if rest.isEmpty():
+        return comps
+    i, j = F.pmod(own, F.col("_rest")), F.pmod(own, blocks)
+    seen = F.transform(_upto(F.col("_rest")), lambda x: _at(x, j))
+    pairs = F.when(F.col("_out"), F.array_union(seen, F.transform(_upto(blocks), lambda x: _at(i, x)))).otherwise(seen)
+    more = _dealt(attach(rest), key, pairs).mapInArrow(compare, "a long, b long")
+    return connected(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the smallest node reachable. Large-star and small-star steps until nothing changes."""
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -245,17 +275,16 @@ def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
     # One row a node, its least doc_id with its sketch (ties: any, they carry the same one); copies collapse before the shuffle.
     rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "low", "keys")).alias("r"))
     rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), F.col("r.low").alias("low"), F.col("r.keys").alias("keys")), "nodes")
-    nodes = rep.select("node", "low", F.explode(F.array_distinct("keys")).alias("key"))
+    nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
-    crowd = nodes.join(sizes.where("n > 1"), "key")
-    cand = in_blocks(crowd.select("key", "node", "low", "n"), "key", F.ceil(F.col("n") / BLOCK)).drop("n")
-    edges = cand.mapInArrow(_alike(num / 100 - MARGIN), "a long, b long")
-    comps = stored(connected(edges), "candidates")
+    crowd = stored(nodes.join(sizes.where("n > 1"), "key").select("key", "node", "n"), "crowd")
+    low = rep.select("node", "low")
+    comps = stored(grouped(crowd, "key", lambda d: d.join(low, "node"), _alike(num / 100 - MARGIN)), "candidates")
     stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    member = comps.join(stats, "comp").join(rep.select("node", "rep"), "node").join(texts, "rep").select("comp", "node", "n", "text")
-    group = in_blocks(member, "comp", F.ceil(F.col("n") / BLOCK)).drop("n")
-    return made.select("doc_id", "n_shingles", "node"), stored(connected(group.select("comp", "i", "j", "node", "text").mapInArrow(_verified(k, num), "a long, b long")), "linked")
+    member = stored(comps.join(stats, "comp").select("comp", "node", "n"), "members")
+    with_text = lambda d: d.join(rep.select("node", "rep"), "node").join(texts, "rep")
+    return made.select("doc_id", "n_shingles", "node"), stored(grouped(member, "comp", with_text, _verified(k, num)), "linked")
 
 
 def components(docs: DataFrame, k: int = 3, num: int = 85) -> DataFrame:

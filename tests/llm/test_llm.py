@@ -264,6 +264,21 @@ def test_nearest_edges(spark):
     assert nearest.search(t.where("false"), t.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block, hubs", [(8, 2), (6, 1)])
+def test_large_groups_in_blocks(spark, monkeypatch, block, hubs):
+    """Chains whose ends are far apart, and a crowd of near copies, in groups of many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HUBS", hubs)
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    line = [word() for _ in range(100 + 4 * 45)]
+    rows = [(i, " ".join(line[4 * i : 4 * i + 100])) for i in range(45)]
+    base = [word() for _ in range(120)]
+    rows += [(100 + i, " ".join(base[: 2 * i] + [word()] + base[2 * i + 1 :])) for i in range(50)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == sorted(brute_components(rows, 3, 85))
+
+
 def test_resampling(spark, edges, docs, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = resampling.resample(docs, labels, 0.5).collect()
