@@ -283,7 +283,8 @@ def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
     stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     member = stored(comps.join(stats, "comp").select("comp", "node", "n"), "members")
-    with_text = lambda d: d.join(rep.select("node", "rep"), "node").join(texts, "rep")
+    # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
+    with_text = lambda d: d.join(rep.select("node", "rep"), "node").join(texts.hint("merge"), "rep")
     return made.select("doc_id", "n_shingles", "node"), stored(grouped(member, "comp", with_text, _verified(k, num)), "linked")
 
 
