@@ -22,7 +22,7 @@ used whole. Extra columns are ignored by `components` and kept by `deduplicated`
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,8 +222,9 @@ def _upto(n):
     return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
 
 
-def grouped(rows: DataFrame, key: str, attach: Callable[[DataFrame], DataFrame], compare) -> DataFrame:
-    """(node, comp) by the links that compare finds between rows of a key. rows: key, node, n (rows of the key); attach adds what compare reads.
+def grouped(rows: DataFrame, key: str, compare) -> DataFrame:
+    """(node, comp) by the links that compare finds between rows of a key. rows: key, node, n (nodes of the key) and what
+    compare reads; stored, as they are read again where a large group is left open.
 
     First each block of about `BLOCK` rows is compared inside, together with about `HUBS` rows of its key that visit all its blocks, so
     a large group of near copies becomes one component at the cost of its rows. Then only the rows outside the largest component of
@@ -233,18 +234,18 @@ def grouped(rows: DataFrame, key: str, attach: Callable[[DataFrame], DataFrame],
     blocks = F.ceil(n / BLOCK)
     hub = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(n / HUBS)) == 0
     visits = F.when((blocks > 1) & hub, _upto(blocks)).otherwise(F.array(F.pmod(own, blocks)))
-    first = _dealt(attach(rows), key, F.transform(visits, lambda i: _at(i, i)))
+    first = _dealt(rows, key, F.transform(visits, lambda i: _at(i, i)))
     comps = connected(first.mapInArrow(compare, "a long, b long"))
-    parts = rows.where(n > BLOCK).join(comps.withColumnRenamed("comp", "_c"), "node", "left").select(key, "node", "n", F.coalesce("_c", "node").alias("part"))
+    parts = rows.where(n > BLOCK).select(key, "node", "n").distinct().join(comps.withColumnRenamed("comp", "_c"), "node", "left").select(key, "node", "n", F.coalesce("_c", "node").alias("part"))
     main = parts.groupBy(key, "part").agg(F.count("*").alias("size")).groupBy(key).agg(F.max(F.struct("size", "part")).alias("_m"))
     rest = parts.join(main, key).withColumn("_rest", F.ceil((n - F.col("_m.size")) / BLOCK)).where("_rest > 0")
-    rest = stored(rest.select(key, "node", "n", "_rest", (F.col("part") != F.col("_m.part")).alias("_out")), "rest")
+    rest = stored(rest.select(key, "node", "_rest", (F.col("part") != F.col("_m.part")).alias("_out")), "rest")
     if rest.isEmpty():
         return comps
     i, j = F.pmod(own, F.col("_rest")), F.pmod(own, blocks)
     seen = F.transform(_upto(F.col("_rest")), lambda x: _at(x, j))
     pairs = F.when(F.col("_out"), F.array_union(seen, F.transform(_upto(blocks), lambda x: _at(i, x)))).otherwise(seen)
-    more = _dealt(attach(rest), key, pairs).mapInArrow(compare, "a long, b long")
+    more = _dealt(rows.where(n > BLOCK).join(rest, [key, "node"]), key, pairs).mapInArrow(compare, "a long, b long")
     return connected(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
@@ -277,15 +278,14 @@ def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
     rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), F.col("r.low").alias("low"), F.col("r.keys").alias("keys")), "nodes")
     nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
-    crowd = stored(nodes.join(sizes.where("n > 1"), "key").select("key", "node", "n"), "crowd")
-    low = rep.select("node", "low")
-    comps = stored(grouped(crowd, "key", lambda d: d.join(low, "node"), _alike(num / 100 - MARGIN)), "candidates")
+    crowd = nodes.join(sizes.where("n > 1"), "key").join(rep.select("node", "low"), "node")
+    comps = stored(grouped(stored(crowd.select("key", "node", "n", "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
     stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    member = stored(comps.join(stats, "comp").select("comp", "node", "n"), "members")
     # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
-    with_text = lambda d: d.join(rep.select("node", "rep"), "node").join(texts.hint("merge"), "rep")
-    return made.select("doc_id", "n_shingles", "node"), stored(grouped(member, "comp", with_text, _verified(k, num)), "linked")
+    member = comps.join(stats, "comp").join(rep.select("node", "rep"), "node").join(texts.hint("merge"), "rep")
+    member = stored(member.select("comp", "node", "n", "text"), "members")
+    return made.select("doc_id", "n_shingles", "node"), stored(grouped(member, "comp", _verified(k, num)), "linked")
 
 
 def components(docs: DataFrame, k: int = 3, num: int = 85) -> DataFrame:
