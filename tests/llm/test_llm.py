@@ -314,3 +314,22 @@ def test_pipeline(spark, tmp_path):
     assert ids <= {c[0] for c in comp if c[0] == c[2]}
     ordered = {s: k for k, (s, _) in enumerate(corpus_pipeline.STAGES)}
     assert list(ordered) == ["quality_rules", "language_id", "near_dedup", "secret_scans", "best_fit_packing"]
+
+
+def test_lattice_against_library():
+    """Ids of odd, random and long words, byte pieces and ties included, and across a cleared word cache."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", None, "  a  b ", "▁x▁▁y", "日本語 テキスト", "a" * 40, "é" * 30, "x" * 200, " " * 70, "😀😀 ÿ\n\t"]
+    texts += ["".join(rng.choice("abe ▁é日\n") for _ in range(400)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    p = sentence_pieces.processor(SP)
+    want = [p.encode(t) if t else [] for t in texts]
+    kept = sentence_pieces.KNOWN_WORDS
+    try:
+        for sentence_pieces.KNOWN_WORDS in (kept, 1):
+            got = [np.frombuffer(x, "<i4").tolist() for _, ids in sentence_pieces._texts(iter([batch, batch]), SP) for x in ids]
+            assert got == want * 2
+    finally:
+        sentence_pieces.KNOWN_WORDS = kept
