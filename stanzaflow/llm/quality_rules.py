@@ -4,7 +4,9 @@ Each document gets integer metrics. Per language and source, a mergeable sketch
 high-dynamic-range histogram, whose bucket of x keeps the seven leading bits of x, so a quantile is off by at most
 1/64 of itself, at most some 3,600 buckets exist for any bigint, and two sketches merge by adding counts. Partial aggregation
 merges them inside each task before anything is shuffled, so a hot source costs one row per bucket and task. A
-document passes if each metric lies within fences read off the sketch of its group (quartile +/- spread).
+document passes if each metric lies within fences read off the sketch of its group: the 90th percentile plus `FENCE` times its
+distance from the median, and the 10th less likewise. No constant stands for the spread; the only tolerance is the metric's
+resolution, what one occurrence more changes in this very document, and the width of the sketch's bucket.
 
 Cases: null text counts as empty (all zeros, fails the base rule). Null lang or source form groups of their own.
 Groups with fewer than `min_group` documents use the merged sketch of their language, and small languages the merged
@@ -22,9 +24,13 @@ from pyspark.sql.window import Window
 
 from .common import SPACES, stored, words
 
-#: metric -> least half-width of the fence beyond the quartile, in the metric's unit.
-SLACK = {"symbol_pm": 60, "bang_pm": 150, "dup_line_pm": 400, "repeat_pm": 250, "upper_pm": 200, "word_len_c": 200}
-FENCE = 3  # spreads (q3 - q1) beyond a quartile
+WINDOW = 3  # words of a repeat
+#: metric -> its numerator for one occurrence (a repeat is two windows) and the column it is a share of: together its resolution in a document.
+STEPS = {
+    "symbol_pm": (1000, "n_words"), "bang_pm": (1000, "n_words"), "dup_line_pm": (1000, "n_lines"), "repeat_pm": (2 * WINDOW * 1000, "n_words"),
+    "upper_pm": (1000, "word_chars"), "word_len_c": (100, "n_words"),
+}
+FENCE = 3  # distances from the median beyond the outer tenths
 MIN_GROUP = 200
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,7 +40,7 @@ def _removed(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def document_metrics(docs: DataFrame, window: int = 3) -> DataFrame:
+def document_metrics(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc rows (all columns under `doc`) with the base counts and the metrics, in one pass without a shuffle."""
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
@@ -63,18 +69,18 @@ def document_metrics(docs: DataFrame, window: int = 3) -> DataFrame:
         lambda a: a["n"],
     )
     n, chars = F.col("n_words"), F.col("word_chars")
-    n_lines = F.greatest(F.size("lines"), F.lit(1))
     per_mille = lambda x, of: F.floor(x * 1000 / of).cast("long")
     positive = F.greatest(n, F.lit(1))
     return (
         base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
         .withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
         .withColumn("n_symbols", _removed(text, SYMBOLS).cast("long"))
+        .withColumn("n_lines", F.greatest(F.size("lines"), F.lit(1)).cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
         .withColumn("symbol_pm", per_mille(F.col("n_symbols"), positive))
         .withColumn("bang_pm", per_mille(_removed(text, "!"), positive))
-        .withColumn("dup_line_pm", per_mille(F.col("n_dup_lines"), n_lines))
+        .withColumn("dup_line_pm", per_mille(F.col("n_dup_lines"), F.col("n_lines")))
         .withColumn("repeat_pm", per_mille(F.col("n_repeat_words"), positive))
         .withColumn("upper_pm", per_mille(_removed(text, UPPER), F.greatest(chars, F.lit(1))))
         .withColumn("word_len_c", F.floor(chars * 100 / positive).cast("long"))
@@ -88,18 +94,18 @@ def sketch_bucket(x: Column) -> Column:
     return F.when(x < 128, x).otherwise(F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop))
 
 
-def adaptive_thresholds(metrics: DataFrame, slack: dict[str, int], fence: int, min_group: int) -> DataFrame:
+def adaptive_thresholds(metrics: DataFrame, fence: int, min_group: int) -> DataFrame:
     """lang, source, metric -> low and high fence, from sketches at three levels: group, language, all."""
     long = metrics.where(~F.col("base_failed")).select(
         F.col("_lang").alias("lang"), F.col("_source").alias("source"),
-        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bucket(F.col(m)).alias("bucket")) for m in slack])),
+        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bucket(F.col(m)).alias("bucket")) for m in STEPS])),
     )
     leaf = long.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
-    return fences_of(leaf, slack, fence, min_group)
+    return fences_of(leaf, fence, min_group)
 
 
-def fences_of(leaf: DataFrame, slack: dict[str, int], fence: int, min_group: int) -> DataFrame:
-    """Merges the leaf sketches upwards by adding counts and reads the quartiles at each level."""
+def fences_of(leaf: DataFrame, fence: int, min_group: int) -> DataFrame:
+    """Merges the leaf sketches upwards by adding counts and reads the fences at each level."""
     levels = leaf.select(
         F.inline(F.array(*[
             F.struct(F.lit(k).alias("level"), (F.col("lang") if k < 2 else F.lit(None).cast("string")).alias("lang"), (F.col("source") if k < 1 else F.lit(None).cast("string")).alias("source"))
@@ -109,39 +115,36 @@ def fences_of(leaf: DataFrame, slack: dict[str, int], fence: int, min_group: int
     merged = levels.groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("level", "lang", "source", "metric")
     cum = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quart = cum.groupBy("level", "lang", "source", "metric").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-        F.max("total").alias("total"),
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
+    points = cum.groupBy("level", "lang", "source", "metric").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"), F.max("total").alias("total"))
+    low, mid, high = F.col("q10"), F.col("q50"), F.col("q90")
+    width = F.floor(high / 64).cast("long")  # a bucket is named by its lowest value
+    fences = points.where((F.col("total") >= min_group) | (F.col("level") == 2)).select(
+        "level", "lang", "source", "metric", (low - fence * (mid - low)).alias("low"), (high + width + fence * (high - mid)).alias("high")
     )
-    least = reduce(lambda acc, kv: acc.when(F.col("metric") == kv[0], F.lit(kv[1])), slack.items(), F.when(F.lit(False), F.lit(0)))
-    spread = F.greatest(fence * (F.col("q3") - F.col("q1")), least.cast("long"))
-    fences = quart.where((F.col("total") >= min_group) | (F.col("level") == 2)).select(
-        "level", "lang", "source", "metric", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high")
-    )
-    made = [F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(m) for m in slack]
+    made = [F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(m) for m in STEPS]
     return fences.groupBy("level", "lang", "source").agg(*made)
 
 
-def judged(docs: DataFrame, keep: list[str], slack: dict[str, int] | None = None, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
     """The columns `keep` of docs under `doc`, with the metrics and `kept`.
 
     The metrics are written once and read twice (for the sketches and for the verdicts), as they cost more than anything else here.
     """
-    slack = slack or SLACK
     m = document_metrics(docs)
     m = stored(m.withColumn("doc", F.struct(*[F.col("doc").getField(c) for c in keep])).withColumns({"_lang": F.col("doc.lang"), "_source": F.col("doc.source")}), "quality")
-    fences = adaptive_thresholds(m, slack, fence, min_group)
+    fences = adaptive_thresholds(m, fence, min_group)
     # A side has one row per language and source at most; the planner broadcasts it only while it is under the session's threshold.
     out = m
     for level, on in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
-        side = fences.where(F.col("level") == level).select(*[F.col(k).alias(f"k{level}_{k}") for k in on], F.struct(*slack).alias(f"f{level}"))
+        side = fences.where(F.col("level") == level).select(*[F.col(k).alias(f"k{level}_{k}") for k in on], F.struct(*STEPS).alias(f"f{level}"))
         if on:
             out = out.join(side, reduce(lambda a, b: a & b, [F.col(f"_{k}").eqNullSafe(F.col(f"k{level}_{k}")) for k in on]), "left")
         else:
             out = out.join(F.broadcast(side), F.lit(True), "left")  # one row at most
     f = F.coalesce("f0", "f1", "f2")
-    inside = reduce(lambda a, b: a & b, [F.col(x).between(f[x]["low"], f[x]["high"]) for x in slack])
+    step = {x: F.ceil(F.lit(one) / F.greatest(F.col(of), F.lit(1))).cast("long") for x, (one, of) in STEPS.items()}
+    inside = reduce(lambda a, b: a & b, [F.col(x).between(f[x]["low"] - step[x], f[x]["high"] + step[x]) for x in STEPS])
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 

@@ -333,3 +333,48 @@ def test_lattice_against_library():
             assert got == want * 2
     finally:
         sentence_pieces.KNOWN_WORDS = kept
+
+
+def brute_kept(rows, min_group):
+    """op8's verdicts from the texts alone. rows: (lang, source, text)."""
+    def measures(t):
+        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+        n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = len({j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)})
+        chars, nw, nl = sum(map(len, w)), max(len(w), 1), max(len(lines), 1)
+        tops = [(len(re.findall(r"[#*$%&|<>]", t or "")), 1000, nw, 1), ((t or "").count("!"), 1000, nw, 1), (len(lines) - len(set(lines)), 1000, nl, 1), (covered, 1000, nw, 6), (len(re.findall("[A-Z]", t or "")), 1000, max(chars, 1), 1), (chars, 100, nw, 1)]
+        return len(w) < 50 or 100 * covered > 50 * len(w), [(a * u // of, -(-one * u // of)) for a, u, of, one in tops]
+
+    def bucket(x):
+        drop = max(x.bit_length() - 7, 0)
+        return x >> drop << drop
+
+    made = [(la, so, *measures(t)) for la, so, t in rows]
+    pools = {}
+    for la, so, failed, m in made:
+        for k in ((la, so), la, "all"):
+            if not failed:
+                pools.setdefault(k, []).append([bucket(v) for v, _ in m])
+    out, used = [], Counter()
+    for la, so, failed, m in made:
+        k = next((k for k in ((la, so), la) if len(pools.get(k, ())) >= min_group), "all")
+        used[0 if k == (la, so) else 1 if k == la else 2] += 1
+        ok = not failed
+        for j, (v, step) in enumerate(m):
+            if ok:
+                xs = sorted(p[j] for p in pools[k])
+                a, b, c = (xs[-(-q * len(xs) // 10) - 1] for q in (1, 5, 9))
+                ok = a - 3 * (b - a) - step <= v <= c + c // 64 + 3 * (c - b) + step
+        out.append(ok)
+    return out, used
+
+
+def test_quality_kept(spark, docs):
+    """Verdicts at all three levels; a text of twelve symbols in a thousand words goes where nobody uses them."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()] + [(10**6, " ".join(f"w{i}{' & ' if i % 80 == 0 else ''}" for i in range(1000)), "en", "src0")]
+    for min_group in (3, 20):
+        want, used = brute_kept([(la, so, t) for _, t, la, so in rows], min_group)
+        got = {r.doc_id: r.kept for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=min_group).collect()}
+        assert got == dict(zip((r[0] for r in rows), want))
+        assert min_group < 20 or not got[10**6]
+        assert sum(n > 0 for n in used.values()) > 1 and 0.5 * len(rows) < sum(want) < len(rows)
