@@ -1,13 +1,15 @@
 """Best-fit packing of tokenized documents into fixed sequences (operator 4).
 
 1. Tokenize every text (mapInArrow) into pieces of at most `capacity` tokens; only over-long documents are cut, their
-   first piece taking the remainder. Each piece keeps its task number and its ordinal among the task's pieces of that length.
+   first piece taking the remainder. Each piece keeps its ids, its task number and its ordinal among the task's pieces of that length.
 2. The histogram of piece lengths (at most `capacity` rows, whatever the input) goes to the driver, which plans all bins:
    pieces above one third of the capacity are matched greedily, longest first with the longest partner that still fits, at most two
    a bin; smaller ones go best-fit, longest first, into the tightest remaining gap. Bins alike are planned as ranges, so
    the plan has a few thousand rows at any input size.
 3. Ordinals become global ranks (a window over counts per task and length, not over pieces), and one join with the
    plan, whose size the capacity bounds, gives each piece its sequence and offset.
+4. `pack` gives the pieces with their ids (binary, little-endian unsigned 32-bit) and the CRC of these; `sequences` puts
+   the pieces of each sequence together, a row of at most `capacity` tokens to train on.
 
 Cases: null text is empty and makes a piece of the separator alone. Repeated rows and null ids are separate documents;
 an empty table packs to no rows. Very long texts are tokenized whole. Extra columns are ignored.
@@ -15,7 +17,6 @@ an empty table packs to no rows. Very long texts are tokenized whole. Extra colu
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -83,16 +84,16 @@ def tokenized(path: str, capacity: int):
                 n = len(buf) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc_id, k, s, e - s, zlib.crc32(buf[4 * s : 4 * e]), task, seen[e - s]))
+                    rows.append((doc_id, k, s, e - s, buf[4 * s : 4 * e], task, seen[e - s]))
                     seen[e - s] += 1
             cols = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "ordinal"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids", "task", "ordinal"])
 
     return run
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, ordinal long"
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -171,6 +172,7 @@ def _open(gaps: dict, tight: list, gap: int, entry: list) -> None:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids of every piece."""
     spark = docs.sparkSession
     pieces = stored(docs.select("doc_id", "text").mapInArrow(tokenized(tokenizer_path, capacity), PIECES), "pieces")
     per_task = pieces.groupBy("length", "task").count()
@@ -181,5 +183,23 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("before") + F.col("ordinal"))
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))
     return ranked.join(F.broadcast(plan), on).select(  # rows bounded by capacity, not by input
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("p_first") + F.col("rank") - F.col("p_from")).alias("sequence_id"), "offset"
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), (F.col("p_first") + F.col("rank") - F.col("p_from")).alias("sequence_id"), "offset", "ids"
     )
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens, ids array<int>, starts (offset, doc_id, piece, start of each piece) of every packed sequence."""
+    kind = "sequence_id long, n_tokens long, ids array<int>, starts array<struct<offset: long, doc_id: long, piece: int, start: long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            ids = [array("i", b"".join(x["ids"] for x in row)) for row in b.column("parts").to_pylist()]
+            starts = [[{k: x[k] for k in ("offset", "doc_id", "piece", "start")} for x in row] for row in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("sequence_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                 pa.array(starts, pa.list_(pa.struct([("offset", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64())])))],
+                ["sequence_id", "n_tokens", "ids", "starts"],
+            )
+
+    part = F.struct("offset", "doc_id", "piece", "start", "ids")
+    return packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts")).mapInArrow(run, kind)

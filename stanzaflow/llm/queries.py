@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_text, language_id, near_dedup, nearest, packing, quality_rules, resampling, secret_scans, sentence_pieces, sharding
 from .common import table
@@ -13,6 +14,12 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _digest(packed: DataFrame) -> DataFrame:
+    """Packed pieces with the CRC of their ids in the ids' place."""
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "piece", "start", "length", crc, "sequence_id", "offset")
+
+
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -26,7 +33,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return _digest(packed)
 
 
 def op5_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return _digest(corpus_pipeline.run(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

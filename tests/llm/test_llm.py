@@ -378,3 +378,20 @@ def test_quality_kept(spark, docs):
         assert got == dict(zip((r[0] for r in rows), want))
         assert min_group < 20 or not got[10**6]
         assert sum(n > 0 for n in used.values()) > 1 and 0.5 * len(rows) < sum(want) < len(rows)
+
+
+def test_packed_sequences(docs):
+    """The ids of every document can be read back out of the packed sequences."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    packed = packing.pack(docs, BPE, 512)
+    found = {}
+    for r in packing.sequences(packed).collect():
+        ends = [x.offset for x in r.starts[1:]] + [r.n_tokens]
+        assert r.n_tokens == len(r.ids) <= 512 and r.starts[0].offset == 0
+        for x, end in zip(r.starts, ends):
+            found.setdefault(x.doc_id, {})[x.start] = list(r.ids[x.offset : end])
+    for r in docs.collect():
+        got = [i for _, ids in sorted(found[r.doc_id].items()) for i in ids]
+        assert got == tok.encode(r.text, add_special_tokens=False).ids + [0]
