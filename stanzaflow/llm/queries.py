@@ -29,7 +29,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 40)
+    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 40).drop("doc")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,15 @@ to shard j; it is drawn from its exact law, the multivariate hypergeometric, so
 matrix, permute again" is a uniform permutation of all rows. The matrix has (input partitions x shards) cells: it grows
 with the number of tasks, not of rows, and is drawn on the driver from one count per partition.
 
-Rows are addressed by (partition, position), never by a value, so no key can be hot and equal rows stay apart. The
-second permutation is by cells: each row draws a cell of its shard, the cells' counts give each its first slot, and rows are ranked
-inside their cell. So no task holds a shard.
+Whole documents move, with all their columns. The first permutation sorts each input partition by a draw, in its own task; the
+rows are then written once, each with its partition and its rank there. Rows are addressed by these, never by a value, so no key can be
+hot and equal rows stay apart. The exchange is a shuffle of the documents by shard and cell, which is the second permutation too: each
+row draws a cell of its shard, the cells' counts give each its first slot, and rows are ranked inside their cell. So no task holds a shard.
 
 Equal texts share text_crc32; law `rows` ties nothing to the text, and a group larger than a shard could not be kept
 whole under it. Cases: null text has 16 bytes and the CRC of no bytes (0). Null and repeated ids are rows like any other. With fewer
-rows than shards some shards are empty. Very long texts only cost their CRC. Extra columns are ignored.
+rows than shards some shards are empty. Very long texts move whole. `sharded` keeps all columns of the documents, `shuffle_into_shards` adds
+the digest columns, which are taken from the documents where they arrive.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARDS, SEED, CELL_ROWS = 40, 20, 100_000
+SHARDS, SEED, CELL_ROWS = 40, 20, 20_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -77,28 +79,35 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return out
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc (a struct of all columns of docs), shard, slot of every row."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("_at"),
-    ).withColumn("_part", F.shiftright("_at", 33))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_at"))
+    # Permuted in the task that read them, without a shuffle; the second id counts along the new order.
+    rows = rows.withColumn("_draw", F.xxhash64("_at", F.lit(seed))).sortWithinPartitions("_draw", "_at").select("doc", F.monotonically_increasing_id().alias("_at"))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     rows = stored(rows, "shard-rows")  # fixes each row's address before counts are taken
     per_part = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per input task
     parts = sorted(per_part)
     matrix = communication_matrix([per_part[p] for p in parts], shards, seed)
     ends = [[sum(m[: j + 1]) for j in range(shards)] for m in matrix]
     sent = spark.createDataFrame(list(zip(parts, ends)), "_part long, _ends array<long>")
-    first = F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64("_at", F.lit(seed)), "_at")) - 1
     shard = F.size(F.filter("_ends", lambda e: e <= F.col("_rank")))
-    placed = rows.withColumn("_rank", first).join(sent, "_part").withColumn("shard", shard.cast("int"))
     cells = max(1, math.ceil(sum(per_part.values()) / shards / CELL_ROWS))
+    placed = rows.join(F.broadcast(sent), "_part").withColumn("shard", shard.cast("int"))  # a row per input task
     placed = placed.withColumn("_u", F.xxhash64("_at", F.lit(seed + 1))).withColumn("_cell", F.pmod("_u", F.lit(cells)))
-    placed = stored(placed.select("doc_id", "size", "text_crc32", "shard", "_cell", "_u", "_at"), "shard-cells")
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     start = placed.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     again = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_u", "_at")) - 1
-    return placed.withColumn("_k", again).join(start, ["shard", "_cell"]).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_start") + F.col("_k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc", "shard", "_cell", "_u", "_at").withColumn("_k", again).join(start, ["shard", "_cell"]).select(  # a row per cell, dealt as the rows are
+        "doc", "shard", (F.col("_start") + F.col("_k")).cast("long").alias("slot")
+    )
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and doc, the whole document, of every row."""
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    return sharded(docs, shards, seed).select(
+        F.col("doc.doc_id").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "doc",
     )

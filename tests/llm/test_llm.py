@@ -395,3 +395,17 @@ def test_packed_sequences(docs):
     for r in docs.collect():
         got = [i for _, ids in sorted(found[r.doc_id].items()) for i in ids]
         assert got == tok.encode(r.text, add_special_tokens=False).ids + [0]
+
+
+def test_shards_hold_the_documents(edges, docs):
+    """Every column of every row arrives, repeated and null ids included, in other order than it left."""
+    for given, n in ((docs.repartition(5), 7), (edges, 3)):
+        rows = sharding.shuffle_into_shards(given, n).collect()
+        assert Counter(tuple(r.doc) for r in rows) == Counter(map(tuple, given.collect())) and list(rows[0].doc.asDict()) == given.columns
+        assert all(r.doc_id == r.doc.doc_id and r.text_crc32 == zlib.crc32((r.doc.text or "").encode()) for r in rows)
+        assert sorted((r.shard, r.slot) for r in rows) == sorted((s, k) for s, m in enumerate(sharding.shard_sizes(len(rows), n)) for k in range(m))
+    order = [r.doc_id for r in sorted(sharding.shuffle_into_shards(docs.coalesce(1), 1).collect(), key=lambda r: r.slot)]
+    assert order != sorted(order)
+    here, n = docs.coalesce(1), 2
+    first = {r.doc_id for r in sharding.shuffle_into_shards(here, n).where("shard = 0").collect()}
+    assert first != {r.doc_id for r in here.limit(len(first)).collect()}
