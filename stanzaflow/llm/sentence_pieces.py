@@ -11,11 +11,15 @@ left. Words over `LONG` characters, for which the lattice would be large, are en
 Explode, join, grouping and fold run on Arrow and numpy columns of a task, not as Spark rows and a higher-order aggregate (README: figures). Each task
 encodes its own texts' words and keeps up to `KNOWN_WORDS` of them for its next texts; nothing is shuffled or stored, and a lost task is run again alone.
 
-Cases: null and empty texts have no ids. Repeated rows are encoded each. Extra columns are ignored. A task holds `small` texts and a block's edges.
+Decoding joins the ids of each row with the vocabulary's bytes on Arrow columns, in the row's own task: no row a token, no shuffle, no key.
+
+Cases: null and empty texts have no ids. Repeated rows are encoded and decoded each. `encode` ignores extra columns, `decode` keeps them. A task holds
+`small` texts and a block's edges.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import small
 
@@ -144,23 +148,47 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids)."""
+    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), text_crc32 (UTF-8 bytes of the text decoded from the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path)
         for doc_id, ids in _texts(batches, path):
-            sizes, crcs = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_id, sizes, crcs], ["doc_id", "n_ids", "ids_crc32"])
+            sizes, crcs = [len(x) // 4 for x in ids], pa.array([zlib.crc32(x) for x in ids], pa.int64())
+            texts = vocabulary.texts(np.frombuffer(b"".join(ids), "<i4"), np.array(sizes, "i8"))
+            back = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(sizes, pa.int64()), crcs, back], ["doc_id", "n_ids", "ids_crc32", "text_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long")
+class Vocabulary:
+    """The bytes of every id of a model and the decoding of rows of ids with them."""
+
+    def __init__(self, path: str):
+        p = processor(path)
+        out = [bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).replace(MARK, " ").encode() for i in range(p.vocab_size())]
+        self.bytes = pa.array([*out, b""], pa.binary())  # the last stands for ids outside the vocabulary
+        codecs.register_error("each", lambda e: ("\ufffd" * (e.end - e.start), e.end))  # as the library: one for each bad byte
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The text of each row; ids: those of all rows, one row after the other."""
+        none = len(self.bytes) - 1
+        parts = self.bytes.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"))
+        whole = pc.binary_join(pa.ListArray.from_arrays(ends, parts), b"")
+        return [x.removeprefix(b" ").decode("utf-8", "each") for x in whole.to_pylist()]
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """key, ids -> key, text: ids joined with the vocabulary, bytes put in order, the first space taken off. Keys must be unique; ids outside the vocabulary add nothing."""
-    spark = rows.sparkSession
-    p = processor(path)
-    out = [(i, bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).replace(MARK, " ").encode()) for i in range(p.vocab_size())]
-    table = spark.createDataFrame(out, "id int, bytes binary")
-    parts = rows.select("key", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")  # a vocabulary's rows
-    text = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("b")))).alias("x"))
-    whole = F.decode(F.unhex(F.array_join(F.transform("x", lambda y: F.coalesce(y["b"], F.lit(""))), "")), "utf-8")
-    return text.select("key", F.regexp_replace(whole, "^ ", "").alias("text"))
+    """rows with `text` in place of `ids`: ids joined with the vocabulary, bytes put in order, the first space taken off. Null ids and ids outside the vocabulary add nothing."""
+    keep = [c for c in rows.columns if c != "ids"]
+    kind = StructType([rows.schema[c] for c in keep]).add("text", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path)
+        for b in small(batches):
+            ids = b.column("ids")
+            flat, sizes = pc.list_flatten(ids).fill_null(-1).to_numpy(zero_copy_only=False), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*map(b.column, keep), pa.array(vocabulary.texts(flat, sizes), pa.string())], [*keep, "text"])
+
+    return rows.mapInArrow(run, kind)

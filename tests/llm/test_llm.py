@@ -409,3 +409,20 @@ def test_shards_hold_the_documents(edges, docs):
     here, n = docs.coalesce(1), 2
     first = {r.doc_id for r in sharding.shuffle_into_shards(here, n).where("shard = 0").collect()}
     assert first != {r.doc_id for r in here.limit(len(first)).collect()}
+
+
+def test_decode_every_row(spark, edges):
+    """Rows that share or lack a key decode on their own; bytes that make no character give what the library gives."""
+    p = sentence_pieces.processor(SP)
+    texts = [t for _, t, *_ in EDGES]
+    back = sentence_pieces.decode(sentence_pieces.encode(edges, SP), SP)
+    assert back.columns == ["doc_id", "text"]
+    want = [(d, p.decode(p.encode(t or ""))) for (d, *_), t in zip(EDGES, texts)]
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(want)
+    digest = sentence_pieces.encoded_digest(edges, SP).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in digest) == Counter((d, zlib.crc32(t.encode())) for d, t in want)
+    byte, rng = [i for i in range(p.vocab_size()) if p.is_byte(i)], random.Random(1)
+    rows = [([300, *(rng.choice(byte) for _ in range(rng.randint(0, 6))), 400],) for _ in range(200)]
+    assert [r.text for r in sentence_pieces.decode(spark.createDataFrame(rows, "ids array<int>").coalesce(1), SP).collect()] == [p.decode(r[0]) for r in rows]
+    odd = spark.createDataFrame([(1, None), (1, []), (1, [10**6, -5, None])], "key long, ids array<int>")
+    assert [tuple(r) for r in sentence_pieces.decode(odd, SP).collect()] == [(1, "")] * 3
