@@ -16,7 +16,8 @@ A link at the threshold is missed if no band agrees: 4e-7 for similarity 0.85 (2
 
 Cases: null texts and texts without words have the empty set and link with nothing. Fewer words than a shingle: the whole sequence is one
 shingle. Rows that repeat a doc_id belong to the component of their own text. Rows without doc_id are not linked: their component_id is null and kept false. Very long texts are
-used whole. Extra columns are ignored by `components` and kept by `deduplicated`.
+used whole. Extra columns are ignored by `components` and kept by `deduplicated`, which links rows by number
+instead: repeated and null ids are judged on their texts.
 """
 
 from __future__ import annotations
@@ -300,6 +301,15 @@ def components(docs: DataFrame, k: int = 3, num: int = 85) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
-    """docs without the rows that `components` does not keep; of rows that repeat a kept doc_id all stay only if no other row of the component has it."""
-    kept = components(docs, k, num).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """One row of each component of rows, that of the least doc_id (ids that are null last, then in row order), with docs' own columns.
+
+    Rows are numbered first and linked by number, so repeated and null ids are judged on their texts alone. A row without both id and words goes.
+    """
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    found, comps = linked(rows.select(F.col("_row").alias("doc_id"), F.col("doc.text").alias("text")), k, num)
+    ids = rows.select("_row", F.col("doc.doc_id").alias("id"))
+    of = found.select(F.col("doc_id").alias("_row"), "node").join(ids, "_row").join(comps, "node", "left")
+    first = F.struct(F.col("id").isNull(), "id", "_row").alias("f")
+    one = of.where("node is not null").groupBy(F.coalesce("comp", "node")).agg(F.min(first).alias("f")).select(F.col("f._row").alias("_keep"))
+    kept = one.unionByName(of.where("node is null and id is not null").select(F.col("_row").alias("_keep")))
+    return rows.join(kept, rows["_row"] == kept["_keep"], "left_semi").select("doc.*")

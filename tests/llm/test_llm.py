@@ -426,3 +426,13 @@ def test_decode_every_row(spark, edges):
     assert [r.text for r in sentence_pieces.decode(spark.createDataFrame(rows, "ids array<int>").coalesce(1), SP).collect()] == [p.decode(r[0]) for r in rows]
     odd = spark.createDataFrame([(1, None), (1, []), (1, [10**6, -5, None])], "key long, ids array<int>")
     assert [tuple(r) for r in sentence_pieces.decode(odd, SP).collect()] == [(1, "")] * 3
+
+
+def test_dedup_by_rows(spark):
+    """Clean rows without id stay, and one row of each component, whatever ids it repeats."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a, 0), (None, b, 1), (6, b, 2), (6, b, 3), (7, c, 4), (6, c + " end", 5), (6, d, 6), (None, d, 7), (None, a, 8), (9, "", 9), (None, "", 10)]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(1)).collect()
+    assert sorted(r.n for r in kept) == [0, 2, 5, 6, 9]
