@@ -5,7 +5,8 @@ marks of where it stood (inside an article, inside a part that the markup names
 comments). A decision tree, trained on the small labelled table below, tells content from the rest.
 
 Cases: null html is empty; a page without content gives the empty string. Unclosed tags end with what encloses them; an unclosed script,
-style or comment runs to the end of the page. Null url and repeated rows pass through. Very long pages are taken whole. Extra columns
+style or comment runs to the end of the page. Other elements whose content is no text of the page (svg, button, object, ...) go with it where they are
+closed; self-closed or unclosed they are one tag. Null url and repeated rows pass through. Very long pages are taken whole. Extra columns
 are ignored.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import small
 
 # --- fixed values: names of HTML elements and of page parts ---
-RAW = "script|style|noscript|template|textarea|select|svg|iframe|title|button|object|canvas|audio|video|math"
+RAW = "noscript|template|textarea|select|svg|iframe|title|button|object|canvas|audio|video|math"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
@@ -29,20 +30,37 @@ BLOCKS = frozenset(
 HOLDERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header html li main menu nav ol p search section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARTS = frozenset("nav aside footer form menu dialog fieldset search head".split())
-PART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promos?|promotion|banner|sidebar|side-bar|comments?|comment-?list|disqus|respond|replies|notices?|cookies?|consent|gdpr|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|tags?|copyright|legal|skip)(?:$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promos?|promotion|banner|sidebar|side-bar|comments?|comment-?list|disqus|respond|replies|notices?|cookies?|consent|gdpr|"
+    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|tags?|copyright|legal|skip"
 )
+PART_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
+PART_TOKEN = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:$|\s)", re.I)  # whole class names only, for what holds the page's text
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\s*\"[^\"]*\"|\s*'[^']*'|[^'\">]|['\"](?=[^'\"]*>))*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\s*\"[^\"]*\"|\s*'[^']*'|[^'\">]|['\"](?=[^'\"]*>))*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
+_RAW_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<hard>script|style)\b[^>]*>.*?(?:</(?P=hard)\s*>|\Z)|<(?P<end>/?)(?P<tag>" + RAW + r")\b[^>]*>", re.I | re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
+def _raw_spans(page: str) -> dict[int, int]:
+    """Start -> end of each element of `RAW` that is closed; an end tag closes the nearest open one of its name."""
+    spans, open_ = {}, {}
+    for m in _RAW_TAG.finditer(page):
+        if not m["tag"]:
+            continue
+        mine = open_.setdefault(m["tag"].lower(), [])
+        if not m["end"]:
+            if not m[0].endswith("/>"):
+                mine.append(m.start())
+        elif mine:
+            spans[mine.pop()] = m.end()
+    return spans
+
+
 def _hint(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in PARTS or (tag == "header" and not in_main):
         return True
@@ -52,7 +70,7 @@ def _hint(tag: str, attrs: str, in_main: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and PART_NAMES.search(value):
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and (PART_TOKEN if tag in ("article", "main") else PART_NAMES).search(value):
             return True
     return False
 
@@ -81,10 +99,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if in_link:
                 links += len(text.split())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, raw = 0, _raw_spans(page)
+    while m := _TOKEN.search(page, at):
         words(page[at : m.start()])
-        at = m.end()
+        at = raw.get(m.start(), m.end())
+        if at > m.end():
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue

@@ -436,3 +436,15 @@ def test_dedup_by_rows(spark):
     rows = [(None, a, 0), (None, b, 1), (6, b, 2), (6, b, 3), (7, c, 4), (6, c + " end", 5), (6, d, 6), (None, d, 7), (None, a, 8), (9, "", 9), (None, "", 10)]
     kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(1)).collect()
     assert sorted(r.n for r in kept) == [0, 2, 5, 6, 9]
+
+
+def test_html_text_survives():
+    """Self-closed and unclosed elements take no text along; class names that only contain a part's name do not hide an article."""
+    tree = html_text.grow(html_text.LABELLED)
+    tags = ("<svg class=i />", "<math x='1'/>", "<button>", "<object data=x>", "<video src=x>", "<select>", "<svg viewBox='0'><path/><svg>in</svg>in</svg>", "<button>B</button>", "<svg/><svg><text>in</text></svg>")
+    for tag in tags:
+        assert html_text.main_text(f"<article><p>one two three four five</p>{tag}<p>six seven eight nine ten</p></article>", tree) == "one two three four five\n\nsix seven eight nine ten", tag
+    assert html_text.main_text("<main><p>one two three</p><button><p>four five six</p><button>x</button></main>", tree) == "one two three\n\nfour five six"
+    for top in ("article class='post tag-news'", "main class='content has-sidebar'", "main id=main-content class=no-comments"):
+        assert html_text.main_text(f"<body><{top}><p>one two three four five</p></{top.split()[0]}>", tree) == "one two three four five"
+    assert html_text.main_text("<body><article class='x sidebar'><p>one two three four five</p></article>", tree) == ""
