@@ -17,6 +17,8 @@ an empty table packs to no rows. Very long texts are tokenized whole. Extra colu
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -70,17 +72,29 @@ def forms_of(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
-def tokenized(path: str, capacity: int):
+def added_tokens(path: str) -> dict[str, bytes]:
+    """Content -> id, as little-endian uint32 bytes, of the tokens the JSON file adds to the vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(f)["added_tokens"]}
+
+
+def tokenized(path: str, capacity: int, added: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         ids, seen = Forms(path), defaultdict(int)
+        extra = added_tokens(path) if added else {}
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(extra, key=len, reverse=True))) + ")") if extra else None
+
+        def encoded(text: str) -> bytes:
+            parts = cut.split(text) if cut else [text]
+            return b"".join(extra[p] if i % 2 else b"".join(map(ids.__getitem__, forms_of(p))) for i, p in enumerate(parts) if p)
+
         for b in small(batches):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                forms = forms_of(text) if text else []
-                buf = b"".join(map(ids.__getitem__, forms)) + SEPARATOR.to_bytes(4, "little")
+                buf = (encoded(text) if text else b"") + SEPARATOR.to_bytes(4, "little")
                 n = len(buf) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
@@ -171,10 +185,13 @@ def _open(gaps: dict, tight: list, gap: int, entry: list) -> None:
     gaps[gap].append(entry)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids of every piece."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids of every piece.
+
+    added: the file's added tokens are found in texts, as the library does by itself; else they are text like any other (its `encode_special_tokens`).
+    """
     spark = docs.sparkSession
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(tokenized(tokenizer_path, capacity), PIECES), "pieces")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(tokenized(tokenizer_path, capacity, added), PIECES), "pieces", "zstd")
     per_task = pieces.groupBy("length", "task").count()
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

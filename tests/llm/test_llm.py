@@ -448,3 +448,18 @@ def test_html_text_survives():
     for top in ("article class='post tag-news'", "main class='content has-sidebar'", "main id=main-content class=no-comments"):
         assert html_text.main_text(f"<body><{top}><p>one two three four five</p></{top.split()[0]}>", tree) == "one two three four five"
     assert html_text.main_text("<body><article class='x sidebar'><p>one two three four five</p></article>", tree) == ""
+
+
+def test_pack_added_tokens(spark, tmp_path):
+    """The query's ids are the library's own, without any flag, where a text holds an added token."""
+    from tokenizers import Tokenizer
+
+    from stanzaflow.llm import queries
+
+    tok = Tokenizer.from_file(BPE)
+    texts = ["@ <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  ", "it's <|endoftext|>\n\n y <|endoftext", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op4_packing(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
