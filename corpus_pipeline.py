@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL expresses neither a trained network nor MinHash groups; tests/llm compares the pipeline with a brute-force version.
+#: SQL expresses neither a trained network nor MinHash groups; tests/llm compares the rows with the stages worked by hand, the predictor aside.
 ORACLE_SQL = None
 
 

@@ -463,3 +463,33 @@ def test_pack_added_tokens(spark, tmp_path):
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_pipeline_stage_by_stage(spark):
+    """What run() gives, ids and masked texts and pieces, equals the stages worked one by one outside Spark; only the trained language predictor is the library's own."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tok = Tokenizer.from_file(BPE)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    given = docs.collect()
+    good, _ = brute_kept([(r.lang, r.source, r.text) for r in given], 200)
+    kept = {r.doc_id: r.text for r, ok in zip(given, good) if ok}
+    assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == set(kept)
+    told = language_id.predict_languages(docs.where(F.col("doc_id").isin(list(kept)))).collect()
+    kept = {r.doc_id: kept[r.doc_id] for r in told if r.lang_pred != "und" and r.score >= 0.5}
+    kept = {d: kept[d] for d, _, c in brute_components(sorted(kept.items()), 5, 80) if d == c}
+    want = {}
+    for d, t in kept.items():
+        hit = [False] * len(t)
+        for _, s, e in secret_scans.find(t):
+            hit[s:e] = [True] * (e - s)
+        starts = {s for s, _ in secret_scans.merged((s, e) for _, s, e in secret_scans.find(t))}
+        clean = "".join("[SECRET]" if i in starts else "" if h else c for i, (c, h) in enumerate(zip(t, hit)))
+        want[d] = tok.encode(clean, add_special_tokens=False).ids + [0]
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+        assert r.length * 4 == len(r.ids) <= 4 * 2048
+    assert got == want
