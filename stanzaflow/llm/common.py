@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a local master, which has one machine, gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} it has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="stanzaflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what `stored` wrote inside without `keep`; what is kept belongs to the scope around it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
+    for scope in _scopes[: len(_scopes) - keep][-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +78,34 @@ def small(batches, rows: int = 256):
     for b in batches:
         for s in range(0, b.num_rows, rows):
             yield b.slice(s, rows)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, across batches; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for s, e in zip([0, *new], [*new, b.num_rows]):
+            now = tuple(c[s] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def vocabulary(path: str) -> str:
+    """A vocabulary file's place on this machine: path itself, or where the executor's own package of vocabularies has that file."""
+    import os
+
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, stored, wide
+from .common import groups, small, stored, wide
 
 SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, HELD = 20_000, 400, 8, 200, 0.97, 2_000, 100_000
 
@@ -200,10 +200,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
     met = asked.unionByName(kept).repartition(wide(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "query", "vec_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .near_dedup import _groups
-
         held: list[tuple[int, int, float]] = []  # combined inside the task: a query's k best of all leaves seen here
-        for g in _groups(batches, ["leaf", "block"]):
+        for g in groups(batches, ["leaf", "block"]):
             asks = g.column("query").to_numpy()
             if asks.any() and not asks.all():
                 x, n, u = _unit(g.column("embedding"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, stored
+from .common import small, stored, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -49,7 +49,7 @@ class Forms(dict):
         import public_tokenizers
         import tiktoken
 
-        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+        with open(vocabulary(path.removesuffix(".json") + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("forms", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -74,7 +74,7 @@ def forms_of(text: str) -> list[str]:
 
 def added_tokens(path: str) -> dict[str, bytes]:
     """Content -> id, as little-endian uint32 bytes, of the tokens the JSON file adds to the vocabulary."""
-    with open(path, encoding="utf-8") as f:
+    with open(vocabulary(path), encoding="utf-8") as f:
         return {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(f)["added_tokens"]}
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import small
+from .common import small, vocabulary
 
 MARK, LONG, BLOCK_WORDS, KNOWN_WORDS = "▁", 48, 20_000, 300_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -39,7 +39,7 @@ WORD = re.compile(f"{MARK}+[^{MARK}]*")
 def processor(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
 
 
 class Lattice:
