@@ -4,12 +4,14 @@ Every version of a file (here: every document text) is a blob, addressed by the
 holds one row per (blob, rule version) already scanned, with its findings. A scan takes the pairs the ledger lacks,
 reads each blob once however many paths hold it, appends the findings, and joins the ledger back to all paths.
 
-The blobs are collapsed by a sort aggregate inside each task before the shuffle, so copies of one text cost one row per
-task. The join back is a sort-merge join that AQE splits where one blob is held by very many paths.
+A text's address is made where the row is read, and so is a test that is exact in one direction: a text without the bytes that every rule needs
+holds nothing. Its blob enters the ledger as scanned, by its address alone; only the texts that may hold something move. Blobs are collapsed inside each task
+before the shuffle, so copies of one text cost one row per task. The join back is a sort-merge join that AQE splits where one blob is held by
+very many paths.
 
 Cases: null text is the empty blob, which has no finding. Repeated rows, null doc_ids and tied ids each get their own
-result row. Very long texts are scanned whole. Spans are in code points, end exclusive. Extra columns are ignored by `scan`
-and kept by `redacted`.
+result row. Very long texts are scanned whole. Spans are in code points, end exclusive. An empty table gives no rows. Extra columns are ignored by `scan`
+and kept by `redacted`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
@@ -59,18 +62,31 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for b in small(batches):
-        out = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in b.column("text").to_pylist()]
+        out = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in b.column("text").to_pylist()]  # null: nothing to find
         yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array([RULE_VERSION] * b.num_rows), pa.array(out, kind)], ["blob", "rule_version", "findings"])
 
 
-def blob_id(text):
+def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def may_hold(text: Column) -> Column:
+    """False only where `find` has nothing to find: a needle for each rule, for `assign` its whole pattern, for `hex` a run of the least length."""
+    text = F.coalesce(text, F.lit(""))
+    has = lambda *needles: reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+    parts = [has(*NEEDLES[kind]) for kind, *_ in RULES if kind in NEEDLES and kind != "assign"]
+    for kind, pattern, _, _, least in BASE_RULES:
+        if kind == "assign":
+            parts.append(has(":", "=") & text.rlike("(?i)" + pattern))
+        if kind == "hex":
+            parts.append(text.rlike("[0-9a-f]{%d}" % least))
+    return reduce(lambda a, b: a | b, parts)
+
+
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger after scanning every (blob, rule version) pair of `versions` (column text) that it lacks."""
     seen = ledger.where(F.col("rule_version") == RULE_VERSION) if ledger is not None else None
-    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.when(may_hold(F.col("text")), F.col("text")).alias("text"))
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     if seen is not None:
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
@@ -81,8 +97,9 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataF
 def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id and findings of every row of docs."""
     book = update_ledger(docs, ledger).where(F.col("rule_version") == RULE_VERSION).where(F.size("findings") > 0)
+    # merged at every size: findings small enough to broadcast today are not so tomorrow
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
-    return paths.join(book, "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return paths.join(book.hint("merge"), "blob", "left").select("doc_id", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -95,32 +112,34 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 MASK = "[SECRET]"
 
 
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small(batches):
+        doc = b.column("doc")
+        at, texts = doc.type.get_field_index("text"), []
+        fields = doc.flatten()
+        for t, f in zip(fields[at].to_pylist(), b.column("findings").to_pylist()):
+            if t is not None and f:
+                parts, end = [], 0
+                for s, e in merged((x["start"], x["end"]) for x in f):
+                    parts += [t[end:s], MASK]
+                    end = e
+                t = "".join([*parts, t[end:]])
+            texts.append(t)
+        fields[at] = pa.array(texts, doc.type.field(at).type)
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(doc.type))], ["doc"])
+
+
 def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """docs with every found span (overlaps joined) replaced by MASK; all columns and rows stay, null texts stay null.
 
-    The ledger row carries the findings; the text is rewritten where the row is, so texts are not shuffled again for blobs without findings.
+    Rows whose text cannot hold anything stay where they are; the others meet the ledger's findings.
     """
     book = update_ledger(docs, ledger).where(F.col("rule_version") == RULE_VERSION).where(F.size("findings") > 0)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("blob", blob_id(F.col("doc.text")))
-    joined = row.join(book.select("blob", "findings"), "blob", "left")
-
-    @F.pandas_udf("string")
-    def mask(texts, findings):
-        out = []
-        for t, f in zip(texts, findings):
-            if t is not None and f is not None:
-                parts, at = [], 0
-                for s, e in merged((x["start"], x["end"]) for x in f):
-                    parts += [t[at:s], MASK]
-                    at = e
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    clean = F.when(F.col("findings").isNull(), F.col("doc.text")).otherwise(mask(F.when(F.col("findings").isNotNull(), F.col("doc.text")), "findings"))
-    return joined.withColumn("_clean", clean).select(*[(F.col("_clean") if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    held = may_hold(F.col("doc.text"))
+    met = row.where(held).withColumn("blob", blob_id(F.col("doc.text"))).join(book.select("blob", "findings").hint("merge"), "blob", "left")
+    done = met.select("doc", "findings").mapInArrow(_masked, row.schema)
+    return row.where(~held).unionByName(done).select("doc.*")
 
 
 def merged(spans) -> list[tuple[int, int]]:
