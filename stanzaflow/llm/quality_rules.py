@@ -3,14 +3,15 @@
 Each document gets integer metrics. Per language and source, a mergeable sketch of each metric is kept: a
 high-dynamic-range histogram, whose bucket of x keeps the seven leading bits of x, so a quantile is off by at most
 1/64 of itself, at most some 3,600 buckets exist for any bigint, and two sketches merge by adding counts. Partial aggregation
-merges them inside each task before anything is shuffled, so a hot source costs one row per bucket and task. A
-document passes if each metric lies within fences read off the sketch of its group: the 90th percentile plus `FENCE` times its
+merges them inside each task before anything is shuffled, so a hot source costs one row per bucket and task. The sketches of a language
+and of all documents are sums of these. A group's quantiles are read off its own sketch and drawn towards those of its language, these
+towards those of all, by the weight of `WEIGHT` documents, at every size: q = (n * own + WEIGHT * above) div (n + WEIGHT).
+A document passes if each metric lies within its group's fences: the 90th percentile plus `FENCE` times its
 distance from the median, and the 10th less likewise. No constant stands for the spread; the only tolerance is the metric's
 resolution, what one occurrence more changes in this very document, and the width of the sketch's bucket.
 
 Cases: null text counts as empty (all zeros, fails the base rule). Null lang or source form groups of their own.
-Groups with fewer than `min_group` documents use the merged sketch of their language, and small languages the merged
-sketch of all. Repeated rows are judged each on their own; every row gets a verdict. Extra columns are dropped by
+Repeated rows are judged each on their own; every row gets a verdict. Extra columns are dropped by
 `quality_verdicts` and kept by `quality_filter`, whatever their names.
 """
 
@@ -30,8 +31,9 @@ STEPS = {
     "symbol_pm": (1000, "n_words"), "bang_pm": (1000, "n_words"), "dup_line_pm": (1000, "n_lines"), "repeat_pm": (2 * WINDOW * 1000, "n_words"),
     "upper_pm": (1000, "word_chars"), "word_len_c": (100, "n_words"),
 }
+TENTHS = (1, 5, 9)  # the quantiles read
 FENCE = 3  # distances from the median beyond the outer tenths
-MIN_GROUP = 200
+WEIGHT = 30  # documents that the level above counts as
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -94,58 +96,57 @@ def sketch_bucket(x: Column) -> Column:
     return F.when(x < 128, x).otherwise(F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop))
 
 
-def adaptive_thresholds(metrics: DataFrame, fence: int, min_group: int) -> DataFrame:
-    """lang, source, metric -> low and high fence, from sketches at three levels: group, language, all."""
+def adaptive_thresholds(metrics: DataFrame, fence: int = FENCE, weight: int = WEIGHT) -> DataFrame:
+    """_k_lang, _k_source (keys of null's own) and a struct (low, high) for each metric, of every group that has a document past the base rule."""
     long = metrics.where(~F.col("base_failed")).select(
         F.col("_lang").alias("lang"), F.col("_source").alias("source"),
         F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bucket(F.col(m)).alias("bucket")) for m in STEPS])),
     )
-    leaf = long.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
-    return fences_of(leaf, fence, min_group)
+    return fences_of(long.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n")), fence, weight)
 
 
-def fences_of(leaf: DataFrame, fence: int, min_group: int) -> DataFrame:
-    """Merges the leaf sketches upwards by adding counts and reads the fences at each level."""
-    levels = leaf.select(
-        F.inline(F.array(*[
-            F.struct(F.lit(k).alias("level"), (F.col("lang") if k < 2 else F.lit(None).cast("string")).alias("lang"), (F.col("source") if k < 1 else F.lit(None).cast("string")).alias("source"))
-            for k in range(3)
-        ])), "metric", "bucket", "n",
-    )
-    merged = levels.groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("level", "lang", "source", "metric")
+def _points(sketch: DataFrame, *key: str) -> DataFrame:
+    """total and the tenths of each key's sketch, q1, q5 and q9. A partition of these windows is one sketch: some 3,600 rows at most."""
+    merged = sketch.groupBy(*key, "metric", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key, "metric")
     cum = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
-    points = cum.groupBy("level", "lang", "source", "metric").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"), F.max("total").alias("total"))
-    low, mid, high = F.col("q10"), F.col("q50"), F.col("q90")
-    width = F.floor(high / 64).cast("long")  # a bucket is named by its lowest value
-    fences = points.where((F.col("total") >= min_group) | (F.col("level") == 2)).select(
-        "level", "lang", "source", "metric", (low - fence * (mid - low)).alias("low"), (high + width + fence * (high - mid)).alias("high")
-    )
-    made = [F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(m) for m in STEPS]
-    return fences.groupBy("level", "lang", "source").agg(*made)
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket"))).alias(f"q{tenths}")
+    return cum.groupBy(*key, "metric").agg(F.max("total").alias("total"), *[at(x) for x in TENTHS])
+
+
+def _drawn(own: DataFrame, above: DataFrame, on: list[str], weight: int) -> DataFrame:
+    """own's tenths drawn towards those of the level above, joined on `on` (null is a value) and the metric."""
+    up = above.select(*[F.col(x).alias(f"_a_{x}") for x in (*on, "metric", *(f"q{t}" for t in TENTHS))])
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"_a_{x}")) for x in (*on, "metric")])
+    drawn = {f"q{t}": F.expr(f"(total * q{t} + {int(weight)} * _a_q{t}) div (total + {int(weight)})") for t in TENTHS}
+    return own.join(up, same).withColumns(drawn).drop(*up.columns)
+
+
+def fences_of(leaf: DataFrame, fence: int = FENCE, weight: int = WEIGHT) -> DataFrame:
+    """Merges the leaf sketches upwards by adding counts, draws each level's tenths towards those above and sets the fences of the groups."""
+    languages = _drawn(_points(leaf, "lang"), _points(leaf), [], weight)
+    groups = _drawn(_points(leaf, "lang", "source"), languages, ["lang"], weight)
+    low, mid, high = (F.col(f"q{t}") for t in TENTHS)
+    width = F.expr(f"q{TENTHS[2]} div 64")  # a bucket is named by its lowest value
+    fences = groups.select("lang", "source", "metric", F.struct((low - fence * (mid - low)).alias("low"), (high + width + fence * (high - mid)).alias("high")).alias("f"))
+    made = [F.max(F.when(F.col("metric") == m, F.col("f"))).alias(m) for m in STEPS]
+    return fences.groupBy(F.col("lang").alias("_k_lang"), F.col("source").alias("_k_source")).agg(*made)
 
 
-def judged(docs: DataFrame, keep: list[str], fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], fence: int = FENCE, weight: int = WEIGHT) -> DataFrame:
     """The columns `keep` of docs under `doc`, with the metrics and `kept`.
 
     The metrics are written once and read twice (for the sketches and for the verdicts), as they cost more than anything else here.
     """
     m = document_metrics(docs)
     m = stored(m.withColumn("doc", F.struct(*[F.col("doc").getField(c) for c in keep])).withColumns({"_lang": F.col("doc.lang"), "_source": F.col("doc.source")}), "quality")
-    fences = adaptive_thresholds(m, fence, min_group)
-    # A side has one row per language and source at most; the planner broadcasts it only while it is under the session's threshold.
-    out = m
-    for level, on in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
-        side = fences.where(F.col("level") == level).select(*[F.col(k).alias(f"k{level}_{k}") for k in on], F.struct(*STEPS).alias(f"f{level}"))
-        if on:
-            out = out.join(side, reduce(lambda a, b: a & b, [F.col(f"_{k}").eqNullSafe(F.col(f"k{level}_{k}")) for k in on]), "left")
-        else:
-            out = out.join(F.broadcast(side), F.lit(True), "left")  # one row at most
-    f = F.coalesce("f0", "f1", "f2")
+    # One row a group; the planner broadcasts them only while they are under the session's threshold.
+    fences = adaptive_thresholds(m, fence, weight).select("_k_lang", "_k_source", F.struct(*STEPS).alias("_f"))
+    out = m.join(fences, F.col("_lang").eqNullSafe(F.col("_k_lang")) & F.col("_source").eqNullSafe(F.col("_k_source")), "left")
+    f = F.col("_f")
     step = {x: F.ceil(F.lit(one) / F.greatest(F.col(of), F.lit(1))).cast("long") for x, (one, of) in STEPS.items()}
     inside = reduce(lambda a, b: a & b, [F.col(x).between(f[x]["low"] - step[x], f[x]["high"] + step[x]) for x in STEPS])
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def quality_verdicts(docs: DataFrame, **params) -> DataFrame:
