@@ -7,12 +7,13 @@
 2. Equal sets collapse to one node (a 64-bit hash of the whole set).
 3. Banding: each node has one key per band of coordinates. Buckets with two nodes or more are compared in blocks (see `grouped`), and each
    block gives a spanning forest of the pairs whose sketches agree enough: at most one edge fewer than it has nodes, never
-   all pairs. `MARGIN` below the threshold is over four standard deviations of the estimate, so nothing that may be linked is cut.
+   all pairs. `MARGIN` below the threshold is over five standard deviations of the estimate.
 4. Components of these edges are candidate groups. Each group's texts come together in blocks likewise, and every pair
    that isn't connected yet is settled on full shingle sets; verified links leave as a spanning forest.
 5. Components of verified links, by alternating large-star and small-star steps on tables, give the result.
 
-A link at the threshold is missed if no band agrees: 4e-7 for similarity 0.85 (25 bands of 5), 5e-8 for 0.8 (32 of 4).
+A link at the threshold is missed if no band agrees, 4e-7 for similarity 0.85 (25 bands of 5) and 5e-8 for 0.8 (32 of 4), or if too few of 128
+coordinates do, 4e-10 and 9e-9 by the binomial tail. It is lost only if no other links join the two.
 
 Cases: null texts and texts without words have the empty set and link with nothing. Fewer words than a shingle: the whole sequence is one
 shingle. Rows that repeat a doc_id belong to the component of their own text. Rows without doc_id are not linked: their component_id is null and kept false. Very long texts are
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, wide
+from .common import groups, scratch, small, stored, wide
 
-COORDS, BLOCK, HUBS, MARGIN = 128, 256, 8, 0.16
+COORDS, BLOCK, HUBS, MARGIN = 128, 256, 8, 0.22
 #: threshold in hundredths -> (bands, rows)
 BANDS = {85: (25, 5), 80: (32, 4)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,31 +103,11 @@ def _sketches(k: int, bands: int, rows: int):
                 for j in range(rows):
                     key = _mix(key + x[:, j])
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "low", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sum"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sum", "n_shingles", "node", "low", "keys"])
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, across batches; rows come sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        for s, e in zip([0, *new], [*new, b.num_rows]):
-            now = tuple(c[s] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(s, e - s))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges (smaller, larger) of a spanning forest of the links a[i]-b[i] between positions of node."""
     up, out = list(range(len(node))), []
@@ -156,7 +137,7 @@ def _alike(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], None] = {}
-        for g in _groups(batches, ["key", "i", "j"]):
+        for g in groups(batches, ["key", "i", "j"]):
             if g.num_rows > 1:
                 node = g.column("node").to_numpy()
                 low = np.frombuffer(b"".join(g.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
@@ -180,12 +161,12 @@ def _verified(k: int, num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for g in _groups(batches, ["comp", "i", "j"]):
+        for g in groups(batches, ["comp", "i", "j"]):
             sets, node, want = [], [], g.column("node").to_pylist()
             for t, w in zip(g.column("text").to_pylist(), want):
                 s = shingle_set(t, k)
                 id_ = int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
-                if id_ == w and id_ not in node[-1:]:  # a doc_id that repeats brings texts of other sets
+                if id_ == w and id_ not in node[-1:]:
                     sets.append(s)
                     node.append(id_)
             if len(node) < 2:
@@ -193,7 +174,7 @@ def _verified(k: int, num: int):
             size = np.array([len(s) for s in sets])
             ids, inv = np.unique(np.concatenate(sets), return_inverse=True)
             owner = np.repeat(np.arange(len(sets)), size)
-            inter = np.zeros((len(sets), len(sets)), np.float32)
+            inter = np.zeros((len(sets), len(sets)), np.int64)
             step = max(256, 8_000_000 // len(sets))
             order = np.argsort(inv, kind="stable")
             inv, owner = inv[order], owner[order]
@@ -201,7 +182,7 @@ def _verified(k: int, num: int):
                 lo, hi = np.searchsorted(inv, [s, s + step])
                 m = np.zeros((len(sets), min(step, len(ids) - s)), np.float32)
                 m[owner[lo:hi], inv[lo:hi] - s] = 1
-                inter += m @ m.T
+                inter += (m @ m.T).astype(np.int64)  # a step has fewer columns than float32 counts exactly
             union = size[:, None] + size[None, :] - inter
             a, b = np.nonzero(np.triu(100 * inter >= num * union, 1))
             yield _edges(_forest(np.array(node), a, b))
@@ -256,10 +237,11 @@ def connected(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()  # larger neighbours to the least
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        # Joined on another key than grouped by: so both sides are shuffled for the join itself, and a node with very many neighbours can be split.
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("k"), F.least("a", "m").alias("m"))
+        large = both.withColumn("k", F.bitwise_not("a")).join(least, "k").where("b > a").select(F.col("m").alias("a"), "b").distinct()  # larger neighbours to the least
+        down = large.groupBy("b").agg(F.min("a").alias("m")).select(F.bitwise_not("b").alias("k"), "m")
+        small = large.withColumn("k", F.bitwise_not("b")).join(down, "k").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         edges = stored(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -271,22 +253,25 @@ def connected(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every row, and (node, comp) of the nodes in components of two or more."""
     bands, rows = BANDS[num]
-    kind = "doc_id long, n_shingles long, node long, low binary, keys array<bigint>"
-    made = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(k, bands, rows), kind), "sketches")
-    ids = made.where("doc_id is not null and node is not null")
-    # One row a node, its least doc_id with its sketch (ties: any, they carry the same one); copies collapse before the shuffle.
-    rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "low", "keys")).alias("r"))
-    rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), F.col("r.low").alias("low"), F.col("r.keys").alias("keys")), "nodes")
-    nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
-    crowd = nodes.join(sizes.where("n > 1"), "key").join(rep.select("node", "low"), "node")
-    comps = stored(grouped(stored(crowd.select("key", "node", "n", "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
-    stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
-    member = comps.join(stats, "comp").join(rep.select("node", "rep"), "node").join(texts.hint("merge"), "rep")
-    member = stored(member.select("comp", "node", "n", "text"), "members")
-    return made.select("doc_id", "n_shingles", "node"), stored(grouped(member, "comp", _verified(k, num)), "linked")
+    kind = "doc_id long, sum long, n_shingles long, node long, low binary, keys array<bigint>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sum"))
+    made = stored(texts.mapInArrow(_sketches(k, bands, rows), kind), "sketches")
+    with scratch(docs.sparkSession):
+        ids = made.where("doc_id is not null and node is not null")
+        # One row a node, its least doc_id with its sketch (ties: any, they carry the same one); copies collapse before the shuffle.
+        rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "sum", "low", "keys")).alias("r"))
+        rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), F.col("r.sum").alias("sum"), F.col("r.low").alias("low"), F.col("r.keys").alias("keys")), "nodes")
+        nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
+        crowd = nodes.join(sizes.where("n > 1"), "key").join(rep.select("node", "low"), "node")
+        comps = stored(grouped(stored(crowd.select("key", "node", "n", "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
+        stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
+        # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
+        member = comps.join(stats, "comp").join(rep.select("node", "rep", "sum"), "node").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), ["rep", "sum"])
+        # a row that is repeated brings its text as often; one a node goes on
+        member = stored(member.groupBy("comp", "node", "n").agg(F.first("text").alias("text")), "members")
+        links = stored(grouped(member, "comp", _verified(k, num)), "linked", keep=True)
+    return made.select("doc_id", "n_shingles", "node"), links
 
 
 def components(docs: DataFrame, k: int = 3, num: int = 85) -> DataFrame:
