@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, near_dedup, nearest, packing, quality_rules, resampling, secret_scans, sentence_pieces, sharding
+from . import html_text, language_id, near_dedup, nearest, oracles, packing, quality_rules, resampling, secret_scans, sentence_pieces, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
