@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and its decisions take effect on what its predecessor kept; `run` writes each
 stage as Parquet in the shared folder and reads it again for the next one.
+
+Cases: rows with a null or empty text, or with fewer than 50 words, fail the first stage; null lang or source form groups of their own there.
+Repeated rows and exact or near copies leave one row. Rows with a null doc_id are judged on their texts like any other and their pieces carry a null doc_id.
+Of tied copies the least doc_id stays, a null one last, then the first row. An empty table gives no rows. Extra columns, whatever their names, go with
+their rows up to the last stage, which returns pieces.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stanzaflow.llm import language_id, near_dedup, packing, quality_rules, secret_scans
-from stanzaflow.llm.common import stored, table
+from stanzaflow.llm.common import scratch, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # a stage's own intermediates go when its rows are written
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
