@@ -1,58 +1,37 @@
-"""Command line: one text file, one report.
+"""Command line: one text file, one report, printed line by line.
 
-    python -m stanzaflow.cli FILE [chapter BOOK N | chapters-divisible-by-7 | line-samples [N] | text-words-debug | psalm-heading-words-debug |
+    python -m stanzaflow.cli FILE [chapter BOOK NAME N | chapters-divisible-by-7 | line-samples [N] | text-words-debug | psalm-heading-words-debug |
                                    psalms-unclassified-debug | book-stats-debug [--all] | numeric-chapters-debug | psalm-debug]
 """
 
 from __future__ import annotations
 
 import sys
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import books, machine, reports, totals
+from .operators.printed import command_report, in_order
 from .sources.lines import from_text_files
 
 
-def report(spark: SparkSession, path: str, command: str = "totals", *args: str) -> list[DataFrame]:
-    """The tables of one command; raises ValueError for what the command line cannot mean."""
-    lines = from_text_files(spark, path)
-    events = machine.events(lines)
-    located = lambda: books.with_chapter(books.with_book(events))
-    if command == "totals":
-        return [totals.total(events)]
-    if command == "chapter":
-        if len(args) != 2 or not args[1].isdigit():
-            raise ValueError("usage: chapter BOOK N")
-        return [totals.one_chapter(located(), args[0], int(args[1]))]
-    if command == "chapters-divisible-by-7":
-        return [totals.chapters_divisible_by_7(located())]
-    if command == "line-samples":
-        return [reports.line_samples(lines, int(args[0]) if args and args[0].isdigit() else 3)]
-    if command == "text-words-debug":
-        return [reports.text_word_lines(events), reports.text_word_groups(events), reports.other_breakdown(events)]
-    if command == "psalm-heading-words-debug":
-        return [reports.psalm_heading_lines(events), reports.psalm_heading_total(events)]
-    if command == "psalms-unclassified-debug":
-        return [reports.psalms_unclassified(lines, events)]
-    if command == "book-stats-debug":
-        booked = books.with_book(events)
-        return [totals.comparison(booked, "--all" in args).orderBy("ord"), totals.unexpected(booked)]
-    if command == "numeric-chapters-debug":
-        return [reports.numeric_chapters(events)]
-    if command == "psalm-debug":
-        return [reports.psalm_debug(events)]
-    raise ValueError(f"unknown command: {command}")
+def report(spark: SparkSession, path: str, command: str = "totals", *args: str) -> DataFrame:
+    """The printed lines of one command, in order; raises ValueError for what the command line cannot mean."""
+    return in_order(command_report(from_text_files(spark, path), command, *args))
+
+
+def write(rows: DataFrame, out: TextIO | None = None) -> None:
+    for row in rows.select("report_line").toLocalIterator():
+        print(row[0], file=out or sys.stdout)
 
 
 def main(argv: list[str]) -> int:
+    if not argv:
+        print(__doc__, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("stanzaflow").getOrCreate()
     try:
-        for table in report(spark, *argv):
-            print("\t".join(table.columns))
-            for row in table.toLocalIterator():
-                print("\t".join("" if v is None else str(v) for v in row))
-            print()
+        write(report(spark, *argv))
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1

@@ -5,12 +5,13 @@ STRIPPED = "\x00\t\n\x0b\f\r "
 TOKEN = r"\p{L}[\p{L}\p{M}]*+(?:[-'’]\p{L}[\p{L}\p{M}]*+)*+|[0-9]++"
 DIGITS = r"^[0-9]+\z"
 VERSE = r"(?s)^([0-9]+)[ \t\n\x0B\f\r]+(.+)\z"
+LEAD = r"^([0-9]+)(?:[ \t\n\x0B\f\r]|\z)"
 PSALM = r"^PSALM [0-9]+\z"
 STANZAS = "ALEPH. BETH. GIMEL. DALETH. HE. VAU. ZAIN. CHETH. TETH. JOD. CAPH. LAMED. MEM. NUN. SAMECH. AIN. PE. TZADDI. KOPH. RESH. SCHIN. TAU.".split()
 NO_WORD_AFTER = r"(?![\p{L}\p{M}\p{Nd}\p{Pc}])"
 HEADINGS = (
     r"To the chief Musician", r"A Psalm and Song", r"A Song and Psalm\b", r"A Psalm for ", r"A Song or Psalm\b", r"A Psalm or Song\b", r"A Psalm of ", r"Maschil\b",
-    r"Michtam\b", r"Shiggaion\b", r"A Prayer of ", r"A Song of degrees", r"A Song of ", r"A Psalm.\z", r"David[’']s Psalm of praise",
+    r"Michtam\b", r"Shiggaion\b", r"A Prayer of ", r"A Song of degrees", r"A Song of ", r"A Psalm\.\z", r"David[’']s Psalm of praise",
 )
 COLOPHONS = (
     r"^\[(The end|This ends).*\]\z", r"^Or the (foregoing|preceding).*\z", r"^Written from ", r"^The .+ written from .+\.\z", r"^Written to the .+",
@@ -29,7 +30,7 @@ TITLE_PATTERNS = (
 )
 PSALMS_START, PSALMS_END = "BOOK OF PSALMS.", "THE PROVERBS."
 FRONT = "Front matter"
-CATEGORIES = ("book_title", "chapter", "verse", "psalm_heading", "psalm_119_division", "colophon", "unclassified_text", "other")
+CATEGORIES = ("chapter", "verse", "psalm_heading", "psalm_119_division", "colophon", "book_title", "unclassified_text", "other")
 KINDS = (
     "split_verse_body", "psalm_119_division", "psalm_title", "psalm_heading", "verse_after_psalm_heading", "implicit_psalm_opening", "split_verse_number", "numbered_line",
 )
@@ -50,18 +51,17 @@ CANON = (
     ("2 Thessalonians", 3, 47), ("1 Timothy", 6, 113), ("2 Timothy", 4, 83), ("Titus", 3, 46), ("Philemon", 1, 25), ("Hebrews", 13, 303), ("James", 5, 108), ("1 Peter", 5, 105),
     ("2 Peter", 3, 61), ("1 John", 5, 105), ("2 John", 1, 13), ("3 John", 1, 14), ("Jude", 1, 25), ("Revelation", 22, 404),
 )
-#: lines that are a book's name in capitals with a full stop, after the given words
-NAMED_BY = {
-    "": "Genesis Exodus Leviticus Numbers Deuteronomy Ezra Isaiah Jeremiah Ezekiel Hosea Joel Amos Obadiah Jonah Micah Nahum Habakkuk Zephaniah Haggai Zechariah Malachi "
-    "Romans Galatians Ephesians Philippians Colossians Titus Philemon Hebrews James Jude",
-    "THE BOOK OF ": "Joshua Judges Ruth Job Daniel",
-    "BOOK OF ": "Nehemiah Esther Psalms",
-    "ST. ": "Matthew Mark Luke John",
-}
-OTHER_TRIGGERS = {
-    "FIRST BOOK OF SAMUEL,": "1 Samuel", "SECOND BOOK OF SAMUEL,": "2 Samuel", "THE THIRD BOOK OF THE KINGS.": "1 Kings", "THE FOURTH BOOK OF THE KINGS.": "2 Kings",
-    "THE PROVERBS.": "Proverbs", "ECCLESIASTES;": "Ecclesiastes", "SONG OF SOLOMON.": "Song of Solomon", "THE LAMENTATIONS": "Lamentations",
-    "ST. JOHN THE DIVINE.": "Revelation", "ACTS OF THE APOSTLES.": "Acts",
+#: line that starts a book -> that book
+TRIGGERS = {
+    "GENESIS.": "Genesis", "EXODUS.": "Exodus", "LEVITICUS.": "Leviticus", "NUMBERS.": "Numbers", "DEUTERONOMY.": "Deuteronomy", "THE BOOK OF JOSHUA.": "Joshua",
+    "THE BOOK OF JUDGES.": "Judges", "THE BOOK OF RUTH.": "Ruth", "FIRST BOOK OF SAMUEL,": "1 Samuel", "SECOND BOOK OF SAMUEL,": "2 Samuel", "THE THIRD BOOK OF THE KINGS.": "1 Kings",
+    "THE FOURTH BOOK OF THE KINGS.": "2 Kings", "EZRA.": "Ezra", "BOOK OF NEHEMIAH.": "Nehemiah", "BOOK OF ESTHER.": "Esther", "THE BOOK OF JOB.": "Job", "BOOK OF PSALMS.": "Psalms",
+    "THE PROVERBS.": "Proverbs", "ECCLESIASTES;": "Ecclesiastes", "SONG OF SOLOMON.": "Song of Solomon", "ISAIAH.": "Isaiah", "JEREMIAH.": "Jeremiah", "THE LAMENTATIONS": "Lamentations",
+    "EZEKIEL.": "Ezekiel", "THE BOOK OF DANIEL.": "Daniel", "HOSEA.": "Hosea", "JOEL.": "Joel", "AMOS.": "Amos", "OBADIAH.": "Obadiah", "JONAH.": "Jonah", "MICAH.": "Micah",
+    "NAHUM.": "Nahum", "HABAKKUK.": "Habakkuk", "ZEPHANIAH.": "Zephaniah", "HAGGAI.": "Haggai", "ZECHARIAH.": "Zechariah", "MALACHI.": "Malachi", "ST. MATTHEW.": "Matthew",
+    "ST. MARK.": "Mark", "ST. LUKE.": "Luke", "ST. JOHN.": "John", "ACTS OF THE APOSTLES.": "Acts", "ROMANS.": "Romans", "GALATIANS.": "Galatians", "EPHESIANS.": "Ephesians",
+    "PHILIPPIANS.": "Philippians", "COLOSSIANS.": "Colossians", "TITUS.": "Titus", "PHILEMON.": "Philemon", "HEBREWS.": "Hebrews", "JAMES.": "James", "JUDE.": "Jude",
+    "ST. JOHN THE DIVINE.": "Revelation",
 }
 #: trigger line, whether only the line before counts (else: anywhere in the ten lines before), text there, book; the first that holds wins
 AMBIGUOUS = (
@@ -72,8 +72,3 @@ AMBIGUOUS = (
     ("PETER.", False, "FIRST EPISTLE GENERAL OF", "1 Peter"), ("PETER.", False, "SECOND EPISTLE GENERAL OF", "2 Peter"),
     ("JOHN.", False, "FIRST EPISTLE GENERAL OF", "1 John"), ("JOHN.", False, "SECOND EPISTLE OF", "2 John"), ("JOHN.", False, "THIRD EPISTLE OF", "3 John"),
 )
-
-
-def triggers() -> dict[str, str]:
-    """Exact line -> book, for the lines that name one book."""
-    return {f"{lead}{b.upper()}.": b for lead, books in NAMED_BY.items() for b in books.split()} | OTHER_TRIGGERS

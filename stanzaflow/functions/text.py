@@ -36,17 +36,22 @@ def is_stanza(s: Column) -> Column:
     return s.isin(R.STANZAS)
 
 
+def _starts(s: Column, first: str) -> Column:
+    """A cheap test before a pattern whose matches all begin with one of these characters."""
+    return F.substring(s, 1, 1).isin(*first)
+
+
 def is_heading(s: Column) -> Column:
-    return s.rlike("(?iud)^(?:" + "|".join(R.HEADINGS).replace(r"\b", R.NO_WORD_AFTER) + ")")
+    return _starts(s, "TtAaMmSsſDd") & s.rlike("(?iud)^(?:" + "|".join(R.HEADINGS).replace(r"\b", R.NO_WORD_AFTER) + ")")
 
 
 def is_colophon(s: Column) -> Column:
     body = "|".join(R.COLOPHONS).replace(r".+\bfrom\b", r".*[^\p{L}\p{M}\p{Nd}\p{Pc}]from" + R.NO_WORD_AFTER).replace(r"\b", R.NO_WORD_AFTER)
-    return s.rlike("(?iud)(?:" + body + ")")
+    return _starts(s, "[OoWwTtUuIi") & s.rlike("(?iud)(?:" + body + ")")
 
 
 def is_title(s: Column) -> Column:
-    return s.isin(*R.TITLE_LINES) | s.rlike("(?d)^(?:" + "|".join(R.TITLE_PATTERNS) + r")\z")
+    return (s >= "A") & (s < "[") & (s.isin(*R.TITLE_LINES) | s.rlike("(?d)^(?:" + "|".join(R.TITLE_PATTERNS) + r")\z"))
 
 
 def verse_body(s: Column) -> Column:
@@ -59,8 +64,13 @@ def verse_number(s: Column) -> Column:
 
 
 def category(s: Column) -> Column:
+    return category_of(s, is_digits(s), is_stanza(s), is_verse(s), is_heading(s))
+
+
+def category_of(s: Column, digits: Column, stanza: Column, verse: Column, heading: Column) -> Column:
+    """category of a line whose first facts are known already."""
     return (
-        F.when(s == "", "other").when(is_digits(s), "chapter").when(is_stanza(s), "psalm_119_division").when(is_verse(s), "verse").when(is_heading(s), "psalm_heading")
+        F.when(s == "", "other").when(digits, "chapter").when(stanza, "psalm_119_division").when(verse, "verse").when(heading, "psalm_heading")
         .when(is_colophon(s), "colophon").when(is_title(s), "book_title").when(s.rlike(r"\p{L}"), "unclassified_text").otherwise("other")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,25 +27,27 @@ def with_book(events: DataFrame) -> DataFrame:
     s = F.col("stripped")
     e = events.withColumn("blob", F.concat_ws(" ", F.collect_list("stripped").over(by_line().rowsBetween(-10, -1))))
     by_book: dict[str, list[str]] = {}
-    for line, book in R.triggers().items():
+    for line, book in R.TRIGGERS.items():
         by_book.setdefault(book, []).append(line)
     start = reduce(lambda acc, kv: acc.when(s.isin(*kv[1]), kv[0]), by_book.items(), F.when(F.lit(False), ""))
     for line, only_before, part, book in R.AMBIGUOUS:
         start = start.when((s == line) & ((F.col("prev") == part) if only_before else F.contains(F.col("blob"), F.lit(part))), book)
     e = e.withColumn("book_start", start)
-    carried = F.last("book_start", ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("book", F.coalesce(carried, F.lit(R.FRONT)))
+    w = by_line()
+    carried = lambda last: F.coalesce(F.last("book_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(R.FRONT))
+    return e.withColumns({"book": carried(0), "book_before": carried(-1)})
 
 
 def with_chapter(booked: DataFrame) -> DataFrame:
     """Adds chapter (as the counting rules have it) and chapter_exact (split verse numbers do not count as chapters)."""
-    s = F.col("stripped")
-    changed = F.coalesce((F.col("book") != F.lag("book").over(by_line())).cast("int"), F.lit(0))
-    e = booked.withColumn("changed", changed).withColumn("book_run", F.sum("changed").over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     title = F.when(F.col("kind") == "psalm_title", F.expr("try_cast(substring(stripped, 7) as bigint)"))
     number = F.expr("try_cast(stripped as bigint)")
-    psalms = F.col("book") == "Psalms"
-    e = e.withColumn("mark", F.when(psalms, title).otherwise(F.when(F.col("digits"), number)))
-    e = e.withColumn("exact_mark", F.when(psalms, title).otherwise(F.when(F.col("numeric_chapter_lines") > 0, number)))
-    w = Window.partitionBy("doc_id", "book_run").orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("chapter", F.last("mark", ignorenulls=True).over(w)).withColumn("chapter_exact", F.last("exact_mark", ignorenulls=True).over(w)).drop("changed", "mark", "exact_mark")
+    psalms, changed = F.col("book") == "Psalms", F.col("book") != F.col("book_before")
+    upto = by_line().rowsBetween(Window.unboundedPreceding, 0)
+
+    def carried(numbered: Column) -> Column:
+        """The last number; a line that changes the book carries its own number or none."""
+        mark = F.when(psalms, title).otherwise(F.when(numbered, number))
+        return F.last(F.when(changed | mark.isNotNull(), F.struct(mark.alias("v"))), ignorenulls=True).over(upto)["v"]
+
+    return booked.withColumns({"chapter": carried(F.col("digits")), "chapter_exact": carried(F.col("numeric_chapter_lines") > 0)})

@@ -20,38 +20,41 @@ def by_line() -> WindowSpec:
 
 def features(lines: DataFrame) -> DataFrame:
     """Non-blank lines with the regex facts, each computed once before any window."""
-    s = lines.withColumn("stripped", T.strip(F.col("raw"))).where("stripped <> ''")
     c = F.col("stripped")
-    s = s.withColumns({
-        "digits": T.is_digits(c), "stanza": T.is_stanza(c), "title": T.is_psalm_title(c), "verse": T.is_verse(c), "heading": T.is_heading(c), "vnum": T.verse_number(c), "category": T.category(c),
-        "tok": T.token_count(c), "body_tok": F.when(T.is_verse(c), T.token_count(T.verse_body(c))).otherwise(F.lit(0).cast("long")),
+    s = lines.withColumn("stripped", T.strip(F.col("raw"))).where("stripped <> ''")
+    s = s.withColumns({"lead": F.regexp_extract(c, R.LEAD, 1), "stanza": T.is_stanza(c), "title": T.is_psalm_title(c), "heading": T.is_heading(c), "tok": T.token_count(c)})
+    digits, verse = (F.col("lead") != "") & (F.length("lead") == F.length(c)), (F.col("lead") != "") & (F.length("lead") < F.length(c))
+    s = s.withColumns({"digits": digits, "verse": verse})
+    late = F.col("verse") & ~F.ltrim("lead", F.lit("0")).isin("", "1")  # verse 2 or later
+    return s.withColumns({
+        "category": T.category_of(c, F.col("digits"), F.col("stanza"), F.col("verse"), F.col("heading")),
+        # the number is one token of the line, the rest are the verse's
+        "body_tok": F.when(F.col("verse"), F.col("tok") - 1).otherwise(F.lit(0).cast("long")), "opens_next": late | F.col("title"),
     })
-    late = F.col("verse") & ~F.col("vnum").isin("", "1")  # verse 2 or later
-    return s.withColumn("opens_next", late | F.col("title"))
 
 
 def events(lines: DataFrame) -> DataFrame:
-    """One row per non-blank line: kind, the ten counters, and the neighbours that reports show."""
+    """One row per non-blank line: kind, the ten counters, and the neighbours that reports show. All windows share one partitioning and one order."""
     f = features(lines)
-    before = by_line().rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_line().rowsBetween(Window.unboundedPreceding, 0)
+    w = by_line()
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    next_ = lambda c, at_end: F.coalesce(F.lead(c).over(w), F.lit(at_end))
     f = f.withColumns({
-        "has_next": F.lead("stripped").over(by_line()).isNotNull(), "next_opens": F.coalesce(F.lead("opens_next").over(by_line()), F.lit(True)), "next_sets": F.coalesce(F.lead(F.col("stanza") | F.col("title")).over(by_line()), F.lit(False)),
-        "prev_raw": F.lag("raw").over(by_line()), "next_raw": F.lead("raw").over(by_line()), "prev": F.lag("stripped").over(by_line()), "next": F.lead("stripped").over(by_line()),
-        "run": F.sum(F.when(F.col("digits"), 0).otherwise(1)).over(upto),
+        "n": F.row_number().over(w), "next_opens": next_("opens_next", True), "next_sets": next_(F.col("stanza") | F.col("title"), False),
+        "prev_raw": F.lag("raw").over(w), "next_raw": F.lead("raw").over(w), "prev": F.lag("stripped").over(w), "next": F.lead("stripped").over(w),
     })
-    in_run = Window.partitionBy("doc_id", "run").orderBy("lineno")
-    f = f.withColumn("pos", F.when(F.col("digits"), F.sum(F.col("digits").cast("int")).over(in_run.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))
-    last_pos = F.coalesce(F.lag("pos").over(by_line()), F.lit(0))
-    f = f.withColumn("after_even", ~F.col("digits") & (last_pos > 0) & (last_pos % 2 == 0))
+    other = F.when(~F.col("digits"), F.col("n"))  # lines that end a run of digit-only lines
+    since = lambda frame: F.coalesce(F.last(other, ignorenulls=True).over(frame), F.lit(0))
+    f = f.withColumns({"pos": F.col("n") - since(upto), "last_pos": F.col("n") - 1 - since(before)})  # place in such a run; 0 outside
+    f = f.withColumn("after_even", ~F.col("digits") & (F.col("last_pos") > 0) & (F.col("last_pos") % 2 == 0))
     sets = F.col("stanza") | F.col("title")
     f = f.withColumn(
         "turn",
         F.when(sets, F.when(~F.col("after_even"), True)).when(F.col("heading"), F.lit(None).cast("boolean")).when(F.col("verse"), False)
         .when(F.col("digits") & (F.col("pos") % 2 == 0) & F.col("next_sets"), F.lit(None).cast("boolean")).when(F.col("next_opens"), False),
     )
-    f = f.withColumn("waiting", F.coalesce(F.last("turn", ignorenulls=True).over(before), F.lit(False)))
-    f = f.withColumn("was_waiting", F.coalesce(F.lag("waiting").over(by_line()), F.lit(False)))
+    turned = lambda frame: F.coalesce(F.last("turn", ignorenulls=True).over(frame), F.lit(False))
+    f = f.withColumns({"waiting": turned(before), "was_waiting": turned(w.rowsBetween(Window.unboundedPreceding, -2))})
     wait, dig = F.col("waiting"), F.col("digits")
     consumed = F.when(dig, ~wait & (F.col("pos") >= 3) & (F.col("pos") % 2 == 1)).otherwise(F.col("after_even") & ~F.col("was_waiting"))
     kind = (
@@ -74,7 +77,7 @@ def events(lines: DataFrame) -> DataFrame:
         "psalm_chapter_titles": num(k == "psalm_title"), "numeric_chapter_lines": num(plain & dig), "implicit_psalm_verse_1": num(opens),
         "numbered_verse_lines": num(verse_row | (k == "split_verse_number")),
     })
-    return f.select("doc_id", "lineno", "raw", "stripped", "kind", "category", *R.COUNTERS, "digits", "prev_raw", "next_raw", "prev", "next", "tok", "waiting")
+    return f.select("doc_id", "lineno", "raw", "stripped", "kind", "category", *R.COUNTERS, "digits", "prev_raw", "next_raw", "prev", "next", "next_opens", (~(F.col("stanza") | F.col("title") | F.col("heading") | F.col("digits") | F.col("verse"))).alias("unmarked"))
 
 
 def assert_kinds(events_df: DataFrame) -> DataFrame:

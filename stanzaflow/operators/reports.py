@@ -34,13 +34,14 @@ def psalms_range(lines: DataFrame) -> DataFrame:
 
 def with_implicit(events: DataFrame) -> DataFrame:
     """Adds looks_implicit, the look-ahead rule of the classifier: unlike the parser's, the last line never is."""
-    s, nxt = F.col("stripped"), F.col("next")
-    never = T.is_stanza(s) | T.is_psalm_title(s) | T.is_heading(s) | T.is_digits(s) | T.is_verse(s)
-    return events.withColumn("looks_implicit", F.coalesce(~never & (T.is_psalm_title(nxt) | ~T.verse_number(nxt).isin("", "1")), F.lit(False)))
+    return events.withColumn("looks_implicit", F.col("unmarked") & F.col("next").isNotNull() & F.col("next_opens"))
 
 
-def psalms_unclassified(lines: DataFrame, events: DataFrame) -> DataFrame:
-    e = with_implicit(events).join(psalms_range(lines), "doc_id").where("lineno between first and last and not looks_implicit and category = 'unclassified_text'")
+def psalms_unclassified(events: DataFrame) -> DataFrame:
+    """Both ends are read off a window of the document, so its lines are scanned once and joined with nothing."""
+    first = lambda line: F.min(F.when(F.col("stripped") == line, F.col("lineno"))).over(Window.partitionBy("doc_id"))
+    e = with_implicit(events).withColumns({"_a": first(R.PSALMS_START), "_b": first(R.PSALMS_END)})
+    e = e.where("lineno > _a and lineno < _b and not looks_implicit and category = 'unclassified_text'")
     return e.select("doc_id", "lineno", "raw", "prev", "next")
 
 
@@ -76,5 +77,5 @@ def psalm_heading_total(events: DataFrame) -> DataFrame:
 
 def psalm_debug(events: DataFrame) -> DataFrame:
     """Each `PSALM n` line with the next two non-blank lines and their categories."""
-    cols = {f"{c}_{k}": F.lead(c, k).over(by_line()) for k in (1, 2) for c in ("lineno", "stripped", "category")}
-    return events.withColumns(cols).where(T.is_psalm_title(F.col("stripped"))).select("doc_id", "lineno", "stripped", "category", *cols)
+    cols = {f"{c}_{k}": F.lead(c, k).over(by_line()) for k in (1, 2) for c in ("lineno", "stripped", "category", "raw")}
+    return events.withColumns(cols).where(T.is_psalm_title(F.col("stripped"))).select("doc_id", "lineno", "raw", "stripped", "category", *cols)

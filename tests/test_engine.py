@@ -1,11 +1,16 @@
 """Small sequences with known kinds and counters, the state machine against a sequential model, and scalar rules."""
 
 import itertools
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from stanzaflow import cli
+from stanzaflow import catalog, cli
 from stanzaflow.functions import rules as R
 from stanzaflow.functions import text as T
 from stanzaflow.operators import books, machine, reports, totals
@@ -113,7 +118,7 @@ def test_categories(spark):
 
 def test_all_books_and_chapters(spark):
     lines, want = [], []
-    for line, book in R.triggers().items():
+    for line, book in R.TRIGGERS.items():
         lines += [line, "1", "1 a b"]
         want.append(book)
     for line, _, before, book in R.AMBIGUOUS:
@@ -139,25 +144,75 @@ def test_psalms_reports(spark):
     events = machine.events(lines)
     assert [(r.first, r.last) for r in reports.psalms_range(lines).collect()] == [(2, 6)]
     assert [r.lineno for r in reports.with_implicit(events).where("looks_implicit").orderBy("lineno").collect()] == [1, 3, 5]
-    assert reports.psalms_unclassified(lines, events).count() == 0
+    assert reports.psalms_unclassified(events).count() == 0
     assert reports.psalm_debug(events).count() == 2 and reports.line_samples(lines, 0).count() >= 8
     assert {r.bucket for r in reports.text_word_groups(events).collect()} == {"book_titles_cover", "colophon", "other"}
 
 
-def test_sources_and_cli(spark, tmp_path):
+def test_psalm_stop_is_a_full_stop(spark):
+    """The heading `A Psalm.` ends in a full stop, not in any character."""
+    want = {"A Psalm.": "psalm_heading", "A Psalms": "unclassified_text", "A Psalm,": "unclassified_text", "a psalm.": "psalm_heading", "A Psalm": "unclassified_text", "A Psalm. x": "unclassified_text"}
+    lines = from_lines(spark, want)
+    assert {r.stripped: r.category for r in reports.classified(lines).collect()} == want
+    events = machine.events(from_lines(spark, ["PSALM 1", "A Psalms", "1 one", "PSALM 2", "A Psalm.", "1 one"]))
+    assert [r.kind for r in events.orderBy("lineno").collect()] == "psalm_title implicit_psalm_opening verse_after_psalm_heading psalm_title psalm_heading verse_after_psalm_heading".split()
+
+
+def test_unclassified_between_marks(spark):
+    """Lines between the first marks of their document only, whatever order the documents come in."""
+    body = ["Before it", "BOOK OF PSALMS.", "Stray one", "x", "THE PROVERBS.", "After it", "BOOK OF PSALMS.", "Later"]
+    lines = from_lines(spark, body, 1).union(from_lines(spark, body[::-1], 2)).union(from_lines(spark, body[:4], 3))
+    assert [(r.doc_id, r.lineno) for r in reports.psalms_unclassified(machine.events(lines)).orderBy("doc_id", "lineno").collect()] == [(1, 3), (1, 4), (2, 3)]
+    assert [(r.doc_id, r.first, r.last) for r in reports.psalms_range(lines).orderBy("doc_id").collect()] == [(1, 3, 4), (2, 3, 3)]
+
+
+def test_sources_and_cli(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_bytes("1\r\n1 IN the beginning\n\nend".encode())
-    r = cli.report(spark, str(tmp_path / "a.txt"))[0].first()
-    assert (r.chapter_numbers, r.verse_text_words, r.text_words) == (1, 3, 1)
-    for command in ("chapters-divisible-by-7", "line-samples", "text-words-debug", "psalm-heading-words-debug", "psalms-unclassified-debug", "book-stats-debug", "numeric-chapters-debug", "psalm-debug"):
-        assert all(t.collect() is not None for t in cli.report(spark, str(tmp_path / "a.txt"), command))
-    with pytest.raises(ValueError):
-        cli.report(spark, str(tmp_path / "a.txt"), "chapter", "Genesis")
+    path = str(tmp_path / "a.txt")
+    printed = lambda *args: [r.report_line for r in cli.report(spark, path, *args).collect()]
+    assert printed() == [
+        "Text words: 1", "Verse text words: 3", "Psalm heading words: 0", "Psalm 119 division words: 0", "Chapter numbers: 1", "Verse numbers: 1", "", "Debug:", "  PSALM chapter titles: 0",
+        "  Numeric chapter lines: 1", "  Implicit Psalm verse 1: 0", "  Numbered verse lines: 1", "", "Combined total: 6", "Divisible by 7: false",
+    ]
+    assert printed("text-words-debug") == [
+        "Lines contributing to text_words (1 lines, 1 tokens)", "", "L4\t1 tok\tunclassified_text", "  end", "", "--- Subtotals (by LineClassifier bucket) ---", "book titles / cover: 0 tokens", "colophons: 0 tokens",
+        "other: 1 tokens", "", "--- other (by classification) ---", "  unclassified_text: 1 tokens", "", "Total text_words: 1",
+    ]
+    assert printed("numeric-chapters-debug") == ["---", "line 1: 1", "  previous non-empty: (none)", "  next non-empty: 1 IN the beginning", "---", "Total numeric chapter lines: 1"]
+    assert printed("psalms-unclassified-debug") == ["Could not find BOOK OF PSALMS. … THE PROVERBS. span."]
+    assert printed("psalm-heading-words-debug") == ["Lines contributing to psalm_heading_words (0 lines)", "", "Total psalm_heading_words: 0"]
+    assert printed("line-samples", "1")[:8] == ["== chapter ==", "  1", "", "== verse ==", "  1 IN the beginning", "", "== psalm_heading ==", "  (no lines matched in this file)"]
+    assert printed("book-stats-debug")[-2:] == ["Canonical books: 66", "Mismatches vs canon: 66"] and len(printed("book-stats-debug")) == 69
+    assert printed("book-stats-debug", "--all")[-4:] == ["Front matter: chapters 1, verses 1", "", "Canonical books: 66", "Printed all 66 books (+ front matter)."]
+    assert printed("chapter", "Song", "of", "Solomon", "1")[:2] == ["Book: Song of Solomon", "Chapter: 1"] and printed("chapter", "1", "samuel", "3")[0] == "Book: 1 Samuel"
+    assert printed("chapters-divisible-by-7") == []
+    for bad in (("chapter", "Genesis"), ("chapter", "Genesis", "x"), ("chapter", "No", "Book", "1"), ("unknown",)):
+        with pytest.raises(ValueError):
+            cli.report(spark, path, *bad)
+    (tmp_path / "p.txt").write_text("PSALM 3\n\n  LORD, how\n2 Many there be")
+    cli.write(cli.report(spark, str(tmp_path / "p.txt"), "psalm-debug"))
+    assert capsys.readouterr().out.splitlines() == [
+        "line 1: PSALM 3", "  classification: book_title", "  next non-empty (line 3):   LORD, how", "    classification: unclassified_text", "  next non-empty (line 4): 2 Many there be", "    classification: verse", "",
+    ]
     docs = spark.createDataFrame([(1, "a\n\nb\n"), (2, None), (3, "")], "doc_id long, text string")
     assert [(r.doc_id, r.lineno, r.raw) for r in exploded(docs).orderBy("doc_id", "lineno").collect()] == [(1, 1, "a"), (1, 2, ""), (1, 3, "b")]
 
 
-def test_entry_without_llm(spark):
+def test_windows_share_one_sort(spark):
+    """Books and chapters ride on the partitioning and the order of the events."""
+    located = books.with_chapter(books.with_book(machine.events(from_lines(spark, ["a", "1"]))))
+    plan = located._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("- Sort [") + plan.count("Sort [") <= 2 and "Python" not in plan
+
+
+def test_entry_without_llm(spark, tmp_path):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 200
+    root = Path(e.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(q) == set(s) and not any(k.startswith('op') for k in q); print(len(q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) == len(catalog.queries()), done.stderr
