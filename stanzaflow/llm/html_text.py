@@ -1,13 +1,17 @@
 """HTML main-text extraction (operator 6).
 
-A page is flattened into text blocks. Each block gets its word count and link density and those of its neighbours, and
-marks of where it stood (inside an article, inside a part that the markup names as menu, header, footer, sidebar, notice, advert, form or
-comments). A decision tree, trained on the small labelled table below, tells content from the rest.
-
-Cases: null html is empty; a page without content gives the empty string. Unclosed tags end with what encloses them; an unclosed script,
-style or comment runs to the end of the page. Other elements whose content is no text of the page (svg, button, object, ...) go with it where they are
-closed; self-closed or unclosed they are one tag. Null url and repeated rows pass through. Very long pages are taken whole. Extra columns
-are ignored.
+A page is flattened into text blocks. Each block gets its word count and link density and those of its neighbours, and three weaker
+marks: how clearly the markup around it names a part that is no article (`hint`, 0 to 2), whether it stands in an article or main element, and whether it says
+itself that it is boilerplate (`cue`). A decision tree, trained on the small labelled table below, tells content from the rest.
+
+No text feature can tell an advert's sentence from an article's, so where markup names a part for what it is (a nav, aside, footer or form element, a role, a class
+that is nothing but such names) the tree follows it. A name that is only a piece of a class (legal-note, social-history) does not hide link-poor text, and boilerplate that no
+markup names goes by its words, links and neighbours.
+
+Cases: null html is empty; a page without content gives the empty string, an empty table no rows. Unclosed tags end with what encloses them; an unclosed script,
+style or comment runs to the end of the page. Other elements whose content is no text of the page (svg, button, select, ...) go with it where they are
+closed; self-closed or unclosed they are one tag. Null url, repeated rows and tied ids pass through, each judged on its own. Very long pages are taken whole. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import small
 
 # --- fixed values: names of HTML elements and of page parts ---
-RAW = "noscript|template|textarea|select|svg|iframe|title|button|object|canvas|audio|video|math"
+RAW = "noscript|template|textarea|select|svg|iframe|title|button"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
@@ -34,8 +38,15 @@ _NAMES = (
     r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promos?|promotion|banner|sidebar|side-bar|comments?|comment-?list|disqus|respond|replies|notices?|cookies?|consent|gdpr|"
     r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|tags?|copyright|legal|skip"
 )
-PART_NAMES = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
-PART_TOKEN = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:$|\s)", re.I)  # whole class names only, for what holds the page's text
+PART_NAME = re.compile(_NAMES, re.I)
+#: what a class name may add to a part's name without meaning something else: kinds of boxes after it, places before it
+BOXES = frozenset("area bar block body box button buttons col column container content entry form group holder icon icons image inner item items left link links list main panel right row section strip text title top wrap wrapper".split())
+PLACES = frozenset("bottom fixed global left main mobile page post primary right secondary site sticky sub top".split())
+CUE = re.compile(
+    r"©|\(c\)|\b(?:copyright|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign (?:in|up)\b|log ?in\b|share (?:this|on)|follow us|advertisement|sponsored|"
+    r"(?:related|recommended|popular|recent) (?:articles|posts|stories)|read more|powered by|leave a (?:reply|comment)|filed under|posted in)",
+    re.I,
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -61,24 +72,43 @@ def _raw_spans(page: str) -> dict[int, int]:
     return spans
 
 
-def _hint(tag: str, attrs: str, in_main: bool) -> bool:
+def _named(value: str, whole: bool) -> int:
+    """2 if a class or id names such a part and nothing else, 1 if a piece of it does. whole: only names that stand alone count."""
+    level = 0
+    for token in value.split():
+        if PART_NAME.fullmatch(token):
+            return 2
+        pieces = [x for x in re.split("[_-]+", token) if x]
+        named = [bool(PART_NAME.fullmatch(x)) for x in pieces]
+        if whole or not any(named):
+            continue
+        first, last = named.index(True), len(named) - 1 - named[::-1].index(True)
+        clear = all(named[first : last + 1]) and all(x.lower() in PLACES for x in pieces[:first]) and all(x.lower() in BOXES for x in pieces[last + 1 :])
+        level = max(level, 2 if clear else 1)
+        if level == 2:
+            return 2
+    return level
+
+
+def _hint(tag: str, attrs: str, in_main: bool) -> int:
     if tag in PARTS or (tag == "header" and not in_main):
-        return True
+        return 2
     if tag in ("html", "body"):
-        return False
+        return 0
+    level = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and (PART_TOKEN if tag in ("article", "main") else PART_NAMES).search(value):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
+            return 2
+        if name in ("class", "id"):
+            level = max(level, _named(value, tag in ("article", "main")))
+    return level
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, hinted, in main) of each block with text, in page order."""
+def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, words, words in links, hint, in main) of each block with text, in page order."""
     out, parts, links = [], [], 0
-    open_: list[tuple[str, bool, bool]] = []  # holder, hinted, in main
+    open_: list[tuple[str, int, bool]] = []  # holder, hint, in main
     in_link = 0
 
     def flush() -> None:
@@ -86,7 +116,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, hinted, main = open_[-1] if open_ else ("", False, False)
+            _, hinted, main = open_[-1] if open_ else ("", 0, False)
             n = len(text.split(" "))
             out.append((text, n, min(links, n), hinted, main))
         links = 0
@@ -124,39 +154,70 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
                         open_.pop()
                     if tag == "body":  # whatever the head left open
                         open_.clear()
-                    _, hinted, main = open_[-1] if open_ else ("", False, False)
-                    fresh = tag in ("article", "main") and not any(h and t in ("aside", "article", "section", "li") for t, h, _ in open_)
+                    _, hinted, main = open_[-1] if open_ else ("", 0, False)
+                    fresh = tag in ("article", "main") and not any(h == 2 and t in ("aside", "article", "section", "li") for t, h, _ in open_)
                     attrs = m["attrs"] or ""
-                    hinted = _hint(tag, attrs, main) if fresh else hinted or _hint(tag, attrs, main)
+                    hinted = _hint(tag, attrs, main) if fresh else max(hinted, _hint(tag, attrs, main))
                     open_.append((tag, hinted, main or tag in ("article", "main")))
     words(page[at:])
     flush()
     return out
 
 
-# --- fixed values: the labelled table. words, link density in hundredths, the same of the block before and after, hinted, in main -> content ---
+# --- the labelled table: pages as rows of blocks, labelled by hand. words, words in links, hint, in main, cue -> content ---
 LABELLED = (
-    (1, 100, 0, 0, 1, 100, 1, 0, 0), (1, 100, 1, 100, 12, 0, 1, 0, 0), (3, 100, 2, 100, 4, 100, 1, 0, 0), (9, 0, 1, 100, 12, 0, 1, 0, 0), (14, 0, 85, 0, 0, 0, 1, 0, 0),
-    (40, 0, 85, 0, 30, 0, 1, 0, 0), (120, 0, 90, 0, 60, 0, 1, 0, 0), (30, 10, 60, 0, 25, 5, 1, 1, 0), (6, 0, 40, 0, 50, 0, 1, 1, 0), (220, 2, 10, 0, 90, 0, 1, 1, 0),
-    (12, 0, 9, 0, 90, 0, 0, 1, 1), (1, 0, 90, 0, 60, 0, 0, 1, 1), (2, 0, 45, 0, 70, 0, 0, 1, 1), (90, 0, 12, 0, 45, 0, 0, 1, 1), (60, 5, 90, 0, 10, 0, 0, 1, 1),
-    (35, 12, 60, 0, 80, 0, 0, 1, 1), (200, 1, 60, 0, 14, 0, 0, 1, 1), (4, 0, 200, 1, 14, 0, 0, 1, 1), (25, 30, 70, 0, 65, 2, 0, 1, 1), (3, 0, 0, 0, 0, 0, 0, 1, 1),
-    (3, 0, 40, 0, 2, 100, 0, 1, 1), (5, 0, 3, 100, 40, 0, 0, 1, 1), (1, 0, 2, 100, 3, 100, 0, 1, 1), (9, 0, 50, 0, 1, 100, 0, 1, 1), (6, 0, 1, 100, 4, 100, 0, 1, 1), (12, 0, 7, 60, 2, 100, 0, 1, 1),
-    (3, 100, 80, 0, 2, 100, 0, 1, 0), (5, 90, 3, 100, 3, 100, 0, 1, 0), (8, 88, 60, 0, 6, 100, 0, 1, 0), (1, 100, 30, 0, 0, 0, 0, 1, 0),
-    (80, 0, 0, 0, 95, 0, 0, 0, 1), (55, 4, 80, 0, 40, 0, 0, 0, 1), (30, 0, 60, 0, 70, 0, 0, 0, 1), (24, 10, 45, 0, 50, 6, 0, 0, 1), (8, 0, 0, 0, 80, 0, 0, 0, 1),
-    (5, 0, 70, 0, 75, 0, 0, 0, 1), (3, 0, 40, 0, 65, 0, 0, 0, 1), (150, 3, 4, 0, 3, 100, 0, 0, 1), (18, 0, 35, 0, 4, 0, 0, 0, 1), (22, 0, 3, 100, 40, 0, 0, 0, 1),
-    (2, 100, 1, 100, 2, 100, 0, 0, 0), (4, 75, 2, 100, 50, 0, 0, 0, 0), (6, 60, 80, 0, 3, 100, 0, 0, 0), (5, 0, 3, 100, 2, 100, 0, 0, 0), (3, 0, 2, 100, 0, 0, 0, 0, 0),
-    (7, 50, 0, 0, 4, 100, 0, 0, 0), (15, 70, 30, 0, 12, 80, 0, 0, 0), (28, 65, 9, 80, 5, 100, 0, 0, 0), (4, 0, 4, 90, 6, 100, 0, 0, 0), (2, 0, 3, 100, 3, 0, 0, 0, 0),
+    # a newspaper's article, well marked, with links and readers' comments inside the article
+    ((1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (12, 0, 2, 0, 0, 0), (9, 0, 0, 1, 0, 1), (4, 1, 0, 1, 0, 1), (64, 0, 0, 1, 0, 1), (85, 3, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (41, 0, 0, 1, 0, 1),
+     (6, 6, 2, 1, 0, 0), (8, 8, 0, 1, 0, 0), (7, 7, 0, 1, 0, 0), (1, 0, 2, 1, 0, 0), (38, 0, 2, 1, 0, 0), (120, 2, 2, 1, 0, 0), (14, 0, 2, 0, 1, 0), (5, 5, 2, 0, 0, 0)),
+    # a short notice in an article element between menu, advert and footer
+    ((1, 1, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (9, 0, 2, 0, 0, 0), (2, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (13, 0, 2, 0, 1, 0)),
+    # a long read: paragraphs of every length, a line about rights and one about cookies that belong to it
+    ((1, 1, 2, 0, 0, 0), (16, 0, 2, 0, 0, 0), (7, 0, 0, 1, 0, 1), (180, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (22, 0, 0, 1, 1, 1), (9, 0, 0, 1, 1, 1), (4, 0, 0, 1, 1, 1), (240, 4, 0, 1, 0, 1), (15, 6, 0, 1, 0, 1),
+     (1, 0, 0, 1, 0, 1), (33, 12, 0, 1, 0, 1), (70, 0, 0, 1, 1, 1), (10, 0, 2, 0, 1, 0)),
+    # a weblog of plain boxes, nothing named
+    ((3, 3, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 0, 1), (95, 0, 0, 0, 0, 1), (120, 5, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (14, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1), (11, 1, 0, 0, 0, 1),
+     (70, 2, 0, 0, 0, 1), (6, 4, 0, 0, 1, 0), (8, 8, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (9, 0, 0, 0, 1, 0), (3, 1, 0, 0, 1, 0)),
+    # a page with an unnamed cookie line on top and an unnamed line of rights at the end
+    ((26, 3, 0, 0, 1, 0), (2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (110, 0, 0, 0, 0, 1), (45, 1, 0, 0, 0, 1), (80, 0, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (7, 0, 0, 0, 1, 0), (12, 4, 0, 0, 1, 0), (24, 0, 0, 0, 1, 0)),
+    # a manual: table of contents, code and short lines in main
+    ((2, 2, 2, 0, 0, 0), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (5, 5, 0, 1, 0, 0), (3, 0, 0, 1, 0, 1), (28, 3, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (12, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (50, 9, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (4, 4, 2, 0, 0, 0)),
+    # article boxes whose classes only contain a part's name
+    ((1, 1, 2, 0, 0, 0), (6, 0, 0, 1, 0, 1), (45, 0, 1, 1, 0, 1), (80, 2, 1, 1, 0, 1), (10, 0, 1, 1, 0, 1), (3, 0, 1, 1, 0, 1), (60, 0, 0, 1, 0, 1), (5, 4, 1, 1, 0, 0), (3, 3, 1, 1, 0, 0), (11, 0, 2, 0, 1, 0)),
+    # such boxes outside: text, and lists of links
+    ((2, 2, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (8, 0, 0, 0, 0, 1), (70, 0, 1, 0, 0, 1), (90, 3, 1, 0, 0, 1), (55, 0, 0, 0, 0, 1), (4, 4, 1, 0, 0, 0), (6, 6, 1, 0, 0, 0), (5, 2, 1, 0, 1, 0), (16, 2, 1, 0, 1, 0)),
+    # a sidebar and comments of prose that markup names
+    ((3, 3, 2, 0, 0, 0), (5, 0, 0, 0, 0, 1), (88, 0, 0, 0, 0, 1), (64, 2, 0, 0, 0, 1), (2, 0, 2, 0, 0, 0), (55, 0, 2, 0, 0, 0), (130, 4, 2, 0, 0, 0), (20, 0, 2, 0, 0, 0), (1, 0, 2, 0, 0, 0), (210, 0, 2, 0, 0, 0), (8, 0, 2, 0, 1, 0)),
+    # a portal: lists of teasers, no article
+    ((2, 2, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (11, 9, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (12, 10, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (2, 1, 0, 0, 1, 0)),
+    # a reference page: title above links to its parts, a short last paragraph before more links
+    ((1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (3, 0, 0, 1, 0, 1), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (2, 0, 0, 1, 0, 1), (44, 2, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (9, 0, 0, 1, 0, 1), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (4, 4, 2, 0, 0, 0)),
+    ((2, 2, 2, 0, 0, 0), (1, 0, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (17, 1, 0, 1, 0, 1), (13, 0, 0, 1, 1, 1), (3, 3, 2, 1, 0, 0), (6, 0, 2, 0, 1, 0)),
+    # the same without main element
+    ((3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (8, 0, 0, 0, 1, 0)),
+    # a recipe without main element
+    ((1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (4, 0, 0, 0, 0, 1), (32, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (24, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (4, 3, 0, 0, 1, 0), (6, 0, 0, 0, 1, 0)),
 )
 
 
-def grow(rows: tuple, depth: int = 6):
+def rows_of(page: list[tuple[int, int, int, int, int]]) -> list[tuple]:
+    """Features of a page's blocks: words and link density in hundredths, the same of the block before and of that after, hint, in main, cue."""
+    size = [(w, 100 * links // w) for w, links, *_ in page]
+    none = (0, 0)
+    return [(*x, *(size[i - 1] if i else none), *(size[i + 1] if i + 1 < len(size) else none), *map(int, page[i][2:5])) for i, x in enumerate(size)]
+
+
+def labelled(pages: tuple = LABELLED) -> list[tuple]:
+    return [(*f, b[5]) for page in pages for f, b in zip(rows_of([b[:5] for b in page]), page)]
+
+
+def grow(rows: list[tuple], depth: int = 8):
     """A decision tree by Gini impurity: a leaf is 0 or 1, a node (feature, cut, at most, above)."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones >= len(rows))
     gini = lambda part: (k := sum(r[-1] for r in part)) * (len(part) - k) / len(part)
     best = None
-    for f in (6, 7, 1, 0, 3, 5, 2, 4):  # ties go to what the markup says, then to the block itself
+    for f in (1, 0, 3, 5, 2, 4, 8, 7, 6):  # ties go to the block itself, then to its neighbours, markup last
         values = sorted({r[f] for r in rows})
         for a, b in zip(values, values[1:]):
             low, high = [r for r in rows if r[f] <= a], [r for r in rows if r[f] > a]
@@ -165,7 +226,11 @@ def grow(rows: tuple, depth: int = 6):
                 best = (score, f, (a + b) / 2, low, high)
     if best is None:
         return int(2 * ones >= len(rows))
-    return best[1], best[2], grow(tuple(best[3]), depth - 1), grow(tuple(best[4]), depth - 1)
+    return best[1], best[2], grow(best[3], depth - 1), grow(best[4], depth - 1)
+
+
+def trained():
+    return grow(labelled())
 
 
 def decide(tree, features: tuple) -> int:
@@ -175,19 +240,18 @@ def decide(tree, features: tuple) -> int:
     return tree
 
 
+def verdicts(blocks: list[tuple[str, int, int, int, bool]], tree) -> list[int]:
+    """1 for each block that is content."""
+    return [decide(tree, f) for f in rows_of([(*b[1:], bool(CUE.search(b[0]))) for b in blocks])]
+
+
 def main_text(page: str | None, tree) -> str:
     blocks = blocks_of(page) if page else []
-    kept, none = [], (0, 0)
-    size = [(b[1], 100 * b[2] // b[1]) for b in blocks]
-    for i, b in enumerate(blocks):
-        before, after = size[i - 1] if i else none, size[i + 1] if i + 1 < len(size) else none
-        if decide(tree, (*size[i], *before, *after, int(b[3]), int(b[4]))):
-            kept.append(b[0])
-    return "\n\n".join(kept)
+    return "\n\n".join(b[0] for b, keep in zip(blocks, verdicts(blocks, tree)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    tree = grow(LABELLED)
+    tree = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
