@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 7).
 
-1. A tree of k-means splits is fitted on the driver to a bounded sample (`SAMPLE` vectors of smallest id hash); leaves hold about
-   `LEAF` rows each at the table's size. Every row goes down the tree to its leaf.
+1. A tree of k-means splits is fitted on the driver to a bounded sample, `SAMPLE` vectors on average: each row is in it or not by a draw of its own, so nothing
+   is sorted for it. Leaves hold about `LEAF` rows each at the table's size. Every row goes down the tree to its leaf.
 2. Queries visit leaves best-bin-first: a priority queue over tree nodes, ordered by distance to the node's centre.
-3. Calibration: for `PROBES` rows the exact neighbours are found against all rows, and the number of leaves to visit widens until `RECALL`
+3. Calibration: for `PROBES` rows of the sample the exact neighbours are found against all rows, and the number of leaves to visit widens until `RECALL`
    of them lie in visited leaves. That number holds for all queries.
 4. Visited (query, leaf) pairs meet the leaf's vectors in blocks of bounded size, each block gives a query's best few,
    and the best of these are ranked with exact scores.
@@ -11,7 +11,8 @@
 Scores are cosines in double precision of the original vectors, each summed in the same order wherever it is computed, so equal vectors
 tie exactly and ties go to the smaller vec_id.
 
-Cases: vectors that are null, zero, or hold a null, infinite or NaN component take no part, nor do rows without vec_id or with another dimension than most.
+Cases: vectors that are null, zero, or hold a null, infinite or NaN component take no part, nor do rows without vec_id or with another dimension than
+most rows of the table have (ties: the smaller); queries of another dimension have no answer.
 Repeated vec_ids: each row is a candidate; a query id that repeats is searched once, by its smallest vector, and rows of its own id are no
 candidates. Fewer candidates than k: all are returned. Empty table: no rows. Extra columns are ignored.
 """
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import groups, small, stored, wide
 
-SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, HELD = 20_000, 400, 8, 200, 0.97, 2_000, 100_000
+SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, HELD, SEED = 20_000, 400, 8, 200, 0.97, 2_000, 100_000, 3
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -137,12 +138,15 @@ def _pairs(rows: list[tuple[int, int, float]], extra: list | None = None) -> pa.
     return pa.RecordBatch.from_arrays(cols + ([pa.array(extra, pa.int64())] if extra is not None else []), names + (["leaf"] if extra is not None else []))
 
 
-def usable(table: DataFrame) -> DataFrame:
+def usable(table: DataFrame, size: int | None = None) -> tuple[DataFrame, int]:
+    """Rows that take part, and their dimension: that of most of them, if none is given."""
     v = F.col("embedding")
     ok = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).where(ok)
-    most = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("embedding") == (most["d"] if most else 0))
+    if size is None:
+        most = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        size = most["d"] if most else 0
+    return rows.where(F.size("embedding") == size), size
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -153,12 +157,14 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
     """queries: rows of table (vec_id, embedding), any number."""
     spark = table.sparkSession
-    base = usable(table)
+    base, size = usable(table)
     total = base.count()
-    hashed = base.orderBy(F.xxhash64("vec_id"), "embedding")
-    sample = np.array([r["embedding"] for r in hashed.limit(SAMPLE).select("embedding").collect()], np.float64)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # A draw by row, not by value: copies of one vector or id are drawn apart.
+    drawn = base.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(SEED)), 11))
+    drawn = sorted(drawn.where(F.col("draw") <= int(min(1.0, SAMPLE / total) * 2**53)).collect(), key=lambda r: r["draw"])  # SAMPLE rows on average
+    sample = np.array([r["embedding"] for r in drawn], np.float64).reshape(len(drawn), size)
     sample /= np.sqrt((sample * sample).sum(1))[:, None]
     tree = Tree(sample, max(1, total // leaf))
 
@@ -167,7 +173,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.leaf_of(_unit(b.column("embedding"))[2]), pa.int64())], ["vec_id", "embedding", "leaf"])
 
     rows = stored(base.mapInArrow(place, "vec_id long, embedding array<double>, leaf long").withColumn("at", F.monotonically_increasing_id()), "leaves")
-    probes = [(r["vec_id"], r["embedding"]) for r in hashed.limit(PROBES).collect()]
+    probes = list({r["vec_id"]: r["embedding"] for r in reversed(drawn)}.items())[-PROBES:]
     p_id, p = np.array([x[0] for x in probes]), np.array([x[1] for x in probes], np.float64)
     pn = np.sqrt((p * p).sum(1))
 
@@ -185,7 +191,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
     visits = needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]
 
     sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    q = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    q = usable(queries, size)[0].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 512):
