@@ -7,8 +7,8 @@ features. Adding Gumbel noise and taking the k largest draws k documents without
 Counts cover all documents; a model is `BUCKETS` numbers, whatever the input. The k-th largest key is found exactly by counting 16 bits at a time, so
 nothing is sorted or sent to one task. Ties at the k-th key are all selected.
 
-Cases: null and empty texts have no feature and log ratio 0. Documents without a label count as raw only; a doc_id labelled more than once is target if any
-label says so. Repeated rows share their noise. With no target document all ratios are 0. Extra columns are ignored.
+Cases: null and empty texts have no feature and log ratio 0. Very long texts are counted and scored whole; an empty table gives no rows. Documents without a label count as raw only; a doc_id labelled more than once is target if any
+label says so. Repeated rows share their noise. With no target document, an empty label table among them, all ratios are 0. Null quality or toxic: no target, not toxic. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,10 +64,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
         w = np.array(weights)
         for b in batches:
             f = b.column("f")
-            ends = np.concatenate(([0], np.cumsum(f.value_lengths().to_numpy())))
-            upto = np.concatenate(([0.0], np.cumsum(w[f.flatten().to_numpy()])))
-            n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(upto[ends[1:]] - upto[ends[:-1]], 6))], ["doc_id", "n_features", "log_ratio"])
+            n = f.value_lengths().to_numpy().astype(np.int64)
+            total, some = np.zeros(len(n)), n > 0
+            if some.any():  # each document's sum by itself, whatever stands beside it
+                total[some] = np.add.reduceat(w[f.flatten().to_numpy()], (np.cumsum(n) - n)[some])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(total, 6))], ["doc_id", "n_features", "log_ratio"])
 
     scored = raw.select("doc_id", "f").mapInArrow(score, "doc_id long, n_features long, log_ratio double").withColumn("_gumbel", -F.log(-F.log(u)))
     scored = scored.withColumn("noisy", F.col("log_ratio") + F.col("_gumbel")).drop("_gumbel")
