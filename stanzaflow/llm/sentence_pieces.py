@@ -6,7 +6,7 @@ folded together, a turn of all words at a time. Characters that no piece covers
 
 The vocabulary is a BPE model. The path of greatest total score (Viterbi) is not what such a model encodes to, so the fold keeps the lattice and applies
 the model's own rule to it: of the edges that span exactly two current pieces the one of best score, the leftmost of equals, is taken, until none is
-left. Words over `LONG` characters, for which the lattice would be large, are encoded by the library itself.
+left. Words over `LONG` characters, alone in their lattice, are folded by the same rule with their edges in a queue, so time grows as length x log length.
 
 Explode, join, grouping and fold run on Arrow and numpy columns of a task, not as Spark rows and a higher-order aggregate (README: figures). Each task
 encodes its own texts' words and keeps up to `KNOWN_WORDS` of them for its next texts; nothing is shuffled or stored, and a lost task is run again alone.
@@ -20,6 +20,7 @@ Cases: null and empty texts have no ids. Repeated rows are encoded and decoded e
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,10 +47,10 @@ class Lattice:
     """The piece table of a model and the encoding of words with it."""
 
     def __init__(self, path: str):
-        self.model = p = processor(path)
+        p = processor(path)
         rows = [(p.id_to_piece(i), i, p.get_score(i)) for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         names, ids, scores = zip(*rows)
-        self.pieces, self.ids = pa.array(names), np.array(ids, "<i4")
+        self.pieces, self.ids, self.row = pa.array(names), np.array(ids, "<i4"), {x: i for i, x in enumerate(names)}
         self.rank = np.unique(-np.array(scores), return_inverse=True)[1]  # 0 is the best score; equal scores have one rank
         self.longest = max(map(len, names))
         self.first_byte = next(i for i in range(p.vocab_size()) if p.is_byte(i))
@@ -109,6 +110,35 @@ class Lattice:
             out[order[at]] = np.array([x for p, c in zip(places[part] - base[at], ids[part]) for x in ([c] if c >= 0 else [self.first_byte + b for b in w[p].encode()])], "<i4").tobytes()
         return out
 
+    def long_word(self, w: str) -> bytes:
+        """The ids of one word: its edges wait in a queue, best score first, leftmost of equals."""
+        n, row, queue = len(w), self.row, []
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that starts at a place; end 0: none starts there
+
+        def add(start: int) -> None:
+            if start >= 0 and end[start] < n:
+                middle = end[start]
+                at = row.get(w[start : end[middle]]) if end[middle] - start <= self.longest else None
+                if at is not None:
+                    heapq.heappush(queue, (int(self.rank[at]), start, middle, end[middle]))
+
+        for i in range(n):
+            add(i)
+        while queue:
+            _, start, middle, stop = heapq.heappop(queue)
+            if end[start] == middle and end[middle] == stop:
+                end[start], end[middle] = stop, 0
+                if stop < n:
+                    before[stop] = start
+                add(before[start])
+                add(start)
+        ids, at = [], 0
+        while at < n:
+            piece = row.get(w[at : end[at]])
+            ids += [int(self.ids[piece])] if piece is not None else [self.first_byte + b for b in w[at : end[at]].encode()]
+            at = end[at]
+        return np.array(ids, "<i4").tobytes()
+
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """word -> ids, for distinct words."""
         out = {}
@@ -116,9 +146,7 @@ class Lattice:
         for i in range(0, len(lattice), BLOCK_WORDS):
             part = lattice[i : i + BLOCK_WORDS]
             out.update(zip(part, self.block(part)))
-        for w in words:
-            if len(w) > LONG:  # the library puts a mark before a text; a word brings its own
-                out[w] = np.array(self.model.encode(w.replace(MARK, " ")[1:]), "<i4").tobytes()
+        out.update((w, self.long_word(w)) for w in words if len(w) > LONG)
         return out
 
 
