@@ -1,9 +1,10 @@
 """Uniform shuffle into shards of exact size (operator 3). DataFrame functions only.
 
 Law `rows`: shard sizes differ by one row at most. A communication matrix says how many rows of input partition i go
-to shard j; it is drawn from its exact law, the multivariate hypergeometric, so that "permute locally, send by the
-matrix, permute again" is a uniform permutation of all rows. The matrix has (input partitions x shards) cells: it grows
-with the number of tasks, not of rows, and is drawn on the driver from one count per partition.
+to shard j; it is drawn from its law, the multivariate hypergeometric (probabilities in double precision), so that "permute locally, send by the
+matrix, permute again" is a uniform permutation of all rows. Row and column sums of the matrix are exact whatever is drawn. Input tasks are joined
+without a shuffle to at most `PARTS` partitions, so the matrix, which is drawn on the driver from one count per partition and sent to all tasks, has at most `PARTS` x shards cells
+at any size.
 
 Whole documents move, with all their columns. The first permutation sorts each input partition by a draw, in its own task; the
 rows are then written once, each with its partition and its rank there. Rows are addressed by these, never by a value, so no key can be
@@ -27,11 +28,11 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARDS, SEED, CELL_ROWS = 40, 20, 20_000
+SHARDS, SEED, CELL_ROWS, PARTS = 40, 20, 20_000, 16_384
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Exact draw: inversion outwards from the mode, in about as many steps as the standard deviation."""
+    """One draw: inversion outwards from the mode, in about as many steps as the standard deviation."""
     total = good + bad
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
@@ -57,7 +58,7 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
             u -= pd
             if u <= 0:
                 return down
-    return mode  # what rounding left over
+    return mode  # where rounding left a remainder, some 1e-12 of the draws
 
 
 def shard_sizes(total: int, shards: int) -> list[int]:
@@ -82,19 +83,19 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc (a struct of all columns of docs), shard, slot of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_at"))
+    rows = docs.coalesce(PARTS).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_at"))
     # Permuted in the task that read them, without a shuffle; the second id counts along the new order.
     rows = rows.withColumn("_draw", F.xxhash64("_at", F.lit(seed))).sortWithinPartitions("_draw", "_at").select("doc", F.monotonically_increasing_id().alias("_at"))
     rows = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     rows = stored(rows, "shard-rows")  # fixes each row's address before counts are taken
-    per_part = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row per input task
+    per_part = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # PARTS rows at most
     parts = sorted(per_part)
     matrix = communication_matrix([per_part[p] for p in parts], shards, seed)
     ends = [[sum(m[: j + 1]) for j in range(shards)] for m in matrix]
     sent = spark.createDataFrame(list(zip(parts, ends)), "_part long, _ends array<long>")
     shard = F.size(F.filter("_ends", lambda e: e <= F.col("_rank")))
     cells = max(1, math.ceil(sum(per_part.values()) / shards / CELL_ROWS))
-    placed = rows.join(F.broadcast(sent), "_part").withColumn("shard", shard.cast("int"))  # a row per input task
+    placed = rows.join(F.broadcast(sent), "_part").withColumn("shard", shard.cast("int"))  # PARTS rows at most
     placed = placed.withColumn("_u", F.xxhash64("_at", F.lit(seed + 1))).withColumn("_cell", F.pmod("_u", F.lit(cells)))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     start = placed.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
