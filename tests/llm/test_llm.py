@@ -143,7 +143,6 @@ def test_pack(edges, docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     both = docs.select("doc_id", "text").union(edges.select(F.coalesce("doc_id", F.lit(77)) + 10**6, "text").distinct()).union(both_spaces(docs.sparkSession))
     rows = packing.pack(both, BPE).collect()
     for r in both.collect():
@@ -260,7 +259,7 @@ def test_language_gradient():
 
 
 def test_html(spark):
-    tree = html_text.grow(html_text.LABELLED)
+    tree = html_text.trained()
     page = (
         "<head><title>T</title><script>var t='</p>'</script></head><header><h1>Site</h1></header><nav><a href=x>a</a> b</nav><div class='sidebar'><p>one two three four five six</p></div><div class=\"cookie-notice\">we use</div>"
         "<main><article><h2>T &amp; x</h2><p>Hello <b>w</b>orld<br>line\n\t end<p>Of.<form>f<input></form><section id=comments><p>nice post very good post indeed</p></section></article></main><footer>f"
@@ -358,6 +357,7 @@ def test_lattice_against_library():
     rng = random.Random(3)
     texts = ["", None, "  a  b ", "▁x▁▁y", "日本語 テキスト", "a" * 40, "é" * 30, "x" * 200, " " * 70, "😀😀 ÿ\n\t"]
     texts += ["".join(rng.choice("abe ▁é日\n") for _ in range(400)) for _ in range(40)]
+    texts += ["".join(rng.choice(x) for _ in range(n)) for x, n in (("etaoinshrdlu", 30_000), ("ab", 5000), ("=-_/.0123456789abcdef", 4000), ("é日😀ste", 2000), ("▁", 300), ("the", 49), ("aé", 48))]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     p = sentence_pieces.processor(SP)
     want = [p.encode(t) if t else [] for t in texts]
@@ -483,7 +483,7 @@ def test_dedup_by_rows(spark):
 
 def test_html_text_survives():
     """Self-closed and unclosed elements take no text along; class names that only contain a part's name do not hide an article."""
-    tree = html_text.grow(html_text.LABELLED)
+    tree = html_text.trained()
     tags = ("<svg class=i />", "<math x='1'/>", "<button>", "<object data=x>", "<video src=x>", "<select>", "<svg viewBox='0'><path/><svg>in</svg>in</svg>", "<button>B</button>", "<svg/><svg><text>in</text></svg>")
     for tag in tags:
         assert html_text.main_text(f"<article><p>one two three four five</p>{tag}<p>six seven eight nine ten</p></article>", tree) == "one two three four five\n\nsix seven eight nine ten", tag
@@ -559,3 +559,134 @@ def test_dedup_repeated_rows(spark):
     rows = [(1, " ".join(base))] * 40 + [(1, f"other {i} " + " ".join(f"u{i}x{j}" for j in range(60))) for i in range(30)] + [(2 + i, " ".join(base[:-1]) + f" z{i}") for i in range(12)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
     assert got == sorted(brute_components(rows, 3, 85))
+
+
+HELD_OUT = [
+    # a weblog of plain boxes: nothing names its boilerplate
+    ("""<body><div><a href=/>My little kitchen</a></div><div><a href=/a>Home</a></div><div><a href=/b>All recipes</a></div><div><h2>*How I learned to bake bread in a cold house</h2>
+    <div>*For many years I thought that dough needs a warm place, and so I waited for summer before I tried again, until a neighbour told me that cold is no enemy of yeast at all.</div>
+    <div>*It only takes its time: a night and half a day on the stone floor of the cellar, under a cloth, and the loaf rises as it should. Here is <a href=/c>the list</a> of what I use.</div>
+    <ul><li>*Five cups of flour and one of rye</li><li>*Water as it comes from the well</li></ul></div><div><a href=/d>How to keep a sourdough alive through winter</a></div>
+    <div>Filed under: <a href=/e>bread</a>, <a href=/f>winter</a></div><div>Copyright 2019 by the cook. All rights reserved.</div></body>"""),
+    # an article whose boxes are called what they aren't, with a formula, an object and readers' comments
+    ("""<body><nav><a href=1>One</a> <a href=2>Two</a></nav><article class="post tag-law"><h1>*On the length of treaties</h1><div class="legal-note"><p>*The parties agreed in the spring that the text should be short, and that every clause be read aloud twice before it was signed by anyone at all.</p></div>
+    <div class="social-history"><p>*Such readings were feasts in small towns, and people walked for days to hear them, whatever the weather was like in those mountains.</p></div><p>*It holds that <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is even.</p>
+    <object data=x.swf><p>*The chart shows how long each treaty was, in lines, over two centuries of peace and war between the towns.</p></object>
+    <section class="post-comments"><h3>Comments</h3><p>I disagree with almost every word of this, as my grandfather signed one of these treaties and never heard it read aloud, not even once in his life.</p></section></article>
+    <div class="site-footer"><p>Some words about us and where to find our house</p></div></body>"""),
+    # a cookie line and a sign-up line that nothing names
+    ("""<body><div>We use cookies to make this site better for you. <a href=p>More</a></div><div><a href=1>News</a></div><div><a href=2>Sport</a></div><main><h1>*Rain</h1><p>*It rained.</p><p>*Nobody in the valley had seen so much water since the year the mill burned down.</p></main>
+    <div>Subscribe to our newsletter and hear of rain first</div><div>© 2020 The Valley Post</div></body>"""),
+]
+
+
+def test_html_held_out():
+    """Blocks that stand for other pages than the table's: those marked * are content. The word list alone is wrong on a fifth of them."""
+    tree, right, named, n = html_text.trained(), 0, 0, 0
+    for page in HELD_OUT:
+        blocks = html_text.blocks_of(page)
+        want = [b[0].startswith("*") for b in blocks]
+        got = html_text.verdicts([(b[0].removeprefix("*"), *b[1:]) for b in blocks], tree)
+        right += sum(bool(g) == w for g, w in zip(got, want))
+        named += sum((b[3] == 0) == w for b, w in zip(blocks, want))
+        n += len(blocks)
+    assert right == n and named < 0.8 * n, (right, named, n)
+    text = html_text.main_text(HELD_OUT[1], tree)
+    assert "It holds that a+b is even." in text and "The chart shows" in text
+
+
+def test_html_table(spark):
+    """The tables' pages against a plain reading of their own markup; extra columns with clashing names, an empty table, repeated rows."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.blocks[-1] += " " if tag == "br" else ""
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("page_id", "url", "html", F.lit("x").alias("text"), F.lit(5).alias("n_chars"))
+    got = Counter(map(tuple, html_text.extract(rows.union(rows)).collect()))
+    want = Counter()
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html)
+        t = "\n\n".join(x for x in (" ".join(b.split()) for b in a.blocks) if x)
+        want[(r.page_id, r.url, t, len(t))] += 2
+    assert got == want and html_text.extract(rows.where("false")).count() == 0
+
+
+def test_resampling_by_hand(spark, docs):
+    """Log ratios, noise and the chosen rows from the texts alone; repeated and conflicting labels, rows with and without text."""
+    import math
+
+    import xxhash
+
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, seed=seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    odd = [(None, "a b"), (10**6, None), (10**6, ""), (10**6 + 1, "x " * 5000), (5, "again and again")]
+    given = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + odd
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    labels += [(labels[0][0], 1, 0), (labels[0][0], 0, 1), (10**6 + 1, 1, None), (None, 1, 0), (5, 1, 0), (5, 1, 0)]
+    good = {d for d, q, x in labels if q == 1 and not x and d is not None}
+    n = 10_000
+    raw, target, made = [1.0] * n, [1.0] * n, []
+    for d, t in given:
+        w = WORD.findall(t or "")
+        f = [h(x) % n for x in w] + [h(x, y) % n for x, y in zip(w, w[1:])]
+        made.append((d, f))
+        for b in f:
+            raw[b] += 1
+            target[b] += d in good
+    a, b = sum(target), sum(raw)
+    want = Counter()
+    for d, f in made:
+        ratio = round(sum(math.log(target[x] / a) - math.log(raw[x] / b) for x in f), 6)
+        u = ((h(d.to_bytes(8, "little"), (7).to_bytes(4, "little")) if d is not None else h((7).to_bytes(4, "little"))) % 2**64 >> 11) + 0.5
+        want[(d, len(f), round(ratio - math.log(-math.log(u / 2**53)), 4))] += 1
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = resampling.resample(frame, labelled, 0.7).collect()
+    near = lambda r: (r.doc_id, r.n_features, round(r.noisy, 4))
+    lost = want - Counter(map(near, rows))
+    assert sum(lost.values()) <= 2, lost  # a last digit may round the other way
+    order = sorted((r.noisy for r in rows), reverse=True)
+    cut = order[math.ceil(0.7 * len(rows)) - 1]
+    assert all(r.selected == (r.noisy >= cut - 1e-6) for r in rows)
+    none = resampling.resample(frame, labelled.where("false"), 0.7).collect()
+    assert len(none) == len(given) and all(r.log_ratio == 0 for r in none)
+
+
+def test_nearest_recall_and_dimensions(spark):
+    """At default settings nine of ten true neighbours are found on a larger table; queries shorter than the table's vectors have no answer."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.flatnonzero(ids % 50 == 0)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -9
+    truth = {(int(ids[q]), int(ids[j])) for q, row in zip(asked, near) for j in np.argsort(-row)[:5]}
+    got = {(r.query_id, r.vec_id) for r in nearest.search(table, table.where("vec_id % 50 = 0"), 5).collect()}
+    assert len(got) == len(truth) and len(got & truth) >= 0.9 * len(truth)
+    t = spark.createDataFrame([(i, [float(i + 1), 1.0, 2.0]) for i in range(9)] + [(50, [1.0, 2.0]), (100, [3.0])], "vec_id long, embedding array<float>")
+    assert {r.query_id for r in nearest.search(t, t.where("vec_id % 50 = 0")).collect()} == {0}
+    assert nearest.search(t, t.where("vec_id >= 50")).count() == 0
