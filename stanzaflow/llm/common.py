@@ -53,11 +53,11 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.parquet(path, compression="zstd")
     for scope in _scopes[: len(_scopes) - keep][-1:]:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -33,6 +33,7 @@ from .common import small, stored, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
+RUN = 64
 CACHE = 300_000  # distinct word forms a worker remembers
 
 
@@ -185,19 +186,21 @@ def _open(gaps: dict, tight: list, gap: int, entry: list) -> None:
     gaps[gap].append(entry)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, added: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids of every piece.
 
-    added: the file's added tokens are found in texts, as the library does by itself; else they are text like any other (its `encode_special_tokens`).
+    added: the file's added tokens are found in texts, as the library finds them by itself; else they are text like any other (its `encode_special_tokens`).
     """
     spark = docs.sparkSession
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(tokenized(tokenizer_path, capacity, added), PIECES), "pieces", "zstd")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(tokenized(tokenizer_path, capacity, added), PIECES), "pieces")
     per_task = pieces.groupBy("length", "task").count()
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_task.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    # A task's pieces of one length are dealt out in runs of `RUN`, so that its many full pieces don't meet in one task.
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {RUN}")))
+    base = per_task.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("length", "task", "before", runs.alias("run"))
     plan = spark.createDataFrame(plan_bins(counts, capacity), "p_length long, p_from long, p_to long, p_first long, offset long")
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("before") + F.col("ordinal"))
+    ranked = pieces.withColumn("run", F.expr(f"ordinal div {RUN}")).join(base.hint("merge"), ["length", "task", "run"]).withColumn("rank", F.col("before") + F.col("ordinal"))
     on = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))
     return ranked.join(F.broadcast(plan), on).select(  # rows bounded by capacity, not by input
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), (F.col("p_first") + F.col("rank") - F.col("p_from")).alias("sequence_id"), "offset", "ids"
