@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARDS, SEED, CELL_ROWS, PARTS = 40, 20, 20_000, 16_384
+SHARDS, SEED, CELL_ROWS, PARTS = 40, 20, 2_000, 16_384
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
