@@ -8,7 +8,7 @@
 3. Banding: each node has one key per band of coordinates. Buckets with two nodes or more are compared in blocks (see `grouped`), and each
    block gives a spanning forest of the pairs whose sketches agree enough: at most one edge fewer than it has nodes, never
    all pairs. `MARGIN` below the threshold is over five standard deviations of the estimate.
-4. Components of these edges are candidate groups. Each group's texts come together in blocks likewise, and every pair
+4. Components of these edges are candidate groups. Each group's texts come together in blocks likewise, bounded by rows and by shingles, and every pair
    that isn't connected yet is settled on full shingle sets; verified links leave as a spanning forest.
 5. Components of verified links, by alternating large-star and small-star steps on tables, give the result.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import groups, scratch, small, stored, wide
 
-COORDS, BLOCK, HUBS, MARGIN = 128, 256, 8, 0.22
+COORDS, BLOCK, BLOCK_SHINGLES, HUBS, MARGIN = 128, 256, 8_000_000, 8, 0.22
 #: threshold in hundredths -> (bands, rows)
 BANDS = {85: (25, 5), 80: (32, 4)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,29 +205,28 @@ def _upto(n):
 
 
 def grouped(rows: DataFrame, key: str, compare) -> DataFrame:
-    """(node, comp) by the links that compare finds between rows of a key. rows: key, node, n (nodes of the key) and what
+    """(node, comp) by the links that compare finds between rows of a key. rows: key, node, n (nodes of the key), blocks (in which they are dealt) and what
     compare reads; stored, as they are read again where a large group is left open.
 
-    First each block of about `BLOCK` rows is compared inside, together with about `HUBS` rows of its key that visit all its blocks, so
+    First each block is compared inside, together with about `HUBS` rows of its key that visit all its blocks, so
     a large group of near copies becomes one component at the cost of its rows. Then only the rows outside the largest component of
     their key are left, and meet all rows of the key in pairs of blocks: every pair is compared, or already connected.
     """
-    n, own = F.col("n"), F.xxhash64("node")
-    blocks = F.ceil(n / BLOCK)
+    n, blocks, own = F.col("n"), F.col("blocks"), F.xxhash64("node")
     hub = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(n / HUBS)) == 0
     visits = F.when((blocks > 1) & hub, _upto(blocks)).otherwise(F.array(F.pmod(own, blocks)))
     first = _dealt(rows, key, F.transform(visits, lambda i: _at(i, i)))
     comps = connected(first.mapInArrow(compare, "a long, b long"))
-    parts = rows.where(n > BLOCK).select(key, "node", "n").distinct().join(comps.withColumnRenamed("comp", "_c"), "node", "left").select(key, "node", "n", F.coalesce("_c", "node").alias("part"))
+    parts = rows.where(blocks > 1).select(key, "node", "n", "blocks").distinct().join(comps.withColumnRenamed("comp", "_c"), "node", "left").select(key, "node", "n", "blocks", F.coalesce("_c", "node").alias("part"))
     main = parts.groupBy(key, "part").agg(F.count("*").alias("size")).groupBy(key).agg(F.max(F.struct("size", "part")).alias("_m"))
-    rest = parts.join(main, key).withColumn("_rest", F.ceil((n - F.col("_m.size")) / BLOCK)).where("_rest > 0")
+    rest = parts.join(main, key).withColumn("_rest", F.ceil(blocks * (n - F.col("_m.size")) / n)).where("_rest > 0")
     rest = stored(rest.select(key, "node", "_rest", (F.col("part") != F.col("_m.part")).alias("_out")), "rest")
     if rest.isEmpty():
         return comps
     i, j = F.pmod(own, F.col("_rest")), F.pmod(own, blocks)
     seen = F.transform(_upto(F.col("_rest")), lambda x: _at(x, j))
     pairs = F.when(F.col("_out"), F.array_union(seen, F.transform(_upto(blocks), lambda x: _at(i, x)))).otherwise(seen)
-    more = _dealt(rows.where(n > BLOCK).join(rest, [key, "node"]), key, pairs).mapInArrow(compare, "a long, b long")
+    more = _dealt(rows.where(blocks > 1).join(rest, [key, "node"]), key, pairs).mapInArrow(compare, "a long, b long")
     return connected(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
@@ -259,17 +258,20 @@ def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
     with scratch(docs.sparkSession):
         ids = made.where("doc_id is not null and node is not null")
         # One row a node, its least doc_id with its sketch (ties: any, they carry the same one); copies collapse before the shuffle.
-        rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "sum", "low", "keys")).alias("r"))
-        rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), F.col("r.sum").alias("sum"), F.col("r.low").alias("low"), F.col("r.keys").alias("keys")), "nodes")
+        rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "sum", "n_shingles", "low", "keys")).alias("r"))
+        rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), "r.sum", "r.n_shingles", "r.low", "r.keys"), "nodes")
         nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
         crowd = nodes.join(sizes.where("n > 1"), "key").join(rep.select("node", "low"), "node")
-        comps = stored(grouped(stored(crowd.select("key", "node", "n", "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
-        stats = comps.groupBy("comp").agg(F.count("*").alias("n"))
+        comps = stored(grouped(stored(crowd.select("key", "node", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
+        # blocks of texts are bounded by their rows and by what their sets hold
+        sized = comps.join(rep.select("node", "rep", "sum", "n_shingles"), "node")
+        most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+        stats = sized.groupBy("comp").agg(F.count("*").alias("n"), most.alias("blocks"))
         # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
-        member = comps.join(stats, "comp").join(rep.select("node", "rep", "sum"), "node").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), ["rep", "sum"])
+        member = sized.join(stats, "comp").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), ["rep", "sum"])
         # a row that is repeated brings its text as often; one a node goes on
-        member = stored(member.groupBy("comp", "node", "n").agg(F.first("text").alias("text")), "members")
+        member = stored(member.groupBy("comp", "node", "n", "blocks").agg(F.first("text").alias("text")), "members")
         links = stored(grouped(member, "comp", _verified(k, num)), "linked", keep=True)
     return made.select("doc_id", "n_shingles", "node"), links
 

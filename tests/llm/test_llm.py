@@ -298,10 +298,11 @@ def test_nearest_edges(spark):
     assert nearest.search(t.where("false"), t.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block, hubs", [(8, 2), (6, 1)])
-def test_large_groups_in_blocks(spark, monkeypatch, block, hubs):
-    """Chains whose ends are far apart, and a crowd of near copies, in groups of many blocks."""
+@pytest.mark.parametrize("block, hubs, shingles", [(8, 2, 8_000_000), (6, 1, 8_000_000), (256, 2, 900)])
+def test_large_groups_in_blocks(spark, monkeypatch, block, hubs, shingles):
+    """Chains whose ends are far apart, and a crowd of near copies, in groups of many blocks, by their rows or by their shingles."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(near_dedup, "HUBS", hubs)
     rng = random.Random(3)
     word = lambda: f"v{rng.randrange(10**6)}"
