@@ -691,3 +691,44 @@ def test_nearest_recall_and_dimensions(spark):
     t = spark.createDataFrame([(i, [float(i + 1), 1.0, 2.0]) for i in range(9)] + [(50, [1.0, 2.0]), (100, [3.0])], "vec_id long, embedding array<float>")
     assert {r.query_id for r in nearest.search(t, t.where("vec_id % 50 = 0")).collect()} == {0}
     assert nearest.search(t, t.where("vec_id >= 50")).count() == 0
+
+
+CLASH = "sum node low keys n comp rep blocks task length ids piece ordinal run f w b key blob findings _lang _score h cuts _row _at _part _rank _cell _u shard slot kept l lines grams n_words base_failed _f target noisy".split()
+
+
+def test_clashing_columns(spark, docs):
+    """Columns called as the operators call their own change no result."""
+    some = docs.where("doc_id % 3 = 0")
+    more = some.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASH)])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, f in {
+        "op1": lambda d: sentence_pieces.encoded_digest(d, SP), "op2": near_dedup.components, "op3": lambda d: sharding.shuffle_into_shards(d, 5).select("doc_id", "size", "text_crc32"),
+        "op4": lambda d: packing.pack(d, BPE).select("doc_id", "piece", "start", "length", "ids_crc32"), "op5": lambda d: resampling.resample(d, labels.withColumn("text", F.lit(1))), "op8": quality_rules.quality_verdicts,
+        "op9": secret_scans.report, "op10": lambda d: language_id.predict_languages(d).select("doc_id", "held_out"),
+    }.items():
+        assert Counter(map(tuple, f(more).collect())) == Counter(map(tuple, f(some).collect())), name
+    for f in (near_dedup.deduplicated, secret_scans.redacted, quality_rules.quality_filter, language_id.language_filter):
+        out = f(more)
+        assert out.columns == more.columns and all(r["keys"] == "x3" for r in out.select("keys").collect())
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    clash = table.select("*", *[F.lit("x").alias(c) for c in ("leaf", "at", "draw", "d", "query", "block", "blocks", "score", "rank")])
+    assert Counter(map(tuple, nearest.search(clash, clash.where("vec_id % 50 = 0")).collect())) == Counter(map(tuple, nearest.search(table, table.where("vec_id % 50 = 0")).collect()))
+
+
+def test_pipeline_edges(spark, docs, tmp_path):
+    """Nulls, repeated rows, very long texts, extra columns and an empty table go through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.choice(['elan', 'oro', 'ist'])}{rng.randrange(30)}" for _ in range(n))
+    one, two, long = prose(80), prose(90), prose(30_000)
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, "few words", "en", "a"), (None, one, "en", None), (4, one, None, "a"), (4, one, "en", "a"), (5, two + " password = abcdefghijkl", "en", "a"), (6, long, "en", "a"), (None, two + " other end", "en", "a")]
+    plain = [(r.doc_id + 1000, r.text, r.lang, r.source) for r in docs.limit(60).collect()]
+    given = spark.createDataFrame(rows + plain, "doc_id long, text string, lang string, source string").withColumns({"doc": F.lit("d"), "keys": F.lit(None).cast("int"), "findings": F.lit(1)})
+    given.write.parquet(f"{tmp_path}/some/documents.parquet")
+    given.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    by_id = Counter(r.doc_id for r in out if r.piece == 0)
+    assert by_id[4] <= 1 and by_id[5] <= 1 and by_id[1] == by_id[2] == by_id[None] == 0 and all(n == 1 for d, n in by_id.items() if d is not None)
+    assert by_id[4] + by_id[5] == 2 and sum(n for d, n in by_id.items() if d is not None and d > 999) > 20
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
