@@ -191,7 +191,7 @@ LABELLED = (
     ((2, 2, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (11, 9, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (12, 10, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (2, 1, 0, 0, 1, 0)),
     # a reference page: title above links to its parts, a short last paragraph before more links
     ((1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (3, 0, 0, 1, 0, 1), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (2, 0, 0, 1, 0, 1), (44, 2, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (9, 0, 0, 1, 0, 1), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (4, 4, 2, 0, 0, 0)),
-    ((2, 2, 2, 0, 0, 0), (1, 0, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (17, 1, 0, 1, 0, 1), (13, 0, 0, 1, 1, 1), (3, 3, 2, 1, 0, 0), (6, 0, 2, 0, 1, 0)),
+    ((2, 2, 2, 0, 0, 0), (1, 0, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (17, 1, 0, 1, 0, 1), (13, 0, 0, 1, 1, 1), (48, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (3, 3, 2, 1, 0, 0), (2, 2, 2, 1, 0, 0), (6, 0, 2, 0, 1, 0)),
     # the same without main element
     ((3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (8, 0, 0, 0, 1, 0)),
     # a recipe without main element
