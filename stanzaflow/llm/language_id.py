@@ -6,12 +6,12 @@ by side (the state starts anew at each window, from the left for one direction a
 The squashing function is x / (1 + |x|), seven times cheaper than tanh here; gates are its image in 0..1.
 
 Training sample (documented bound): of the labelled documents outside the held-out fold, at most `PER_LANGUAGE` a language, those of the smallest
-hash of doc_id, each giving `PIECES` windows of its text. Only text and lang are used; lang, source and doc_id are
-no input of a prediction.
+hash of doc_id. Their texts are taken whole, cut into windows as for a prediction; a training step draws languages evenly, in them documents
+evenly, in these windows evenly. Only text and lang are used; lang, source and doc_id are no input of a prediction.
 
 Cases: null text, or text without a letter, is `und` with score 0. Null doc_id counts as held out (never learned from). Null
 lang teaches nothing. With no labelled document at all every text is `und`. Repeated rows are predicted each. Extra columns are
-ignored by `predict_languages` and kept by `language_filter`.
+ignored by `predict_languages` and kept by `language_filter`. Of rows that share doc_id and lang the greatest text teaches.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import small
 
 WINDOW, HIDDEN, LANES = 48, 8, 2048
-PER_LANGUAGE, PIECES, SALTS = 800, 6, 8
+PER_LANGUAGE, SALTS = 400, 8
 STEPS, BATCH, RATE = 400, 256, 0.02
 NONE = "und"
 
@@ -110,17 +110,27 @@ def _softmax(a):
     return a
 
 
+def _windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after the other in rows of WINDOW bytes, each text's last row padded with 0; rows of each text."""
+    rows = -(-np.array([len(b) for b in raw], np.int64) // WINDOW)
+    data = np.zeros((rows.sum(), WINDOW), np.uint8)
+    flat = data.reshape(-1)
+    for b, at in zip(raw, np.cumsum(rows) - rows):
+        flat[at * WINDOW : at * WINDOW + len(b)] = np.frombuffer(b, np.uint8)
+    return data, rows
+
+
 def train(samples: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 0) -> dict | None:
-    """Windows with their languages -> {'langs', 'fore', 'aft'}; Adam, languages drawn evenly."""
+    """Texts as bytes with their languages -> {'langs', 'fore', 'aft'}; Adam, languages drawn evenly and each text as often as any other of its language."""
+    samples = [s for s in samples if s[0]]
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    data = np.zeros((len(samples), WINDOW), np.uint8)
-    for i, (b, _) in enumerate(samples):
-        data[i, : len(b)] = np.frombuffer(b[:WINDOW], np.uint8)
+    data, rows = _windows([b for b, _ in samples])
     label = np.array([langs.index(lang) for _, lang in samples])
-    weight = (1 / np.bincount(label))[label]
+    weight = np.repeat((1 / np.bincount(label))[label] / rows, rows)
+    label = np.repeat(label, rows)
     n = len(langs)
     init = lambda: {**{k: rng.normal(0, 0.5, (256, HIDDEN)) for k in ("tz", "tr", "tc")}, **{k: rng.normal(0, 0.3, (HIDDEN, HIDDEN)) for k in ("uz", "ur", "uc")}, "out": rng.normal(0, 0.3, (HIDDEN, n))}
     nets = [{k: v.astype(np.float32) for k, v in init().items()} for _ in range(2)]
@@ -147,13 +157,8 @@ def probabilities(texts: list[str], model: dict) -> np.ndarray:
     """Mean probabilities over all byte positions of each text; texts are whole and not empty."""
     raw = [t.encode() for t in texts]
     sizes = np.array([len(b) for b in raw])
-    rows = -(-sizes // WINDOW)
-    data = np.zeros((rows.sum(), WINDOW), np.uint8)
-    owner = np.repeat(np.arange(len(raw)), rows)
-    first = np.concatenate(([0], np.cumsum(rows)))
-    flat = data.reshape(-1)
-    for b, at in zip(raw, first):
-        flat[at * WINDOW : at * WINDOW + len(b)] = np.frombuffer(b, np.uint8)
+    data, rows = _windows(raw)
+    owner, first = np.repeat(np.arange(len(raw)), rows), np.cumsum(rows) - rows
     used = np.minimum(WINDOW, np.repeat(sizes, rows) - (np.arange(len(data)) - first[owner]) * WINDOW)
     total, ones = np.zeros((len(raw), len(model["langs"]))), np.ones((len(model["langs"]), 1), np.float32)
     for s in range(0, len(data), LANES):
@@ -177,16 +182,22 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """At most per_language documents a language, each as PIECES windows: a bounded list."""
-    at = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("doc_id")))
-    cut = known.select("lang", F.xxhash64("doc_id", F.lit("sample")).alias("h"), F.array(*[F.substring("text", at(k), WINDOW) for k in range(PIECES)]).alias("cuts"))
+    """Whole texts of at most per_language documents a language, the distinct (lang, doc_id) of smallest hash: a bounded list.
+
+    Hashes alone are ranked, then the texts at or under each language's last hash are read.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
     # first in each of SALTS parts of a language, so that no task ranks a whole language
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "cuts")
-    cut = cut.withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language)
-    top = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "cuts"))).where(F.col("r") <= per_language)
-    rows = top.select("lang", "cuts").orderBy("lang", "r").collect()
-    return [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cuts"] if c]
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h")
+    top = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language)
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+    last = {r["lang"]: r["h"] for r in top.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return []
+    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    # repeated doc_ids give one text each, reduced where they are read
+    texts = known.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).groupBy("lang", "h").agg(F.max("text").alias("text"))
+    return [(r["text"].encode(), r["lang"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"]))]
 
 
 def _predict(model: dict, batch_chars: int = 4_000_000):

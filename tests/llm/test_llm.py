@@ -732,3 +732,34 @@ def test_pipeline_edges(spark, docs, tmp_path):
     assert by_id[4] <= 1 and by_id[5] <= 1 and by_id[1] == by_id[2] == by_id[None] == 0 and all(n == 1 for d, n in by_id.items() if d is not None)
     assert by_id[4] + by_id[5] == 2 and sum(n for d, n in by_id.items() if d is not None and d > 999) > 20
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_training_sample_takes_whole_texts(spark):
+    """Texts come whole however long, one for each doc_id however often it is repeated, none of the held-out fold, no more than the bound."""
+    text = lambda i: f"word{i} " * (3 if i % 9 else 3000)
+    rows = [(i, text(i), "ab"[i % 2], i) for i in range(200)] + [(1, text(1), "b", 0)] * 50 + [(None, "null id", "a", 0), (300, None, "a", 0), (301, "12", "a", 0), (302, "no language", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h int")
+    may = {(text(i).encode(), "ab"[i % 2]) for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    got = language_id.training_sample(docs.drop("h"))
+    assert len(got) == len(set(got)) and set(got) == may
+    some = language_id.training_sample(docs.drop("h"), 20)
+    assert Counter(lang for _, lang in some) == {"a": 20, "b": 20} and set(some) < may
+    assert language_id.training_sample(docs.drop("h").where("lang is null")) == [] and language_id.train([]) is None
+
+
+def test_windows_hold_every_byte():
+    raw = [b"x", b"y" * 48, b"z" * 49, bytes(range(1, 101))]
+    data, rows = language_id._windows(raw)
+    assert rows.tolist() == [1, 1, 2, 3]
+    assert [part.tobytes().rstrip(b"\0") for part in np.split(data, np.cumsum(rows)[:-1])] == raw
+
+
+def test_word_forms_against_library():
+    """Ids of texts cut at blanks, line breaks and stops are the library's, whatever white space meets there."""
+    from tokenizers import Tokenizer
+
+    tok, ids, r = Tokenizer.from_file(BPE), packing.plain_ids(packing.encoder(BPE)), random.Random(3)
+    for chars in (" \nab1'.sé", " \n\t\r\x0b\x1c\x85\xa0 　ab1'.,!?ßé漢́​", "ab \n.,:;"):
+        for _ in range(5000):
+            text = "".join(r.choice(chars) for _ in range(r.randint(1, 14)))
+            assert ids(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
