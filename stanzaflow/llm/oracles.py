@@ -83,5 +83,59 @@ f AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (rid)"""
 
 
+#: The loops by the checksum's own definition, runs as islands of equal words at each distance, of those over one stretch the one of least period.
+PERIODIC_RUNS = rf"""WITH
+tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w, xor(4294967295, list_reduce(list_prepend(4294967295, [ord(x) FOR x IN string_split(doc_id::VARCHAR, '')]),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h FROM documents, tab),
+g AS (SELECT *, h // 10 AS g, len(w) AS n FROM d), a AS (SELECT *, g % n AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM p),
+t AS (SELECT rid, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM x),
+met AS (SELECT l.rid, r.i - l.i AS q, l.i FROM t l JOIN t r ON l.rid = r.rid AND l.v = r.v AND r.i > l.i),
+isle AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM met) GROUP BY rid, q, isle HAVING length >= greatest(12, 2 * q)),
+runs AS (SELECT rid, start, length, min(q) AS period FROM isle GROUP BY ALL),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) = 1),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY rid),
+kept AS (SELECT rid, string_agg(v, ' ' ORDER BY i) AS words FROM t WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.rid = t.rid AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256 FROM x LEFT JOIN best USING (rid) LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)"""
+
+_TEST_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows as word lists, joined; hit words one by one.
+DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TEST_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_TEST_WORDS} AS w FROM benchmark), s AS (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+tests AS (SELECT DISTINCT item, n, unnest([w[i:i + n - 1] FOR i IN range(1, len(w) - n + 2)]) AS x FROM s),
+win AS (SELECT rid, n, i, w[i:i + n - 1] AS x FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM tests) WHERE len(w) >= n)),
+hit AS (SELECT rid, i, n, item FROM win JOIN tests USING (n, x)),
+marked AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT rid, i, n FROM hit)) GROUP BY rid),
+held AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN held USING (rid)"""
+
+
+def _lloyd(k: int = 8, rounds: int = 10) -> str:
+    """Full scans, a round after the other; distance and number packed in one integer give the least distance and of ties the smaller number."""
+    near = lambda r: f"o{r} AS MATERIALIZED (SELECT rid, (m % {k})::BIGINT AS k, m // {k} AS d FROM (SELECT rid, min(d * {k} + k) AS m FROM (SELECT rid, k, sum((x - y) * (x - y)) AS d FROM x JOIN c{r} USING (j) GROUP BY rid, k) GROUP BY rid))"
+    mean = lambda r: f"""c{r + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c.y) AS y FROM c{r} c
+  LEFT JOIN (SELECT k, j, sum(x) AS s, count(*) AS n FROM x JOIN o{r} USING (rid) GROUP BY k, j) USING (k, j))"""
+    steps = ",\n".join(f"{near(r)},\n{mean(r)}" for r in range(rounds))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v),
+c0 AS MATERIALIZED (SELECT k, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS k FROM v) WHERE k < {k}),
+{steps},
+{near(rounds)},
+i AS (SELECT k, sum(d) AS inertia FROM o{rounds} GROUP BY k),
+h AS (SELECT k, sha256(string_agg(y::VARCHAR, ',' ORDER BY j)) AS h FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, i.inertia::BIGINT AS cluster_inertia, (SELECT sum(inertia) FROM i)::BIGINT AS inertia, h AS centroid_sha256 FROM o{rounds} JOIN v USING (rid) JOIN i USING (k) JOIN h USING (k)"""
+
+
+CLUSTERING = _lloyd()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": NEAR_DEDUP, "op8_quality_rules": QUALITY_RULES, "op9_secret_scans": SECRET_SCANS}
+    return {
+        "op2_near_dedup": NEAR_DEDUP, "op8_quality_rules": QUALITY_RULES, "op9_secret_scans": SECRET_SCANS, "op11_periodic_runs": PERIODIC_RUNS, "op12_decontamination": DECONTAMINATION,
+        "op13_clustering": CLUSTERING,
+    }

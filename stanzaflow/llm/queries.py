@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, near_dedup, nearest, oracles, packing, quality_rules, resampling, secret_scans, sentence_pieces, sharding
+from . import clustering, decontamination, html_text, language_id, near_dedup, nearest, oracles, packing, periodic_runs, quality_rules, resampling, secret_scans, sentence_pieces, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_loops(table(spark, sf_dir, "documents")), 12))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(clustering.cluster(clustering.whole_numbers(table(spark, sf_dir, "embeddings")), 8, 10))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentence_pieces, op2_near_dedup, op3_sharding, op4_packing, op5_resampling, op6_html_text, op7_nearest, op8_quality_rules, op9_secret_scans, op10_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_near_dedup, op3_sharding, op4_packing, op5_resampling, op6_html_text, op7_nearest, op8_quality_rules, op9_secret_scans, op10_language_id, op11_periodic_runs, op12_decontamination, op13_clustering, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
