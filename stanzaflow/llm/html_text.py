@@ -2,7 +2,8 @@
 
 A page is flattened into text blocks. Each block gets its word count and link density and those of its neighbours, and three weaker
 marks: how clearly the markup around it names a part that is no article (`hint`, 0 to 2), whether it stands in an article or main element, and whether it says
-itself that it is boilerplate (`cue`). A decision tree, trained on the small labelled table below, tells content from the rest.
+itself that it is boilerplate (`cue`). A decision tree tells content from the rest; it is trained on the labelled pages below, whose blocks go through the same
+functions as any page's.
 
 No text feature can tell an advert's sentence from an article's, so where markup names a part for what it is (a nav, aside, footer or form element, a role, a class
 that is nothing but such names) the tree follows it. A name that is only a piece of a class (legal-note, social-history) does not hide link-poor text, and boilerplate that no
@@ -10,7 +11,8 @@ markup names goes by its words, links and neighbours.
 
 Cases: null html is empty; a page without content gives the empty string, an empty table no rows. Unclosed tags end with what encloses them; an unclosed script,
 style or comment runs to the end of the page. Other elements whose content is no text of the page (svg, button, select, ...) go with it where they are
-closed; self-closed or unclosed they are one tag. Null url, repeated rows and tied ids pass through, each judged on its own. Very long pages are taken whole. Extra columns
+closed; self-closed or unclosed they are one tag. A link without end tag ends with its block. A quoted value that nothing closes does not count as one, so
+the page is read in one pass whatever its quotes. Null url, repeated rows and tied ids pass through, each judged on its own. Very long pages are taken whole. Extra columns
 are ignored, whatever their names.
 """
 
@@ -43,24 +45,48 @@ PART_NAME = re.compile(_NAMES, re.I)
 BOXES = frozenset("area bar block body box button buttons col column container content entry form group holder icon icons image inner item items left link links list main panel right row section strip text title top wrap wrapper".split())
 PLACES = frozenset("bottom fixed global left main mobile page post primary right secondary site sticky sub top".split())
 CUE = re.compile(
-    r"©|\(c\)|\b(?:copyright|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign (?:in|up)\b|log ?in\b|share (?:this|on)|follow us|advertisement|sponsored|"
-    r"(?:related|recommended|popular|recent) (?:articles|posts|stories)|read more|powered by|leave a (?:reply|comment)|filed under|posted in)",
+    r"©|\(c\) ?\d{4}|\bcopyright (?:\(c\)|\d{4}|by\b)|\ball rights reserved(?= ?(?:[.!|,;·]|\Z))|\b(?:we|site|website|page) uses? cookies\b|\b(?:accept|allow) (?:all )?cookies\b|\bcookie (?:policy|settings|preferences|notice)\b|"
+    r"\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe (?:to|now|for)\b|\b(?:our|weekly|daily) newsletter\b|\bsign (?:in|up)(?: |\Z)(?:to|for|now|here|\Z)|\blog ?in to\b|\bshare (?:this|on)\b|\bfollow us\b|\Aadvertisement\b|\bsponsored (?:by|content|post)\b|"
+    r"\b(?:related|recommended|popular|recent) (?:articles|posts|stories)\b|\Aread more\b|\bpowered by\b|\bleave a (?:reply|comment)\b|\Afiled under\b|\Aposted in\b",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\s*\"[^\"]*\"|\s*'[^']*'|[^'\">]|['\"](?=[^'\"]*>))*)>|<[!?/][^>]*>",
-    re.I | re.S,
-)
+_START = re.compile(r"<(?:!--|(?P<raw>script|style)\b|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])", re.I)
+_INSIDE = re.compile(r"""(?:[^<>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+""")  # a value is quoted only after =; possessive: nothing is tried twice
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 _RAW_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<hard>script|style)\b[^>]*>.*?(?:</(?P=hard)\s*>|\Z)|<(?P<end>/?)(?P<tag>" + RAW + r")\b[^>]*>", re.I | re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
+def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether an end tag, attributes) of whatever is markup, in page order; comments, scripts and styles have no tag."""
+    out, at, last, loose = [], 0, page.rfind(">"), False
+    while m := _START.search(page, at):
+        start, at, tag, attrs = m.start(), m.end(), "", ""
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+        elif start > last:  # no tag ends any more
+            continue
+        elif m["raw"]:
+            end = _RAW_END[m["raw"].lower()].search(page, page.find(">", at) + 1)
+            at = end.end() if end else len(page)
+        elif m["tag"]:
+            end = page.find(">", at) if loose else _INSIDE.match(page, at).end()
+            if page[end : end + 1] != ">":  # another tag begins, or quotes run to the end of the page: then no later tag is read by its quotes
+                loose, end = end == len(page), page.find(">", at)
+            tag, attrs, at = m["tag"].lower(), page[at:end], end + 1
+        else:
+            at = page.find(">", at) + 1
+        out.append((start, at, tag, bool(m["end"]), attrs))
+    return out
+
+
 def _raw_spans(page: str) -> dict[int, int]:
     """Start -> end of each element of `RAW` that is closed; an end tag closes the nearest open one of its name."""
     spans, open_ = {}, {}
-    for m in _RAW_TAG.finditer(page):
+    for m in _RAW_TAG.finditer(page, 0, page.rfind(">") + 1):
         if not m["tag"]:
             continue
         mine = open_.setdefault(m["tag"].lower(), [])
@@ -72,6 +98,17 @@ def _raw_spans(page: str) -> dict[int, int]:
     return spans
 
 
+def _closed_links(found: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Starts of the links whose end tag comes before the next link."""
+    closed, opened = set(), None
+    for start, _, tag, end, _ in found:
+        if tag == "a":
+            if end and opened is not None:
+                closed.add(opened)
+            opened = None if end else start
+    return closed
+
+
 def _named(value: str, whole: bool) -> int:
     """2 if a class or id names such a part and nothing else, 1 if a piece of it does. whole: only names that stand alone count."""
     level = 0
@@ -109,10 +146,10 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, words, words in links, hint, in main) of each block with text, in page order."""
     out, parts, links = [], [], 0
     open_: list[tuple[str, int, bool]] = []  # holder, hint, in main
-    in_link = 0
+    link: tuple[int, bool] | None = None  # holders open where the link began, whether it is closed
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, link
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
@@ -120,43 +157,51 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
             n = len(text.split(" "))
             out.append((text, n, min(links, n), hinted, main))
         links = 0
+        if link and not link[1]:
+            link = None
 
     def words(text: str) -> None:
         nonlocal links
         if text:
             text = html.unescape(text)
             parts.append(text)
-            if in_link:
+            if link:
                 links += len(text.split())
 
-    at, raw = 0, _raw_spans(page)
-    while m := _TOKEN.search(page, at):
-        words(page[at : m.start()])
-        at = raw.get(m.start(), m.end())
-        if at > m.end():
+    def close(k: int) -> None:
+        """The holders from the k-th on end, and a link that began in them."""
+        nonlocal link
+        del open_[k:]
+        if link and len(open_) < link[0]:
+            link = None
+
+    found, raw, at = tokens(page), _raw_spans(page), 0
+    closed = _closed_links(found)
+    for start, end, tag, ends, attrs in found:
+        if start < at:  # inside an element of RAW
             continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
+        words(page[at:start])
+        at = raw.get(start, end)
+        if at > end or not tag:
             continue
         if tag == "br" or tag in ("td", "th"):
             parts.append(" ")
         elif tag == "a":
-            in_link = 0 if m["end"] else 1
+            link = None if ends else (len(open_), start in closed)
         elif tag in BLOCKS:
             flush()
             if tag in HOLDERS:
-                if m["end"]:
+                if ends:
                     k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
                     if k is not None:
-                        del open_[k:]
+                        close(k)
                 else:
                     if open_ and open_[-1][0] == "p":
-                        open_.pop()
+                        close(len(open_) - 1)
                     if tag == "body":  # whatever the head left open
-                        open_.clear()
+                        close(0)
                     _, hinted, main = open_[-1] if open_ else ("", 0, False)
                     fresh = tag in ("article", "main") and not any(h == 2 and t in ("aside", "article", "section", "li") for t, h, _ in open_)
-                    attrs = m["attrs"] or ""
                     hinted = _hint(tag, attrs, main) if fresh else max(hinted, _hint(tag, attrs, main))
                     open_.append((tag, hinted, main or tag in ("article", "main")))
     words(page[at:])
@@ -164,41 +209,54 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, bool]]:
     return out
 
 
-# --- the labelled table: pages as rows of blocks, labelled by hand. words, words in links, hint, in main, cue -> content ---
+# --- the labelled pages, made up and labelled by hand: {+n} stands for n words of content, {n} for n other words; a block with words of content is content ---
 LABELLED = (
     # a newspaper's article, well marked, with links and readers' comments inside the article
-    ((1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (12, 0, 2, 0, 0, 0), (9, 0, 0, 1, 0, 1), (4, 1, 0, 1, 0, 1), (64, 0, 0, 1, 0, 1), (85, 3, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (41, 0, 0, 1, 0, 1),
-     (6, 6, 2, 1, 0, 0), (8, 8, 0, 1, 0, 0), (7, 7, 0, 1, 0, 0), (1, 0, 2, 1, 0, 0), (38, 0, 2, 1, 0, 0), (120, 2, 2, 1, 0, 0), (14, 0, 2, 0, 1, 0), (5, 5, 2, 0, 0, 0)),
+    "<header><div><a>{1}</a></div><ul><li><a>{2}</a><li><a>{1}</a></ul></header><div class=ad>{12}</div><main><h1>{+9}</h1><p>{+3} <a>{+1}</a></p><p>{+64}</p><p>{+82} <a>{+3}</a></p><h2>{+1}</h2><p>{+41}</p>"
+    "<div class=share><a>{6}</a></div><ul><li><a>{8}</a><li><a>{7}</a></ul><h3 class=comments>{1}</h3><div class=comments><p>{38}</p><p>{118} <a>{2}</a></p></div></main><aside><h3>{1}</h3><p>{22}</p></aside><footer><p>© {13}</p><a>{5}</a></footer>",
     # a short notice in an article element between menu, advert and footer
-    ((1, 1, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (9, 0, 2, 0, 0, 0), (2, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (13, 0, 2, 0, 1, 0)),
-    # a long read: paragraphs of every length, a line about rights and one about cookies that belong to it
-    ((1, 1, 2, 0, 0, 0), (16, 0, 2, 0, 0, 0), (7, 0, 0, 1, 0, 1), (180, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (22, 0, 0, 1, 1, 1), (9, 0, 0, 1, 1, 1), (4, 0, 0, 1, 1, 1), (240, 4, 0, 1, 0, 1), (15, 6, 0, 1, 0, 1),
-     (1, 0, 0, 1, 0, 1), (33, 12, 0, 1, 0, 1), (70, 0, 0, 1, 1, 1), (10, 0, 2, 0, 1, 0)),
-    # a weblog of plain boxes, nothing named
-    ((3, 3, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 0, 1), (95, 0, 0, 0, 0, 1), (120, 5, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (14, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 1), (11, 1, 0, 0, 0, 1),
-     (70, 2, 0, 0, 0, 1), (6, 4, 0, 0, 1, 0), (8, 8, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (5, 5, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (9, 0, 0, 0, 1, 0), (3, 1, 0, 0, 1, 0)),
-    # a page with an unnamed cookie line on top and an unnamed line of rights at the end
-    ((26, 3, 0, 0, 1, 0), (2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (110, 0, 0, 0, 0, 1), (45, 1, 0, 0, 0, 1), (80, 0, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (7, 0, 0, 0, 1, 0), (12, 4, 0, 0, 1, 0), (24, 0, 0, 0, 1, 0)),
+    "<nav><li><a>{1}</a><li><a>{1}</a></nav><div class=advert>{9}</div><article><h1>{+2}</h1><p>{+2}</p></article><footer>Copyright 2020 {11}</footer>",
+    # a long read: paragraphs of every length, lines about rights, cookies and a newsletter that belong to it
+    "<nav><a>{1}</a></nav><div class=cookie-notice>We use cookies {13}</div><main><h1>{+7}</h1><p>{+180}</p><h2>{+3}</h2><p>{+18} all rights reserved.</p><p>{+5} privacy policy {+2}</p><p>{+2} our newsletter</p><p>{+236} <a>{+4}</a></p>"
+    "<p>{+9} <a>{+6}</a></p><h2>{+1}</h2><p>{+21} <a>{+12}</a></p><p>{+66} cookie policy {+2}</p></main><footer>© {9}</footer>",
+    # a weblog of plain boxes, nothing named; a paragraph about rights among them
+    "<div><a>{3}</a></div><div><a>{1}</a></div><div><a>{1}</a></div><div><a>{2}</a></div><div>{+7}</div><div>{+95}</div><div>{+115} <a>{+5}</a></div><div>{+60}</div><div>{+14}</div><div>{+9}</div><div>{+10} <a>{+1}</a></div><div>{+30} all rights reserved, {+30}</div>"
+    "<div>{+68} <a>{+2}</a></div><div>Filed under {1} <a>{4}</a></div><div><a>{8}</a></div><div>{2}</div><div><a>{4}</a></div><div><a>{5}</a></div><div><a>{3}</a></div><div>© {8}</div><div>Powered by <a>{1}</a></div>",
+    # a page with an unnamed cookie line on top and unnamed lines of rights at the end
+    "<div>We use cookies {20} <a>{3}</a></div><div><a>{2}</a></div><div><a>{3}</a></div><div>{+6}</div><div>{+110}</div><div>{+44} <a>{+1}</a></div><div>{+80}</div><div>{+18}</div><div>Subscribe to our newsletter {3}</div><div>Privacy policy {6} <a>{4}</a></div><div>Copyright 2019 {22}</div>",
     # a manual: table of contents, code and short lines in main
-    ((2, 2, 2, 0, 0, 0), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (5, 5, 0, 1, 0, 0), (3, 0, 0, 1, 0, 1), (28, 3, 0, 1, 0, 1), (6, 0, 0, 1, 0, 1), (12, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (50, 9, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (4, 4, 2, 0, 0, 0)),
+    "<header><a>{2}</a></header><main><ul><li><a>{4}</a><li><a>{3}</a><li><a>{5}</a></ul><h1>{+3}</h1><p>{+25} <a>{+3}</a></p><pre>{+6}</pre><p>{+12}</p><pre>{+2}</pre><h2>{+1}</h2><p>{+41} <a>{+9}</a></p><div><a>{5}</a></div></main><footer><a>{4}</a></footer>",
     # article boxes whose classes only contain a part's name
-    ((1, 1, 2, 0, 0, 0), (6, 0, 0, 1, 0, 1), (45, 0, 1, 1, 0, 1), (80, 2, 1, 1, 0, 1), (10, 0, 1, 1, 0, 1), (3, 0, 1, 1, 0, 1), (60, 0, 0, 1, 0, 1), (5, 4, 1, 1, 0, 0), (3, 3, 1, 1, 0, 0), (11, 0, 2, 0, 1, 0)),
+    "<nav><a>{1}</a></nav><article><h1>{+6}</h1><div class=social-history><p>{+45}</p><p>{+78} <a>{+2}</a></p><p>{+10}</p></div><div class=legal-note><h2>{+3}</h2></div><p>{+60}</p><div class=tag-cloud>{1} <a>{4}</a></div><div class=tag-cloud><a>{3}</a></div></article><footer>© {10}</footer>",
     # such boxes outside: text, and lists of links
-    ((2, 2, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (8, 0, 0, 0, 0, 1), (70, 0, 1, 0, 0, 1), (90, 3, 1, 0, 0, 1), (55, 0, 0, 0, 0, 1), (4, 4, 1, 0, 0, 0), (6, 6, 1, 0, 0, 0), (5, 2, 1, 0, 1, 0), (16, 2, 1, 0, 1, 0)),
+    "<div class=login-info><a>{2}</a></div><div class=login-info><a>{1}</a></div><div>{+8}</div><div class=social-history>{+70}</div><div class=social-history>{+87} <a>{+3}</a></div><div>{+55}</div><div class=tag-cloud><a>{4}</a></div><div class=tag-cloud><a>{6}</a></div>"
+    "<div class=share-text>Share this {1} <a>{2}</a></div><div class=legal-text>Terms of use {11} <a>{2}</a></div>",
     # a sidebar and comments of prose that markup names
-    ((3, 3, 2, 0, 0, 0), (5, 0, 0, 0, 0, 1), (88, 0, 0, 0, 0, 1), (64, 2, 0, 0, 0, 1), (2, 0, 2, 0, 0, 0), (55, 0, 2, 0, 0, 0), (130, 4, 2, 0, 0, 0), (20, 0, 2, 0, 0, 0), (1, 0, 2, 0, 0, 0), (210, 0, 2, 0, 0, 0), (8, 0, 2, 0, 1, 0)),
-    # a portal: lists of teasers, no article
-    ((2, 2, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (11, 9, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (12, 10, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (2, 1, 0, 0, 1, 0)),
+    "<nav><a>{3}</a></nav><div><h1>{+5}</h1><p>{+88}</p><p>{+62} <a>{+2}</a></p></div><div class=sidebar><h3>{2}</h3><p>{55}</p><p>{126} <a>{4}</a></p></div><section class=comments><p>{20}</p><p>{1}</p><p>{210}</p></section><footer>© {8}</footer>",
+    # a portal: links and teasers between them, no article
+    "<div><a>{2}</a></div><div><a>{6}</a></div><div>{2} <a>{9}</a></div><div><a>{7}</a></div><div>{18}</div><div><a>{6}</a></div><div>{21}</div><div><a>{8}</a></div><div>{2} <a>{10}</a></div><div>{4}</div><div><a>{3}</a></div><div>{15}</div><div><a>{5}</a></div><div>Follow us <a>{1}</a></div>",
+    # a shop's front: captions and prices between links
+    "<div><a>{1}</a></div><div><a>{1}</a></div><div>{3}</div><div><a>{4}</a></div><div>{2}</div><div><a>{5}</a></div><div>{2}</div><div><a>{4}</a></div><div>{26}</div><div><a>{6}</a></div><div>{1}</div><div><a>{2}</a></div>",
+    # an article of one paragraph, and one of two, among links that nothing names
+    "<div><a>{2}</a></div><div><a>{3}</a></div><div>{+5}</div><div>{+130}</div><div><a>{4}</a></div><div>{12}</div><div><a>{5}</a></div><div>{2}</div><div><a>{4}</a></div>",
+    "<div><a>{3}</a></div><div>{1}</div><div><a>{3}</a></div><div>{+4}</div><div>{+48}</div><div>{+33}</div><div><a>{6}</a></div><div>{14}</div><div><a>{6}</a></div><div>{3}</div><div><a>{2}</a></div>",
     # a reference page: title above links to its parts, a short last paragraph before more links
-    ((1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (3, 0, 0, 1, 0, 1), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (2, 0, 0, 1, 0, 1), (44, 2, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (9, 0, 0, 1, 0, 1), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (4, 4, 2, 0, 0, 0)),
-    ((2, 2, 2, 0, 0, 0), (1, 0, 0, 1, 0, 1), (5, 5, 0, 1, 0, 0), (17, 1, 0, 1, 0, 1), (13, 0, 0, 1, 1, 1), (48, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (3, 3, 2, 1, 0, 0), (2, 2, 2, 1, 0, 0), (6, 0, 2, 0, 1, 0)),
+    "<header><a>{1}</a><a>{2}</a></header><main><h1>{+3}</h1><ul><li><a>{4}</a><li><a>{3}</a></ul><h2>{+2}</h2><p>{+42} <a>{+2}</a></p><h2>{+2}</h2><p>{+9}</p></main><aside><a>{2}</a></aside><footer><a>{1}</a> <a>{4}</a></footer>",
+    "<nav><a>{2}</a></nav><article><h1>{+1}</h1><ul><li><a>{5}</a></ul><p>{+16} <a>{+1}</a></p><p>{+11} cookie policy</p><p>{+48}</p><p>{+1}</p><div class=related><a>{3}</a></div><div class=related><a>{2}</a></div></article><footer>{6}</footer>",
     # the same without main element
-    ((3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (7, 7, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (8, 0, 0, 0, 1, 0)),
+    "<div><a>{3}</a></div><div><h1>{+6}</h1><p>{+52}</p><p>{+16}</p></div><div><a>{5}</a></div><div><a>{7}</a></div><div>{2}</div><div><a>{4}</a></div><div>{1}</div><div><a>{3}</a></div><div>© {7}</div>",
     # a recipe without main element
-    ((1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (4, 0, 0, 0, 0, 1), (32, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 1), (24, 0, 0, 0, 0, 1), (38, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (4, 3, 0, 0, 1, 0), (6, 0, 0, 0, 1, 0)),
+    "<div><a>{1}</a></div><div><a>{2}</a></div><div><h1>{+4}</h1><p>{+32}</p><h2>{+3}</h2><ul><li>{+5}<li>{+4}</ul><p>{+24}</p><p>{+38}</p></div><div><a>{5}</a></div><div>Posted in <a>{3}</a></div><div>© 2021 {4}</div>",
+    # a headline and short paragraphs, then a list of links with a heading of its own
+    "<div><a>{1}</a></div><div><a>{2}</a></div><div>{+8}</div><div>{+20}</div><div>{+17}</div><div>{+2}</div><div>{+25}</div><div>{+12}</div><div>{2}</div><div><a>{7}</a></div><div><a>{6}</a></div><div><a>{8}</a></div>",
 )
 
 
+def page_of(sketch: str) -> str:
+    """A labelled page's html: words of content are `kept`, others `gone`."""
+    return re.sub(r"\{(\+?)(\d+)\}", lambda m: " ".join(["kept" if m[1] else "gone"] * int(m[2])), sketch)
+
+
 def rows_of(page: list[tuple[int, int, int, int, int]]) -> list[tuple]:
     """Features of a page's blocks: words and link density in hundredths, the same of the block before and of that after, hint, in main, cue."""
     size = [(w, 100 * links // w) for w, links, *_ in page]
@@ -206,8 +264,14 @@ def rows_of(page: list[tuple[int, int, int, int, int]]) -> list[tuple]:
     return [(*x, *(size[i - 1] if i else none), *(size[i + 1] if i + 1 < len(size) else none), *map(int, page[i][2:5])) for i, x in enumerate(size)]
 
 
+def features_of(blocks: list[tuple[str, int, int, int, bool]]) -> list[tuple]:
+    return rows_of([(*b[1:], bool(CUE.search(b[0]))) for b in blocks])
+
+
 def labelled(pages: tuple = LABELLED) -> list[tuple]:
-    return [(*f, b[5]) for page in pages for f, b in zip(rows_of([b[:5] for b in page]), page)]
+    """Features and label of each block of the labelled pages."""
+    found = [blocks_of(page_of(p)) for p in pages]
+    return [(*f, int("kept" in b[0])) for blocks in found for f, b in zip(features_of(blocks), blocks)]
 
 
 def grow(rows: list[tuple], depth: int = 8):
@@ -242,7 +306,7 @@ def decide(tree, features: tuple) -> int:
 
 def verdicts(blocks: list[tuple[str, int, int, int, bool]], tree) -> list[int]:
     """1 for each block that is content."""
-    return [decide(tree, f) for f in rows_of([(*b[1:], bool(CUE.search(b[0]))) for b in blocks])]
+    return [decide(tree, f) for f in features_of(blocks)]
 
 
 def main_text(page: str | None, tree) -> str:
