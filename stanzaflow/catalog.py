@@ -49,6 +49,21 @@ def _raw_lines(spark, sf_dir):
     return L.exploded(_docs(spark, sf_dir))
 
 
+def _one(spark, sf_dir):
+    """The whole corpus as a single document; its chunks are small so that small tables are cut too."""
+    return L.joined(_lines(spark, sf_dir), 2_000)
+
+
+def _one_located(spark, sf_dir):
+    return books.with_chapter(books.with_book(machine.events(_one(spark, sf_dir))))
+
+
+def _in_printed_order(report):
+    """Each line with the number under which it is printed."""
+    lines = report.select("doc_id", (F.col("lineno") * 10 + F.col("k")).alias("lineno"), F.col("report_line").alias("raw"))
+    return L.joined(lines, 2_000).select(F.col("lineno").alias("n"), F.col("raw").alias("report_line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "a1_line_scan": lambda p, d: _raw_lines(p, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).alias("n_chars"), F.max("lineno").alias("last_line")),
@@ -64,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c_neighbours": lambda p, d: _events(p, d).select("doc_id", "lineno", "prev", "next"),
         "d_events": lambda p, d: machine.assert_kinds(_events(p, d)).select("doc_id", "lineno", "kind", "category", *R.COUNTERS),
         "d_kinds": lambda p, d: _events(p, d).groupBy("kind").agg(F.count("*").alias("n"), *totals.sums()),
-        "e_books": lambda p, d: _booked(p, d).select("doc_id", "lineno", "book", "blob"),
+        "e_books": lambda p, d: books.with_book(_events(p, d), blob=True).select("doc_id", "lineno", "book", "blob"),
         "f_chapters": lambda p, d: _located(p, d).select("doc_id", "lineno", "book", "chapter", "chapter_exact"),
         "g1_totals": lambda p, d: totals.total(_events(p, d)),
         "g1_doc_totals": lambda p, d: totals.per_document(_events(p, d)),
@@ -83,6 +98,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "i1_comparison": lambda p, d: totals.comparison(_booked(p, d)),
         "i1_comparison_all": lambda p, d: totals.comparison(_booked(p, d), True),
         "i2_unexpected": lambda p, d: totals.unexpected(_mislabelled(p, d)),
+        "g_grains": lambda p, d: totals.grains(_located(p, d)),
+        "a1_one_document": lambda p, d: _one(p, d).select("lineno", "raw"),
+        "c_neighbours_one_document": lambda p, d: machine.events(_one(p, d)).select("lineno", "prev", "next", "prev_raw", "next_raw"),
+        "d_events_one_document": lambda p, d: machine.assert_kinds(machine.events(_one(p, d))).select("lineno", "kind", "category", *R.COUNTERS),
+        "e_books_one_document": lambda p, d: books.with_book(machine.events(_one(p, d)), blob=True).select("lineno", "book", "blob"),
+        "f_chapters_one_document": lambda p, d: _one_located(p, d).select("lineno", "book", "chapter", "chapter_exact"),
+        "g8_chapter_stats_one_document": lambda p, d: totals.chapter_stats(_one_located(p, d)),
+        "h4_psalm_debug_one_document": lambda p, d: reports.psalm_debug(machine.events(_one(p, d))),
+        "j1_psalm_debug_order": lambda p, d: _in_printed_order(printed.psalm_debug_report(_events(p, d))),
         "a3_totals": lambda p, d: printed.totals_report(_events(p, d)),
         "a3_chapter": lambda p, d: printed.chapter_report(_located(p, d), " GENESIS", 1),
         "a3_divisible_by_7": lambda p, d: printed.divisible_report(_located(p, d)),
@@ -129,7 +153,24 @@ def _count(x: str) -> str:
     return f"len(regexp_extract_all({x}, {_q(_TOKEN)}))"
 
 
-def _base() -> str:
+#: the machine as a recursion that takes a line of each document in a step
+_STEPS = """st AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, false AS w, false AS e, NULL::VARCHAR AS kind FROM b UNION ALL
+  SELECT doc_id, i, CASE kind WHEN 'psalm_119_division' THEN true WHEN 'psalm_title' THEN true WHEN 'verse_after_psalm_heading' THEN false WHEN 'implicit_psalm_opening' THEN NOT clears ELSE w END, kind = 'split_verse_number', kind
+  FROM (SELECT b.doc_id, b.i, st.w, b.clears, CASE WHEN st.e THEN 'split_verse_body' WHEN b.stanza THEN 'psalm_119_division' WHEN b.title THEN 'psalm_title' WHEN st.w AND b.heading THEN 'psalm_heading'
+    WHEN st.w AND b.verse THEN 'verse_after_psalm_heading' WHEN st.w THEN 'implicit_psalm_opening' WHEN b.pdig AND b.dig THEN 'split_verse_number' ELSE 'numbered_line' END AS kind
+    FROM st JOIN b ON b.doc_id = st.doc_id AND b.i = st.i + 1))"""
+
+_KIND = """CASE WHEN a.e THEN 'split_verse_body' WHEN x.ks[1] = 'stanza' THEN 'psalm_119_division' WHEN x.ks[1] = 'title' THEN 'psalm_title' WHEN a.w AND x.ks[1] = 'heading' THEN 'psalm_heading'
+    WHEN a.w AND x.ks[1] = 'verse' THEN 'verse_after_psalm_heading' WHEN a.w THEN 'implicit_psalm_opening' WHEN a.d AND x.d THEN 'split_verse_number' ELSE 'numbered_line' END"""
+#: the same as a fold: w awaiting, e split, d digits before; a line brings whether it clears (w), its digits (d) and its kind (ks)
+_FOLD = f"""lined AS (SELECT doc_id, list({{'w': clears, 'e': false, 'd': dig, 'ks': [CASE WHEN stanza THEN 'stanza' WHEN title THEN 'title' WHEN heading THEN 'heading' WHEN verse THEN 'verse' ELSE 'text' END]}} ORDER BY i) AS ls FROM b GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(list_prepend({{'w': false, 'e': false, 'd': false, 'ks': []::VARCHAR[]}}, ls), lambda a, x: {{'w': CASE {_KIND} WHEN 'psalm_119_division' THEN true WHEN 'psalm_title' THEN true
+  WHEN 'verse_after_psalm_heading' THEN false WHEN 'implicit_psalm_opening' THEN NOT x.w ELSE a.w END, 'e': {_KIND} = 'split_verse_number', 'd': x.d, 'ks': list_append(a.ks, {_KIND})}}).ks AS ks FROM lined),
+st AS (SELECT doc_id, unnest(ks) AS kind, generate_subscripts(ks, 1) AS i FROM folded)"""
+
+
+def _base(one: bool = False) -> str:
+    """one: all lines as one document; its states by a fold over the list of lines, as the recursion would take a step a line."""
     hit = lambda x, p: f"regexp_matches({x}, {_q(p)})"
     pick = lambda xs, i: f"({_list(xs)})[({i}) % {len(xs)} + 1]"
     book = " ".join(f"WHEN stripped = {_q(line)} THEN {_q(b)}" for line, b in R.TRIGGERS.items())
@@ -138,9 +179,10 @@ def _base() -> str:
     return f"""WITH RECURSIVE
 t AS (SELECT doc_id, unnest(x) AS t, (generate_subscripts(x, 1) - 1)::BIGINT AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 k AS (SELECT *, {shaped.SHAPE} AS k FROM t),
-l AS (SELECT doc_id, pos + 1 AS lineno, CASE WHEN {shaped.MARKS[0]} THEN {_q(R.PSALMS_START)} WHEN {shaped.MARKS[1]} THEN {_q(R.PSALMS_END)} WHEN k <= 1 THEN 'PSALM ' || (pos % 50 + 1) WHEN k = 2 THEN {pick(R.STANZAS, 'doc_id + pos')} WHEN k = 3 THEN {pick(shaped.HEADING_TEXT, 'doc_id + pos')}
+by_doc AS (SELECT doc_id, pos + 1 AS lineno, CASE WHEN {shaped.MARKS[0]} THEN {_q(R.PSALMS_START)} WHEN {shaped.MARKS[1]} THEN {_q(R.PSALMS_END)} WHEN k <= 1 THEN 'PSALM ' || (pos % 50 + 1) WHEN k = 2 THEN {pick(R.STANZAS, 'doc_id + pos')} WHEN k = 3 THEN {pick(shaped.HEADING_TEXT, 'doc_id + pos')}
   WHEN k <= 6 THEN (pos % 50 + 1)::VARCHAR WHEN k = 7 THEN ' ' || chr(9) || ' ' WHEN k = 8 THEN '0 ' || t WHEN k = 9 THEN '1 ' || t WHEN k <= 15 THEN (pos % 30 + 2) || ' ' || t
   WHEN k = 16 THEN {pick(shaped.TRIGGERS, 'doc_id + pos * 7')} WHEN k = 17 THEN {pick(shaped.BEFORE, 'doc_id + pos')} WHEN k = 18 THEN {pick(shaped.COLOPHON_TEXT, 'doc_id + pos')} ELSE t END AS raw FROM k),
+l AS ({'SELECT 0::BIGINT AS doc_id, row_number() OVER (ORDER BY doc_id, lineno) AS lineno, raw FROM by_doc' if one else 'FROM by_doc'}),
 s AS (SELECT *, trim(raw, {white}) AS stripped FROM l),
 c AS (SELECT *, {hit('stripped', _DIGITS)} AS dig, stripped IN (SELECT unnest({_list(R.STANZAS)})) AS stanza, {hit('stripped', _PSALM)} AS title, {hit('stripped', _VERSE)} AS verse,
   {hit('stripped', _HEADING)} AS heading, regexp_extract(stripped, {_q(_VERSE)}, 1) AS vn, regexp_extract(stripped, {_q(_VERSE)}, 2) AS body FROM s),
@@ -150,11 +192,7 @@ classified AS (SELECT *, CASE WHEN stripped = '' THEN 'other' WHEN dig THEN 'cha
 b AS (SELECT *, row_number() OVER w AS i, lag(dig) OVER w AS pdig, lag(raw) OVER w AS prev_raw, lead(raw) OVER w AS next_raw, lag(stripped) OVER w AS prev, lead(stripped) OVER w AS next,
   lead(stripped) OVER w IS NULL OR lead(title) OVER w OR coalesce(lead(num) OVER w >= 2, false) AS clears,
   string_agg(stripped, ' ') OVER (PARTITION BY doc_id ORDER BY lineno ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS blob FROM classified WHERE stripped <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY lineno)),
-st AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, false AS w, false AS e, NULL::VARCHAR AS kind FROM b UNION ALL
-  SELECT doc_id, i, CASE kind WHEN 'psalm_119_division' THEN true WHEN 'psalm_title' THEN true WHEN 'verse_after_psalm_heading' THEN false WHEN 'implicit_psalm_opening' THEN NOT clears ELSE w END, kind = 'split_verse_number', kind
-  FROM (SELECT b.doc_id, b.i, st.w, b.clears, CASE WHEN st.e THEN 'split_verse_body' WHEN b.stanza THEN 'psalm_119_division' WHEN b.title THEN 'psalm_title' WHEN st.w AND b.heading THEN 'psalm_heading'
-    WHEN st.w AND b.verse THEN 'verse_after_psalm_heading' WHEN st.w THEN 'implicit_psalm_opening' WHEN b.pdig AND b.dig THEN 'split_verse_number' ELSE 'numbered_line' END AS kind
-    FROM st JOIN b ON b.doc_id = st.doc_id AND b.i = st.i + 1)),
+{_FOLD if one else _STEPS},
 d AS (SELECT b.*, st.kind, (st.kind IN ('numbered_line', 'verse_after_psalm_heading')) AS plain FROM b JOIN st USING (doc_id, i)),
 ev AS (SELECT *, (CASE WHEN plain AND NOT dig AND NOT verse THEN tok ELSE 0 END)::BIGINT AS text_words,
   (CASE WHEN plain AND verse THEN body_tok WHEN kind = 'split_verse_body' OR kind = 'implicit_psalm_opening' AND clears THEN tok ELSE 0 END)::BIGINT AS verse_text_words,
@@ -276,8 +314,16 @@ def oracle_sql() -> dict[str, str]:
         ]),
         "a3_psalm_debug": _printed("0", "doc_id", "lineno", "'line ' || lineno || ': ' || raw, '  classification: ' || category, " + ", ".join(f"'  next non-empty (line ' || lineno_{k} || '): ' || raw_{k}, '    classification: ' || category_{k}" for k in (1, 2)) + ", ''", f"({shown})"),
     }
-    base = _base()
-    return {k: base + v for k, v in shaped_sql.items()} | {
+    base, of_one = _base(), _base(one=True)
+    one_sql = {
+        "a1_one_document": "SELECT lineno, raw FROM l", "c_neighbours_one_document": "SELECT lineno, prev, next, prev_raw, next_raw FROM ev", 
+        "d_events_one_document": shaped_sql["d_events"].replace("doc_id, lineno", "lineno"), "e_books_one_document": shaped_sql["e_books"].replace("doc_id, lineno", "lineno"),
+        "f_chapters_one_document": shaped_sql["f_chapters"].replace("doc_id, lineno", "lineno"), "g8_chapter_stats_one_document": shaped_sql["g8_chapter_stats"], "h4_psalm_debug_one_document": shaped_sql["h4_psalm_debug"],
+    }
+    return {k: base + v for k, v in shaped_sql.items()} | {k: of_one + v for k, v in one_sql.items()} | {
+        "g_grains": base + " UNION ALL BY NAME ".join(f"SELECT '{grain}' AS grain, {'doc_id' if grain == 'document' else 'NULL::BIGINT AS doc_id'}, {'book' if grain in ('book', 'chapter') else 'NULL AS book'}, {'chapter' if grain == 'chapter' else 'NULL::BIGINT AS chapter'}, {sums}, sum({comb})::BIGINT AS combined FROM loc{by}"
+            for grain, by in (("all", ""), ("document", " GROUP BY doc_id"), ("book", " GROUP BY book"), ("chapter", " GROUP BY book, chapter"))),
+        "j1_psalm_debug_order": base + f"SELECT row_number() OVER (ORDER BY doc_id, lineno, k) AS n, report_line FROM ({shaped_sql['a3_psalm_debug']})",
         "a1_line_scan": "SELECT doc_id, count(*) AS n_lines, sum(len(x))::BIGINT AS n_chars, count(*) AS last_line FROM (SELECT doc_id, unnest(string_split(CASE WHEN suffix(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS x FROM documents) GROUP BY doc_id",
         "b_tokens": f"SELECT doc_id, {_count('text')} AS n_tokens, array_to_string(regexp_extract_all(text, {_q(_TOKEN)})[:5], '|') AS first_tokens FROM documents",
         "b_token_frequencies": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_q(_TOKEN)})) AS token FROM documents) GROUP BY token",

@@ -1,6 +1,6 @@
-"""Command line: one text file, one report, printed line by line.
+"""Command line: one text file, one report, printed line by line or written in parts.
 
-    python -m stanzaflow.cli FILE [chapter BOOK NAME N | chapters-divisible-by-7 | line-samples [N] | text-words-debug | psalm-heading-words-debug |
+    python -m stanzaflow.cli [--out FOLDER] FILE [chapter BOOK NAME N | chapters-divisible-by-7 | line-samples [N] | text-words-debug | psalm-heading-words-debug |
                                    psalms-unclassified-debug | book-stats-debug [--all] | numeric-chapters-debug | psalm-debug]
 """
 
@@ -25,13 +25,21 @@ def write(rows: DataFrame, out: TextIO | None = None) -> None:
         print(row[0], file=out or sys.stdout)
 
 
+def save(rows: DataFrame, folder: str) -> None:
+    """The report as text files, each written by a task of its own; joined in the order of their names they are the report."""
+    rows.select("report_line").write.text(folder)
+
+
 def main(argv: list[str]) -> int:
-    if not argv:
+    folder = argv[1] if argv[:1] == ["--out"] and len(argv) > 2 else None
+    argv = argv[2:] if folder else argv
+    if not argv or argv[0] == "--out":
         print(__doc__, file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("stanzaflow").getOrCreate()
     try:
-        write(report(spark, *argv))
+        rows = report(spark, *argv)
+        save(rows, folder) if folder else write(rows)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1

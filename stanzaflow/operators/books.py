@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
-from .machine import by_line
+from . import chunks
+from .machine import by_line, in_chunks
 
 
 def canon(spark: SparkSession) -> DataFrame:
@@ -22,10 +23,23 @@ def canonical_name(name: str | None) -> str | None:
     return next((b for b, _, _ in R.CANON if b.lower() == wanted), None)
 
 
-def with_book(events: DataFrame) -> DataFrame:
-    """Adds blob (the ten non-blank lines before), book_start and book (carried forward)."""
+#: a line of the ten before an ambiguous title counts only if it holds a word of the parts looked for; others count as empty, which no part spans
+_WORDS = "|".join(sorted({word for _, only_before, part, _ in R.AMBIGUOUS if not only_before for word in part.split()}))
+
+
+def before_ten(rows: DataFrame, line: Column) -> Column:
+    """The ten non-blank lines before, joined by spaces; line: what stands for a line."""
+    own = F.collect_list(line).over(by_line(rows).rowsBetween(-chunks.BEHIND, -1))
+    if in_chunks(rows):
+        both = F.concat(F.col("prior")["stripped"], own)
+        own = F.when(F.col("n") <= chunks.BEHIND, F.slice(both, F.greatest(F.lit(1), F.size(both) - chunks.BEHIND + 1), chunks.BEHIND)).otherwise(own)
+    return F.concat_ws(" ", own)
+
+
+def with_book(events: DataFrame, blob: bool = False) -> DataFrame:
+    """Adds book (carried forward), book_before (the line before's), and blob (the ten non-blank lines before) if asked for."""
     s = F.col("stripped")
-    e = events.withColumn("blob", F.concat_ws(" ", F.collect_list("stripped").over(by_line().rowsBetween(-10, -1))))
+    e = events.withColumn("blob", before_ten(events, s) if blob else before_ten(events, F.when(s.rlike(_WORDS), s).otherwise("")))
     by_book: dict[str, list[str]] = {}
     for line, book in R.TRIGGERS.items():
         by_book.setdefault(book, []).append(line)
@@ -33,9 +47,13 @@ def with_book(events: DataFrame) -> DataFrame:
     for line, only_before, part, book in R.AMBIGUOUS:
         start = start.when((s == line) & ((F.col("prev") == part) if only_before else F.contains(F.col("blob"), F.lit(part))), book)
     e = e.withColumn("book_start", start)
-    w = by_line()
-    carried = lambda last: F.coalesce(F.last("book_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(R.FRONT))
-    return e.withColumns({"book": carried(0), "book_before": carried(-1)})
+    e = e if blob else e.drop("blob")
+    w, front = by_line(e), F.lit(R.FRONT)
+    if in_chunks(e):
+        e = chunks.carried(e, {"found": chunks.latest(F.col("book_start"))}, {"entered": chunks.earlier("found")})
+        front = F.coalesce("entered", front)
+    carried = lambda last: F.coalesce(F.last("book_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), front)
+    return e.withColumns({"book": carried(0), "book_before": carried(-1)}).drop("entered")
 
 
 def with_chapter(booked: DataFrame) -> DataFrame:
@@ -43,11 +61,15 @@ def with_chapter(booked: DataFrame) -> DataFrame:
     title = F.when(F.col("kind") == "psalm_title", F.expr("try_cast(substring(stripped, 7) as bigint)"))
     number = F.expr("try_cast(stripped as bigint)")
     psalms, changed = F.col("book") == "Psalms", F.col("book") != F.col("book_before")
-    upto = by_line().rowsBetween(Window.unboundedPreceding, 0)
-
-    def carried(numbered: Column) -> Column:
-        """The last number; a line that changes the book carries its own number or none."""
-        mark = F.when(psalms, title).otherwise(F.when(numbered, number))
-        return F.last(F.when(changed | mark.isNotNull(), F.struct(mark.alias("v"))), ignorenulls=True).over(upto)["v"]
-
-    return booked.withColumns({"chapter": carried(F.col("digits")), "chapter_exact": carried(F.col("numeric_chapter_lines") > 0)})
+    w = by_line(booked)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = {"chapter": F.col("digits"), "chapter_exact": F.col("numeric_chapter_lines") > 0}
+    # a line that changes the book carries its own number or none
+    marks = {name: F.when(psalms, title).otherwise(F.when(c, number)) for name, c in numbered.items()}
+    marks = {name: F.when(changed | mark.isNotNull(), F.struct(mark.alias("v"))) for name, mark in marks.items()}
+    if not in_chunks(booked):
+        return booked.withColumns({name: F.last(mark, ignorenulls=True).over(upto)["v"] for name, mark in marks.items()})
+    rows = booked.withColumns({f"_{name}": mark for name, mark in marks.items()})
+    rows = chunks.carried(rows, {f"last_{name}": chunks.latest(F.col(f"_{name}")) for name in marks}, {f"in_{name}": chunks.earlier(f"last_{name}") for name in marks})
+    rows = rows.withColumns({name: F.coalesce(F.last(f"_{name}", ignorenulls=True).over(upto), F.col(f"in_{name}"))["v"] for name in marks})
+    return rows.drop(*[f"{p}_{name}" for p in ("", "in") for name in marks])

@@ -1,4 +1,4 @@
-"""The line state machine in closed form: windows over an explicit line order, one exchange on doc_id.
+"""The line state machine in closed form: windows over an explicit line order, one exchange on doc_id, or on (doc_id, chunk) where lines have a chunk.
 
 A line's event depends on two flags carried from line to line: whether a psalm's unnumbered first verse is awaited, and whether a
 verse number split from its body was just read. Both are read off windows: runs of digit-only lines alternate chapter / split number /
@@ -13,9 +13,15 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import rules as R
 from ..functions import text as T
+from . import chunks
 
-def by_line() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("lineno")
+
+def in_chunks(rows: DataFrame) -> bool:
+    return "chunk" in rows.columns
+
+
+def by_line(rows: DataFrame) -> WindowSpec:
+    return Window.partitionBy(*(chunks.KEYS if in_chunks(rows) else ("doc_id",))).orderBy("lineno")
 
 
 def features(lines: DataFrame) -> DataFrame:
@@ -34,17 +40,32 @@ def features(lines: DataFrame) -> DataFrame:
 
 
 def events(lines: DataFrame) -> DataFrame:
-    """One row per non-blank line: kind, the ten counters, and the neighbours that reports show. All windows share one partitioning and one order."""
+    """One row per non-blank line: kind, the ten counters, and the neighbours that reports show. All windows share one partitioning and one order.
+
+    Of lines in chunks each chunk starts from the state and the lines that `chunks.summaries` gives it.
+    """
     f = features(lines)
-    w = by_line()
+    w = by_line(f)
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    next_ = lambda c, at_end: F.coalesce(F.lead(c).over(w), F.lit(at_end))
+    split = in_chunks(f)
+    none = F.lit(None)
+    if split:
+        f = f.join(chunks.summaries(f), list(chunks.KEYS))
+        entry = F.col("entry")
+        enters_waiting, digits_before = entry >= 3, F.when(entry == 2, 2).when(entry.isin(1, 4), 1).otherwise(0)
+        after = lambda c: F.get("follow", F.lit(0))[c]
+        ahead = lambda c: F.try_element_at("prior", F.lit(-1))[c]
+    else:
+        enters_waiting, digits_before, after, ahead = F.lit(False), F.lit(0), lambda c: none, lambda c: none
+    first = lambda *c: F.coalesce(*c) if split else c[0]
+    next_ = lambda c, name, at_end: F.coalesce(F.lead(c).over(w), after(name), F.lit(at_end)) if split else F.coalesce(F.lead(c).over(w), F.lit(at_end))
     f = f.withColumns({
-        "n": F.row_number().over(w), "next_opens": next_("opens_next", True), "next_sets": next_(F.col("stanza") | F.col("title"), False),
-        "prev_raw": F.lag("raw").over(w), "next_raw": F.lead("raw").over(w), "prev": F.lag("stripped").over(w), "next": F.lead("stripped").over(w),
+        "n": F.row_number().over(w), "next_opens": next_("opens_next", "opens_next", True), "next_sets": next_(F.col("stanza") | F.col("title"), "sets", False),
+        "prev_raw": first(F.lag("raw").over(w), ahead("raw")), "next_raw": first(F.lead("raw").over(w), after("raw")),
+        "prev": first(F.lag("stripped").over(w), ahead("stripped")), "next": first(F.lead("stripped").over(w), after("stripped")),
     })
     other = F.when(~F.col("digits"), F.col("n"))  # lines that end a run of digit-only lines
-    since = lambda frame: F.coalesce(F.last(other, ignorenulls=True).over(frame), F.lit(0))
+    since = lambda frame: F.coalesce(F.last(other, ignorenulls=True).over(frame), -digits_before)
     f = f.withColumns({"pos": F.col("n") - since(upto), "last_pos": F.col("n") - 1 - since(before)})  # place in such a run; 0 outside
     f = f.withColumn("after_even", ~F.col("digits") & (F.col("last_pos") > 0) & (F.col("last_pos") % 2 == 0))
     sets = F.col("stanza") | F.col("title")
@@ -53,8 +74,9 @@ def events(lines: DataFrame) -> DataFrame:
         F.when(sets, F.when(~F.col("after_even"), True)).when(F.col("heading"), F.lit(None).cast("boolean")).when(F.col("verse"), False)
         .when(F.col("digits") & (F.col("pos") % 2 == 0) & F.col("next_sets"), F.lit(None).cast("boolean")).when(F.col("next_opens"), False),
     )
-    turned = lambda frame: F.coalesce(F.last("turn", ignorenulls=True).over(frame), F.lit(False))
-    f = f.withColumns({"waiting": turned(before), "was_waiting": turned(w.rowsBetween(Window.unboundedPreceding, -2))})
+    turned = lambda frame, at_first: F.coalesce(F.last("turn", ignorenulls=True).over(frame), at_first)
+    # after a split number, which a chunk is entered after by state 2, nothing was awaited
+    f = f.withColumns({"waiting": turned(before, enters_waiting), "was_waiting": turned(w.rowsBetween(Window.unboundedPreceding, -2), (F.col("n") > 1) & enters_waiting)})
     wait, dig = F.col("waiting"), F.col("digits")
     consumed = F.when(dig, ~wait & (F.col("pos") >= 3) & (F.col("pos") % 2 == 1)).otherwise(F.col("after_even") & ~F.col("was_waiting"))
     kind = (
@@ -77,7 +99,7 @@ def events(lines: DataFrame) -> DataFrame:
         "psalm_chapter_titles": num(k == "psalm_title"), "numeric_chapter_lines": num(plain & dig), "implicit_psalm_verse_1": num(opens),
         "numbered_verse_lines": num(verse_row | (k == "split_verse_number")),
     })
-    return f.select("doc_id", "lineno", "raw", "stripped", "kind", "category", *R.COUNTERS, "digits", "prev_raw", "next_raw", "prev", "next", "next_opens", (~(F.col("stanza") | F.col("title") | F.col("heading") | F.col("digits") | F.col("verse"))).alias("unmarked"))
+    return f.select(*(("chunk", "n", "prior", "follow") if split else ()), "doc_id", "lineno", "raw", "stripped", "kind", "category", *R.COUNTERS, "digits", "prev_raw", "next_raw", "prev", "next", "next_opens", (~(F.col("stanza") | F.col("title") | F.col("heading") | F.col("digits") | F.col("verse"))).alias("unmarked"))
 
 
 def assert_kinds(events_df: DataFrame) -> DataFrame:

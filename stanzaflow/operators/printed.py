@@ -5,6 +5,7 @@ Parts follow each other: a report's head, its entries in the order of documents
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,22 +68,36 @@ def samples_report(lines: DataFrame, limit: int = 3) -> DataFrame:
     return _block(rows, 0, F.concat(F.array(F.format_string("== %s ==", "category")), shown, F.array(F.lit(""))), order)
 
 
+# --- fixed values: labels of the printed groups ---
+BUCKETS = {"book_titles_cover": "book titles / cover", "colophon": "colophons", "other": "other"}
+
+
 def text_words_report(events: DataFrame) -> DataFrame:
-    rows = reports.text_word_lines(events)
-    whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
-    labels = {"book_titles_cover": "book titles / cover", "colophon": "colophons", "other": "other"}
-    label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("bucket"))
-    rest = reports.other_breakdown(events)
-    return _report(
-        _block(whole, 0, [F.format_string("Lines contributing to text_words (%d lines, %d tokens)", "n", "t"), ""]),
-        _entries(rows, 1, [F.format_string("L%d\t%d tok\t%s", "lineno", "tokens", "classification"), F.concat(F.lit("  "), "raw"), ""]),
-        _block(whole, 2, ["--- Subtotals (by LineClassifier bucket) ---"]),
-        _block(reports.text_word_groups(events), 3, [F.format_string("%s: %d tokens", label[F.col("bucket")], "tokens")], order),
-        _block(rest.agg(F.count("*").alias("n")).where("n > 0"), 4, ["", "--- other (by classification) ---"]),
-        _block(rest, 5, [F.format_string("  %s: %d tokens", "classification", "tokens")], F.array_position(F.array(*[F.lit(c) for c in sorted(R.CATEGORIES)]), F.col("classification"))),
-        _block(whole, 6, ["", F.format_string("Total text_words: %d", "t")]),
-    )
+    """Lines, classes, groups and the total come from one aggregation by grouping sets, so that the events are read once."""
+    spark, kind = events.sparkSession, "doc_id long, lineno long, raw string, tokens long, classification string"
+    none = spark.createDataFrame([(None, None, None, 0, c) for c in ("book_title", "colophon", "other")], kind).withColumn("real", F.lit(0))  # each group is listed even at 0
+    rows = reports.text_word_lines(events).withColumn("real", F.lit(1)).unionByName(none).withColumn("bucket", reports.text_word_bucket())
+    keys = [F.col(c) for c in ("doc_id", "lineno", "raw", "bucket", "classification")]
+    line, by_class, by_bucket = keys, keys[3:], keys[3:4]
+    level = {"line": 0, "class": 0b11100, "bucket": 0b11101, "all": 0b11111}  # bits of the keys that a level leaves out
+    found = rows.groupingSets([line, by_class, by_bucket, []], *keys).agg(F.sum("tokens").alias("t"), F.sum("real").alias("n"), F.grouping_id().alias("level"))
+    order = lambda names, c: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
+    label, other = F.create_map(*[F.lit(x) for kv in BUCKETS.items() for x in kv]), (F.col("bucket") == "other") & (F.col("n") > 0)
+    printed = {
+        "line": ((1, [F.format_string("L%d\t%d tok\t%s", "lineno", "t", "classification"), F.concat(F.lit("  "), "raw"), ""], F.col("doc_id"), F.col("lineno")),),
+        "class": ((5, [F.format_string("  %s: %d tokens", "classification", "t")], order(sorted(R.CATEGORIES), "classification"), 0),),
+        "bucket": ((3, [F.format_string("%s: %d tokens", label[F.col("bucket")], "t")], order(BUCKETS, "bucket"), 0), (4, [F.when(other, ""), F.when(other, "--- other (by classification) ---")], 0, 0)),
+        "all": ((0, [F.format_string("Lines contributing to text_words (%d lines, %d tokens)", "n", "t"), ""], 0, 0), (2, ["--- Subtotals (by LineClassifier bucket) ---"], 0, 0), (6, ["", F.format_string("Total text_words: %d", "t")], 0, 0)),
+    }
+    real = {"line": F.col("n") > 0, "class": other, "bucket": F.lit(True), "all": F.lit(True)}
+    lines = F.coalesce(*[F.when((F.col("level") == level[name]) & real[name], F.concat(*[_numbered(*x) for x in parts])) for name, parts in printed.items()])
+    return found.select(F.explode(lines).alias("x")).select("x.*").where("report_line is not null")
+
+
+def _numbered(part: int, lines: list[Column | str], doc_id: Column | int, lineno: Column | int) -> Column:
+    """The lines that a row prints, as an array of the report's rows."""
+    at = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
+    return F.array(*[F.struct(F.lit(part).alias("part"), at(doc_id).alias("doc_id"), at(lineno).alias("lineno"), F.lit(k).alias("k"), (F.lit(x) if isinstance(x, str) else x).alias("report_line")) for k, x in enumerate(lines)])
 
 
 def psalm_headings_report(events: DataFrame) -> DataFrame:
@@ -136,14 +151,18 @@ def psalm_debug_report(events: DataFrame) -> DataFrame:
     return _entries(reports.psalm_debug(events), 0, [*lines, ""])
 
 
+def _leading_number(text: str) -> int:
+    """The number that a text begins with, 0 if there is none."""
+    found = re.match(r"\s*([+-]?[0-9]+(?:_[0-9]+)*)", text)
+    return int(found[1]) if found else 0
+
+
 def command_report(lines: DataFrame, command: str = "totals", *args: str) -> DataFrame:
-    """The text of one command line; raises ValueError for what it cannot mean."""
+    """The text of one command line, an unknown command like none; raises ValueError for what a known one cannot mean."""
     from .machine import events as events_of
 
     events = events_of(lines)
     booked = books.with_book(events)
-    if command == "totals":
-        return totals_report(events)
     if command == "chapter":
         if len(args) < 2:
             raise ValueError("Usage: chapter <Book Name> <Chapter Number>")
@@ -153,7 +172,7 @@ def command_report(lines: DataFrame, command: str = "totals", *args: str) -> Dat
     if command == "chapters-divisible-by-7":
         return divisible_report(books.with_chapter(booked))
     if command == "line-samples":
-        return samples_report(lines, int(args[0]) if args and args[0].isdigit() else 3)
+        return samples_report(lines, _leading_number(args[0]) if args else 0)
     if command == "text-words-debug":
         return text_words_report(events)
     if command == "psalm-heading-words-debug":
@@ -166,4 +185,4 @@ def command_report(lines: DataFrame, command: str = "totals", *args: str) -> Dat
         return numeric_chapters_report(events)
     if command == "psalm-debug":
         return psalm_debug_report(events)
-    raise ValueError(f"unknown command: {command}")
+    return totals_report(events)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions import text as T
-from .machine import by_line
+from . import chunks
+from .machine import by_line, in_chunks
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -38,9 +39,13 @@ def with_implicit(events: DataFrame) -> DataFrame:
 
 
 def psalms_unclassified(events: DataFrame) -> DataFrame:
-    """Both ends are read off a window of the document, so its lines are scanned once and joined with nothing."""
-    first = lambda line: F.min(F.when(F.col("stripped") == line, F.col("lineno"))).over(Window.partitionBy("doc_id"))
-    e = with_implicit(events).withColumns({"_a": first(R.PSALMS_START), "_b": first(R.PSALMS_END)})
+    """Both ends are read off a window of the document, or of its chunks' rows, so its lines are joined with nothing else."""
+    e = with_implicit(events)
+    ends = {"_a": F.when(F.col("stripped") == R.PSALMS_START, F.col("lineno")), "_b": F.when(F.col("stripped") == R.PSALMS_END, F.col("lineno"))}
+    if in_chunks(e):
+        e = chunks.carried(e, {f"least{k}": F.min(c) for k, c in ends.items()}, {k: chunks.anywhere(f"least{k}") for k in ends})
+    else:
+        e = e.withColumns({k: F.min(c).over(Window.partitionBy("doc_id")) for k, c in ends.items()})
     e = e.where("lineno > _a and lineno < _b and not looks_implicit and category = 'unclassified_text'")
     return e.select("doc_id", "lineno", "raw", "prev", "next")
 
@@ -53,10 +58,13 @@ def text_word_lines(events: DataFrame) -> DataFrame:
     return events.where("text_words > 0").select("doc_id", "lineno", "raw", F.col("text_words").alias("tokens"), F.col("category").alias("classification"))
 
 
+def text_word_bucket() -> Column:
+    return F.when(F.col("classification") == "book_title", "book_titles_cover").when(F.col("classification") == "colophon", "colophon").otherwise("other")
+
+
 def text_word_groups(events: DataFrame) -> DataFrame:
     """Three groups, each listed even at 0."""
-    bucket = F.when(F.col("classification") == "book_title", "book_titles_cover").when(F.col("classification") == "colophon", "colophon").otherwise("other")
-    found = text_word_lines(events).groupBy(bucket.alias("bucket")).agg(F.sum("tokens").alias("t"))
+    found = text_word_lines(events).groupBy(text_word_bucket().alias("bucket")).agg(F.sum("tokens").alias("t"))
     dim = events.sparkSession.createDataFrame([("book_titles_cover",), ("colophon",), ("other",)], "bucket string")
     return dim.join(found, "bucket", "left").select("bucket", F.coalesce("t", F.lit(0)).cast("long").alias("tokens"))
 
@@ -77,5 +85,13 @@ def psalm_heading_total(events: DataFrame) -> DataFrame:
 
 def psalm_debug(events: DataFrame) -> DataFrame:
     """Each `PSALM n` line with the next two non-blank lines and their categories."""
-    cols = {f"{c}_{k}": F.lead(c, k).over(by_line()) for k in (1, 2) for c in ("lineno", "stripped", "category", "raw")}
-    return events.withColumns(cols).where(T.is_psalm_title(F.col("stripped"))).select("doc_id", "lineno", "raw", "stripped", "category", *cols)
+    w = by_line(events)
+    have = [F.lead("lineno", k).over(w) for k in (1, 2)]
+    cols = {f"{c}_{k}": F.lead(c, k).over(w) for k in (1, 2) for c in ("lineno", "stripped", "category", "raw")}
+    if in_chunks(events):
+        e = events.withColumns({"_1": have[0], "_2": have[1], **cols})
+        cols = {name: F.coalesce(F.col(name), chunks.following(int(name[-1]), [F.col("_1"), F.col("_2")], F.col("follow"), name[:-2])) for name in cols}
+        events = e.withColumns(cols)
+    else:
+        events = events.withColumns(cols)
+    return events.where(T.is_psalm_title(F.col("stripped"))).select("doc_id", "lineno", "raw", "stripped", "category", *cols)

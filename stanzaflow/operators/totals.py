@@ -35,6 +35,16 @@ def per_document(events: DataFrame) -> DataFrame:
     return finished(events.groupBy("doc_id").agg(*sums()))
 
 
+def grains(located: DataFrame) -> DataFrame:
+    """The counters at every grain from one aggregation: grain is `all`, `document`, `book` or `chapter`; keys that a grain lacks are null. No events, no rows."""
+    keys = [F.col(c) for c in ("doc_id", "book", "chapter")]
+    sets = {"all": [], "document": keys[:1], "book": keys[1:2], "chapter": keys[1:]}
+    level = {0b111: "all", 0b011: "document", 0b101: "book", 0b100: "chapter"}  # bits of the keys that a grain leaves out
+    names = F.create_map(*[F.lit(x) for kv in level.items() for x in kv])
+    found = located.groupingSets(list(sets.values()), *keys).agg(*sums(), F.grouping_id().cast("int").alias("level"))
+    return found.select(names[F.col("level")].alias("grain"), "doc_id", "book", "chapter", *R.COUNTERS, combined())
+
+
 def per_book(booked: DataFrame) -> DataFrame:
     return booked.groupBy("book").agg(F.sum("chapter_numbers").alias("chapters"), F.sum("verse_numbers").alias("verses"))
 

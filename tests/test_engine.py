@@ -14,6 +14,7 @@ from stanzaflow import catalog, cli
 from stanzaflow.functions import rules as R
 from stanzaflow.functions import text as T
 from stanzaflow.operators import books, machine, reports, totals
+from stanzaflow.operators.printed import _leading_number
 from stanzaflow.sources.lines import exploded, from_lines
 
 #: lines, kinds, the ten counters in order, combined
@@ -186,7 +187,10 @@ def test_sources_and_cli(spark, tmp_path, capsys):
     assert printed("book-stats-debug", "--all")[-4:] == ["Front matter: chapters 1, verses 1", "", "Canonical books: 66", "Printed all 66 books (+ front matter)."]
     assert printed("chapter", "Song", "of", "Solomon", "1")[:2] == ["Book: Song of Solomon", "Chapter: 1"] and printed("chapter", "1", "samuel", "3")[0] == "Book: 1 Samuel"
     assert printed("chapters-divisible-by-7") == []
-    for bad in (("chapter", "Genesis"), ("chapter", "Genesis", "x"), ("chapter", "No", "Book", "1"), ("unknown",)):
+    assert printed("unknown") == printed()  # as without a command
+    assert printed("line-samples", "²") == printed("line-samples")
+    assert [_leading_number(x) for x in ("2x", " 12 3", "-4", "+5", "x", "²", "", "1_000z", "_1")] == [2, 12, -4, 5, 0, 0, 0, 1000, 0]
+    for bad in (("chapter", "Genesis"), ("chapter", "Genesis", "x"), ("chapter", "Genesis", "²"), ("chapter", "No", "Book", "1")):
         with pytest.raises(ValueError):
             cli.report(spark, path, *bad)
     (tmp_path / "p.txt").write_text("PSALM 3\n\n  LORD, how\n2 Many there be")
