@@ -53,20 +53,18 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing. Also returns the place, for `removed`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    for scope in _scopes[: len(_scopes) - keep][-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """`stored_at` whose rows go with the scope around it."""
-    out, path = stored_at(df, name)
-    for scope in _scopes[: len(_scopes) - keep][-1:]:
-        scope.append(path)
-    return out
+    return stored_at(df, name, keep)[0]
 
 
 def words(text: Column) -> Column:

@@ -6,11 +6,13 @@ by side (the state starts anew at each window, from the left for one direction a
 The squashing function is x / (1 + |x|), seven times cheaper than tanh here; gates are its image in 0..1.
 
 Training sample (documented bound): of the labelled documents outside the held-out fold, at most `PER_LANGUAGE` a language, those of the smallest
-hash of doc_id. Their texts are taken whole, cut into windows as for a prediction; a training step draws languages evenly, in them documents
-evenly, in these windows evenly. Only text and lang are used; lang, source and doc_id are no input of a prediction.
+hash of doc_id. Their whole texts are cut into windows as for a prediction, where they lie; a training step draws languages evenly, in them documents
+evenly, in these windows evenly. Training reads `STEPS` x `BATCH` windows, so of a document with more than its share of them that many are drawn, evenly over the whole text, and
+only these go to the driver: some 5 MB, however long the texts are. Only text and lang are used; lang, source and doc_id are no input of a prediction.
 
 Cases: null text, or text without a letter, is `und` with score 0. Null doc_id counts as held out (never learned from). Null
-lang teaches nothing. With no labelled document at all every text is `und`. Repeated rows are predicted each. Extra columns are
+lang teaches nothing. With no labelled document at all every text is `und`. Equal probabilities: the language
+that sorts first. Repeated rows are predicted each. Extra columns are
 ignored by `predict_languages` and kept by `language_filter`. Of rows that share doc_id and lang the greatest text teaches.
 """
 
@@ -181,23 +183,41 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """Whole texts of at most per_language documents a language, the distinct (lang, doc_id) of smallest hash: a bounded list.
+def _drawn(share: dict[str, int]):
+    """The texts as bytes, or of those with more windows than their language's share so many windows, drawn by the document's hash."""
 
-    Hashes alone are ranked, then the texts at or under each language's last hash are read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            out = []
+            for lang, h, text in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                data, most = _windows([text])[0], share[lang]
+                if len(data) > most:
+                    text = data[np.sort(np.random.default_rng(h & (2**63 - 1)).integers(0, len(data), most))].tobytes()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(out, pa.binary())], ["lang", "h", "windows"])
+
+    return run
+
+
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, draws: int = STEPS * BATCH) -> list[tuple[bytes, str]]:
+    """Windows of at most per_language documents a language, the distinct (lang, doc_id) of smallest hash: a list bounded in bytes.
+
+    Hashes alone are ranked, then the texts at or under each language's last hash are read, and their windows drawn on the executors.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
     # first in each of SALTS parts of a language, so that no task ranks a whole language
     parts = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h")
     top = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language)
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    last = {r["lang"]: r["h"] for r in top.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not last:
+    found = top.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).collect()
+    if not found:
         return []
-    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    bound = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], r["h"])])
+    share = {r["lang"]: -(-draws // (len(found) * r["n"])) for r in found}
     # repeated doc_ids give one text each, reduced where they are read
     texts = known.where(F.col("h") <= F.try_element_at(bound, F.col("lang"))).groupBy("lang", "h").agg(F.max("text").alias("text"))
-    return [(r["text"].encode(), r["lang"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"]))]
+    drawn = texts.mapInArrow(_drawn(share), "lang string, h long, windows binary").collect()
+    return [(bytes(r["windows"]), r["lang"]) for r in sorted(drawn, key=lambda r: (r["lang"], r["h"]))]
 
 
 def _predict(model: dict, batch_chars: int = 4_000_000):
