@@ -1,7 +1,7 @@
 """Corpus pipeline: documents -> quality rules -> language ID -> near-dedup -> secret masking -> packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and its decisions take effect on what its predecessor kept; `run` writes each
-stage as Parquet in the shared folder and reads it again for the next one.
+stage as Parquet in the shared folder and reads it again for the next one; `write` also writes the result and leaves nothing else there.
 
 Cases: rows with a null or empty text, or with fewer than 50 words, fail the first stage; null lang or source form groups of their own there.
 Repeated rows and exact or near copies leave one row. Rows with a null doc_id are judged on their texts like any other and their pieces carry a null doc_id.
@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stanzaflow.llm import language_id, near_dedup, packing, quality_rules, secret_scans
-from stanzaflow.llm.common import scratch, stored, table
+from stanzaflow.llm.common import removed, scratch, stored_at, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -60,8 +60,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces. A stage's folder goes when the next stage is written; the last one's stays for the rows returned, unless a `scratch` scope is open around."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         with scratch(spark):  # a stage's own intermediates go when its rows are written
-            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+            docs, path = stored_at(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes the pieces to path; no folder of a stage stays."""
+    with scratch(spark):
+        run(spark, sf_dir).write.parquet(path)
