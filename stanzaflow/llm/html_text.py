@@ -50,6 +50,11 @@ CUE = re.compile(
     r"\b(?:related|recommended|popular|recent) (?:articles|posts|stories)\b|\Aread more\b|\bpowered by\b|\bleave a (?:reply|comment)\b|\Afiled under\b|\Aposted in\b",
     re.I,
 )
+#: what a lower-cased block must hold for CUE to find anything
+NEEDLES = (
+    "©", "(c)", "copyright ", "all rights reserved", "cookie", "privacy policy", "terms of ", "subscribe ", "newsletter", "sign in", "sign up", "log in to", "login to", "share ", "follow us", "advertisement", "sponsored ",
+    " articles", " posts", " stories", "read more", "powered by", "leave a ", "filed under", "posted in",
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _START = re.compile(r"<(?:!--|(?P<raw>script|style)\b|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])", re.I)
@@ -264,8 +269,13 @@ def rows_of(page: list[tuple[int, int, int, int, int]]) -> list[tuple]:
     return [(*x, *(size[i - 1] if i else none), *(size[i + 1] if i + 1 < len(size) else none), *map(int, page[i][2:5])) for i, x in enumerate(size)]
 
 
+def cue(text: str) -> bool:
+    low = text.lower()
+    return any(n in low for n in NEEDLES) and bool(CUE.search(text))
+
+
 def features_of(blocks: list[tuple[str, int, int, int, bool]]) -> list[tuple]:
-    return rows_of([(*b[1:], bool(CUE.search(b[0]))) for b in blocks])
+    return rows_of([(*b[1:], cue(b[0])) for b in blocks])
 
 
 def labelled(pages: tuple = LABELLED) -> list[tuple]:
