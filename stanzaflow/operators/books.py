@@ -23,23 +23,37 @@ def canonical_name(name: str | None) -> str | None:
     return next((b for b, _, _ in R.CANON if b.lower() == wanted), None)
 
 
-#: a line of the ten before an ambiguous title counts only if it holds a word of the parts looked for; others count as empty, which no part spans
-_WORDS = "|".join(sorted({word for _, only_before, part, _ in R.AMBIGUOUS if not only_before for word in part.split()}))
+TITLES = sorted({line for line, only_before, _, _ in R.AMBIGUOUS if not only_before})
+#: a line of the ten before such a title counts only if it holds a word of the parts looked for; others count as empty, which no part spans
+_WORDS = sorted({word for _, only_before, part, _ in R.AMBIGUOUS if not only_before for word in part.split()})
 
 
-def before_ten(rows: DataFrame, line: Column) -> Column:
-    """The ten non-blank lines before, joined by spaces; line: what stands for a line."""
-    own = F.collect_list(line).over(by_line(rows).rowsBetween(-chunks.BEHIND, -1))
+def before_ten(rows: DataFrame) -> Column:
+    """The ten non-blank lines before, joined by spaces."""
+    own = F.collect_list("stripped").over(by_line(rows).rowsBetween(-chunks.BEHIND, -1))
     if in_chunks(rows):
         both = F.concat(F.col("prior")["stripped"], own)
         own = F.when(F.col("n") <= chunks.BEHIND, F.slice(both, F.greatest(F.lit(1), F.size(both) - chunks.BEHIND + 1), chunks.BEHIND)).otherwise(own)
     return F.concat_ws(" ", own)
 
 
+def before_title(rows: DataFrame) -> Column:
+    """The same for ambiguous titles alone, as far as it matters to them; null for other lines. `hint`: the line, if it holds a word looked for."""
+    w, lines = by_line(rows), []
+    for k in range(chunks.BEHIND, 0, -1):
+        line = F.lag("hint", k).over(w)
+        if in_chunks(rows):
+            line = F.when(F.col("n") > k, line).otherwise(F.get("prior", (F.size("prior") + F.col("n") - k - 1).cast("int"))["stripped"])
+        lines.append(F.coalesce(line, F.lit("")))
+    return F.when(F.col("stripped").isin(*TITLES), F.concat_ws(" ", *lines))
+
+
 def with_book(events: DataFrame, blob: bool = False) -> DataFrame:
     """Adds book (carried forward), book_before (the line before's), and blob (the ten non-blank lines before) if asked for."""
     s = F.col("stripped")
-    e = events.withColumn("blob", before_ten(events, s) if blob else before_ten(events, F.when(s.rlike(_WORDS), s).otherwise("")))
+    hint = F.when(reduce(Column.__or__, [F.contains(s, F.lit(word)) for word in _WORDS]), s)
+    e = events if blob else events.withColumn("hint", hint)
+    e = e.withColumn("blob", before_ten(e) if blob else before_title(e)).drop("hint")
     by_book: dict[str, list[str]] = {}
     for line, book in R.TRIGGERS.items():
         by_book.setdefault(book, []).append(line)

@@ -121,18 +121,32 @@ def unclassified_report(lines: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def comparison_report(booked: DataFrame, show_all: bool = False) -> DataFrame:
-    """part 0: the canon's books, 1: books outside it, 2: the front matter, 3: the closing lines."""
-    rows, extra = totals.comparison(booked, show_all), totals.unexpected(booked)
-    front = F.col("book") == R.FRONT
-    line = F.format_string("%s: chapters %d (expected %d), verses %d (expected %d)", "book", "chapters", "exp_chapters", "verses", "exp_verses")
-    wrong = rows.where(~front).select("book").unionByName(extra.select("book")).agg(F.count("*").alias("n"))
-    last = F.lit(f"Printed all {len(R.CANON)} books (+ front matter).") if show_all else F.format_string("Mismatches vs canon: %d", "n")
-    return _report(
-        _block(rows.where(~front), 0, [line], F.col("ord")),
-        _block(extra, 1, [F.format_string("%s: chapters %d, verses %d (unexpected book bucket)", "book", "chapters", "verses")], 0, F.row_number().over(Window.orderBy("book")) - 1),
-        _block(rows.where(front), 2, [F.format_string("%s: chapters %d, verses %d", "book", "chapters", "verses")]),
-        _block(wrong, 3, ["", f"Canonical books: {len(R.CANON)}", last]),
+    """part 0: the canon's books, 1: books outside it, 2: the front matter, 3: the closing lines.
+
+    Books are counted once and joined with the canon; the closing lines are a grouping set over these rows, one a book.
+    """
+    side = books.canon(booked.sparkSession).select("ord", "book", F.col("chapters").alias("exp_chapters"), F.col("verses").alias("exp_verses"))
+    found, front = totals.per_book(booked).where("book is not null"), F.col("book") == R.FRONT
+    if show_all:
+        side = side.unionByName(booked.sparkSession.sql(f"select 0 ord, '{R.FRONT}' book, 0 exp_chapters, 0 exp_verses"))
+    else:
+        found = found.where(~front)
+    rows = side.join(found, "book", "full").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("chapters", "verses")})
+    rows = rows.withColumn("part", F.when(front, 2).when(F.col("ord").isNull(), 1).otherwise(0))
+    extra, wrong = F.col("part") == 1, (F.col("chapters") != F.col("exp_chapters")) | (F.col("verses") != F.col("exp_verses"))
+    texts = (
+        F.when(front, F.format_string("%s: chapters %d, verses %d", "book", "chapters", "verses"))
+        .when(extra, F.format_string("%s: chapters %d, verses %d (unexpected book bucket)", "book", "chapters", "verses"))
+        .when(F.lit(show_all) | wrong, F.format_string("%s: chapters %d (expected %d), verses %d (expected %d)", "book", "chapters", "exp_chapters", "verses", "exp_verses"))
     )
+    place = F.when(extra, F.row_number().over(Window.partitionBy("part").orderBy("book")) - 1).otherwise(0)  # rows are books
+    rows = rows.select("part", F.when(F.col("part") == 0, F.col("ord")).otherwise(0).cast("long").alias("doc_id"), place.cast("long").alias("lineno"), texts.alias("report_line"), (extra | wrong).cast("int").alias("wrong"))
+    keys = [F.col(c) for c in COLUMNS if c != "k"]
+    rows = rows.groupingSets([keys, []], *keys).agg(F.sum("wrong").alias("n"), F.grouping_id().alias("level"))
+    last = F.lit(f"Printed all {len(R.CANON)} books (+ front matter).") if show_all else F.format_string("Mismatches vs canon: %d", "n")
+    book = F.array(F.struct("part", "doc_id", "lineno", F.lit(0).alias("k"), "report_line"))
+    lines = F.when(F.col("level") == 0, book).otherwise(_numbered(3, ["", f"Canonical books: {len(R.CANON)}", last], 0, 0))
+    return rows.select(F.explode(lines).alias("x")).select("x.*").where("report_line is not null")
 
 
 def numeric_chapters_report(events: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from test_engine import SAMPLES, sequential
 
 from stanzaflow import cli
 from stanzaflow.functions import rules as R
-from stanzaflow.operators import books, chunks, machine, reports
-from stanzaflow.operators.printed import command_report, in_order, numeric_chapters_report, text_words_report
+from stanzaflow.operators import books, chunks, machine, reports, totals
+from stanzaflow.operators.printed import command_report, comparison_report, in_order, numeric_chapters_report, text_words_report
 from stanzaflow.plans import shaped
 from stanzaflow.sources import lines as lines_of
 from stanzaflow.sources.lines import from_text_files
@@ -172,3 +172,25 @@ def test_joined_numbers_lines(spark):
     got = lines_of.joined(spark.createDataFrame(rows[::-1], "doc_id long, lineno long, raw string"), 4).orderBy("lineno").collect()
     assert [(r.lineno, r.raw, r.chunk) for r in got] == [(k, raw, (k - 1) // 4) for k, (_, _, raw) in enumerate(rows, 1)]
     assert lines_of.joined(spark.createDataFrame([], "doc_id long, lineno long, raw string"), 4).count() == 0
+
+
+def test_comparison_counts_books_once(one):
+    """The printed comparison adds one window, over books, and one join to what books need."""
+    booked = books.with_book(machine.events(one))
+    plan, base = (d._jdf.queryExecution().executedPlan().toString() for d in (comparison_report(booked), totals.per_book(booked)))
+    assert plan.count("Window [") == base.count("Window [") + 1 and plan.count("Join") == 1 and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_parts_before_a_title_over_lines(spark):
+    """A part that spans lines, lines between, the tenth and the eleventh line before; whole and in chunks."""
+    title, part, fill = "TIMOTHY.", "SECOND EPISTLE OF PAUL THE APOSTLE TO", "of no use"
+    cases = [
+        ([part, title], "2 Timothy"), (["SECOND EPISTLE OF", "PAUL THE", "APOSTLE TO", title], "2 Timothy"), (["SECOND EPISTLE OF", fill, "PAUL THE APOSTLE TO", title], R.FRONT),
+        ([part, *[fill] * 9, title], "2 Timothy"), ([part, *[fill] * 10, title], R.FRONT), (["", part, " ", *[fill] * 9, "", title], "2 Timothy"), ([title, part], R.FRONT),
+        (["x SECOND EPISTLE OF PAUL", "THE APOSTLE TO y", title], "2 Timothy"), (["THE FIRST EPISTLE GENERAL OF", "JOHN.", "PETER."], "1 Peter"),
+    ]
+    rows = [(d, i, raw) for d, (text, _) in enumerate(cases) for i, raw in enumerate(text, 1)]
+    lines = spark.createDataFrame(rows, "doc_id long, lineno long, raw string")
+    for given in (lines, chunks.numbered(lines, 1), chunks.numbered(lines, 3)):
+        got = books.with_book(machine.events(given)).groupBy("doc_id").agg(F.max_by("book", "lineno").alias("book")).collect()
+        assert {r.doc_id: r.book for r in got} == {d: book for d, (_, book) in enumerate(cases)}
