@@ -4,7 +4,7 @@
    and a value; a bin keeps its least (round, value). The first COORDS rounds place shingles at random, the next
    COORDS rounds send all shingles to one bin each, so every coordinate is filled for any set that isn't empty, and
    most sets need one or two rounds.
-2. Equal sets collapse to one node (a 64-bit hash of the whole set).
+2. Equal sets, known by a 128-bit hash of the whole set (its sign), collapse to one node; nodes are numbered as they are written.
 3. Banding: each node has one key per band of coordinates. Buckets with two nodes or more are compared in blocks (see `grouped`), and each
    block gives a spanning forest of the pairs whose sketches agree enough: at most one edge fewer than it has nodes, never
    all pairs. `MARGIN` below the threshold is over five standard deviations of the estimate.
@@ -89,21 +89,21 @@ def _sketches(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for b in small(batches):
-            n, node, low, keys = [], [], [], []
+            n, sign, low, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, k)
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), low.append(None), keys.append(None)
+                    sign.append(None), low.append(None), keys.append(None)
                     continue
                 c = sketch(s)
-                node.append(int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64)))
+                sign.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low.append(_mix(c).astype(np.uint8).tobytes())
                 x, key = c[: bands * rows].reshape(bands, rows), salt
                 for j in range(rows):
                     key = _mix(key + x[:, j])
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sum"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sum", "n_shingles", "node", "low", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sum"), pa.array(n, pa.int64()), pa.array(sign, pa.binary()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sum", "n_shingles", "sign", "low", "keys"])
 
     return run
 
@@ -162,11 +162,10 @@ def _verified(k: int, num: int):
         import xxhash
 
         for g in groups(batches, ["comp", "i", "j"]):
-            sets, node, want = [], [], g.column("node").to_pylist()
-            for t, w in zip(g.column("text").to_pylist(), want):
+            sets, node = [], []
+            for t, sign, id_ in zip(g.column("text").to_pylist(), g.column("sign").to_pylist(), g.column("node").to_pylist()):
                 s = shingle_set(t, k)
-                id_ = int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
-                if id_ == w and id_ not in node[-1:]:
+                if xxhash.xxh3_128_digest(s.tobytes()) == sign and id_ not in node[-1:]:
                     sets.append(s)
                     node.append(id_)
             if len(node) < 2:
@@ -250,40 +249,43 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, k: int, num: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and (node, comp) of the nodes in components of two or more."""
+    """(doc_id, n_shingles, sign) of every row, and (sign, first, comp) of every node: its least doc_id and its component."""
     bands, rows = BANDS[num]
-    kind = "doc_id long, sum long, n_shingles long, node long, low binary, keys array<bigint>"
+    kind = "doc_id long, sum long, n_shingles long, sign binary, low binary, keys array<bigint>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sum"))
     made = stored(texts.mapInArrow(_sketches(k, bands, rows), kind), "sketches")
     with scratch(docs.sparkSession):
-        ids = made.where("doc_id is not null and node is not null")
+        ids = made.where("doc_id is not null and sign is not null")
         # One row a node, its least doc_id with its sketch (ties: any, they carry the same one); copies collapse before the shuffle.
-        rep = ids.groupBy("node").agg(F.min(F.struct("doc_id", "sum", "n_shingles", "low", "keys")).alias("r"))
-        rep = stored(rep.select("node", F.col("r.doc_id").alias("rep"), "r.sum", "r.n_shingles", "r.low", "r.keys"), "nodes")
+        rep = ids.groupBy("sign").agg(F.min(F.struct("doc_id", "sum", "n_shingles", "low", "keys")).alias("r"))
+        # The numbers hold because they are written once: what a lost task had not committed, another numbers again.
+        rep = stored(rep.select(F.monotonically_increasing_id().alias("node"), "sign", F.col("r.doc_id").alias("rep"), "r.sum", "r.n_shingles", "r.low", "r.keys"), "nodes")
         nodes = rep.select("node", F.explode(F.array_distinct("keys")).alias("key"))
         sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
         crowd = nodes.join(sizes.where("n > 1"), "key").join(rep.select("node", "low"), "node")
         comps = stored(grouped(stored(crowd.select("key", "node", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), "low"), "crowd"), "key", _alike(num / 100 - MARGIN)), "candidates")
         # blocks of texts are bounded by their rows and by what their sets hold
-        sized = comps.join(rep.select("node", "rep", "sum", "n_shingles"), "node")
+        sized = comps.join(rep.select("node", "sign", "rep", "sum", "n_shingles"), "node")
         most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
         stats = sized.groupBy("comp").agg(F.count("*").alias("n"), most.alias("blocks"))
         # texts are merged at every size: a member table small enough to broadcast today is not so tomorrow
         member = sized.join(stats, "comp").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), ["rep", "sum"])
         # a row that is repeated brings its text as often; one a node goes on
-        member = stored(member.groupBy("comp", "node", "n", "blocks").agg(F.first("text").alias("text")), "members")
-        links = stored(grouped(member, "comp", _verified(k, num)), "linked", keep=True)
-    return made.select("doc_id", "n_shingles", "node"), links
+        member = stored(member.groupBy("comp", "node", "sign", "n", "blocks").agg(F.first("text").alias("text")), "members")
+        links = grouped(member, "comp", _verified(k, num))
+        of = rep.select("node", "sign", F.col("rep").alias("first")).join(links, "node", "left")
+        of = stored(of.select("sign", "first", F.coalesce("comp", "node").alias("comp")), "linked", keep=True)
+    return made.select("doc_id", "n_shingles", "sign"), of
 
 
 def components(docs: DataFrame, k: int = 3, num: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links have 100 * intersection >= num * union."""
-    rows, comps = linked(docs, k, num)
-    first = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    of = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows, of = linked(docs, k, num)
     least = of.groupBy("comp").agg(F.min("first").alias("component_id"))
-    label = of.join(least, "comp").select("node", "component_id")
-    out = rows.join(label, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    label = of.join(least, "comp").select("sign", "component_id")
+    # rows without a sign have nothing to look up, and would all meet in one task
+    out = rows.where("sign is not null").join(label, "sign", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).drop("sign")
+    out = out.unionByName(rows.where("sign is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
@@ -295,8 +297,8 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
     found, comps = linked(rows.select(F.col("_row").alias("doc_id"), F.col("doc.text").alias("text")), k, num)
     ids = rows.select("_row", F.col("doc.doc_id").alias("id"))
-    of = found.select(F.col("doc_id").alias("_row"), "node").join(ids, "_row").join(comps, "node", "left")
+    of = found.select(F.col("doc_id").alias("_row"), "sign").join(ids, "_row")
     first = F.struct(F.col("id").isNull(), "id", "_row").alias("f")
-    one = of.where("node is not null").groupBy(F.coalesce("comp", "node")).agg(F.min(first).alias("f")).select(F.col("f._row").alias("_keep"))
-    kept = one.unionByName(of.where("node is null and id is not null").select(F.col("_row").alias("_keep")))
+    one = of.where("sign is not null").join(comps.select("sign", "comp"), "sign").groupBy("comp").agg(F.min(first).alias("f")).select(F.col("f._row").alias("_keep"))
+    kept = one.unionByName(of.where("sign is null and id is not null").select(F.col("_row").alias("_keep")))
     return rows.join(kept, rows["_row"] == kept["_keep"], "left_semi").select("doc.*")

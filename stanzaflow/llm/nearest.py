@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 7).
 
 1. A tree of k-means splits is fitted on the driver to a bounded sample, `SAMPLE` vectors on average: each row is in it or not by a draw of its own, so nothing
-   is sorted for it. Leaves hold about `LEAF` rows each at the table's size. Every row goes down the tree to its leaf.
+   is sorted for it. Leaves hold about `LEAF` rows each while the sample has eight rows a leaf or more, so up to about a million vectors; above that the tree
+   stays as large as the sample allows and leaves grow with the table, which step 4 bounds by blocks. Every row goes down the tree to its leaf.
 2. Queries visit leaves best-bin-first: a priority queue over tree nodes, ordered by distance to the node's centre.
 3. Calibration: for `PROBES` rows of the sample the exact neighbours are found against all rows, and the number of leaves to visit widens until `RECALL`
    of them lie in visited leaves. That number holds for all queries.
@@ -103,8 +104,8 @@ def _unit(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, n, x / n[:, None]
 
 
-def _best(q, qn, qu, q_id, x, n, u, ids, k: int) -> list[tuple[int, int, float]]:
-    """(query, vec_id, exact score) of each query's k best among x."""
+def _best(q, qn, qu, q_id, x, n, u, ids, k: int) -> list[tuple[int, int, float, int]]:
+    """(query, vec_id, exact score, row of x) of each query's k best among x."""
     out = []
     for s in range(0, len(q), 256):
         near = qu[s : s + 256] @ u.T
@@ -114,7 +115,7 @@ def _best(q, qn, qu, q_id, x, n, u, ids, k: int) -> list[tuple[int, int, float]]
             c = np.flatnonzero((row >= cut - 1e-9) & (row > -np.inf))
             score = (x[c] * q[i]).sum(1) / (n[c] * qn[i])
             for j in np.lexsort((ids[c], -score))[:k]:
-                out.append((int(q_id[i]), int(ids[c[j]]), float(score[j])))
+                out.append((int(q_id[i]), int(ids[c[j]]), float(score[j]), int(c[j])))
     return out
 
 
@@ -182,8 +183,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
             x, n, u = _unit(b.column("embedding"))
             ids = b.column("vec_id").to_numpy()
             found = _best(p, pn, p / pn[:, None], p_id, x, n, u, ids, k)
-            leaf_of = dict(zip(ids.tolist(), b.column("leaf").to_pylist()))
-            yield _pairs(found, [leaf_of[f[1]] for f in found])
+            leaf = b.column("leaf").to_pylist()  # by row: rows that repeat a vec_id may lie in different leaves
+            yield _pairs([f[:3] for f in found], [leaf[f[3]] for f in found])
 
     truth = _ranked(rows.mapInArrow(exact, PAIRS + ", leaf long"), k).select("query_id", "leaf").collect()  # k rows a probe
     order = {i: {x: r for r, x in enumerate(tree.visits(v, tree.leaves), 1)} for i, v in zip(p_id.tolist(), p / pn[:, None])}
@@ -212,7 +213,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
             if asks.any() and not asks.all():
                 x, n, u = _unit(g.column("embedding"))
                 ids = g.column("vec_id").to_numpy()
-                held += _best(x[asks], n[asks], u[asks], ids[asks], x[~asks], n[~asks], u[~asks], ids[~asks], k)
+                held += [f[:3] for f in _best(x[asks], n[asks], u[asks], ids[asks], x[~asks], n[~asks], u[~asks], ids[~asks], k)]
                 if len(held) > HELD:
                     held = _combined(held, k)
                     if len(held) > HELD // 2:
