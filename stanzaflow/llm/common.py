@@ -84,22 +84,27 @@ def small(batches, rows: int = 256):
             yield b.slice(s, rows)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, across batches; rows come sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows with equal keys, each inside one batch, with these keys."""
     for b in batches:
         if not b.num_rows:
             continue
         cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
         for s, e in zip([0, *new], [*new, b.num_rows]):
-            now = tuple(c[s] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(s, e - s))
-            last = now
+            yield tuple(c[s] for c in cols), b.slice(s, e - s)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, across batches; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for now, part in runs(batches, keys):
+        if held and now != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+        last = now
     if held:
         yield pa.Table.from_batches(held)
 

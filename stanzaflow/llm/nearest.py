@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 7).
 
 1. A tree of k-means splits is fitted on the driver to a bounded sample, `SAMPLE` vectors on average: each row is in it or not by a draw of its own, so nothing
-   is sorted for it. Leaves hold about `LEAF` rows each while the sample has eight rows a leaf or more, so up to about a million vectors; above that the tree
-   stays as large as the sample allows and leaves grow with the table, which step 4 bounds by blocks. Every row goes down the tree to its leaf.
+   is sorted for it. Leaves hold about `LEAF` rows each while the sample has eight rows a leaf or more, so up to about a million vectors; above  Every row goes down the tree to its leaf.
 2. Queries visit leaves best-bin-first: a priority queue over tree nodes, ordered by distance to the node's centre.
 3. Calibration: for `PROBES` rows of the sample the exact neighbours are found against all rows, and the number of leaves to visit widens until `RECALL`
    of them lie in visited leaves. That number holds for all queries.
-4. Visited (query, leaf) pairs meet the leaf's vectors in blocks of bounded size, each block gives a query's best few,
-   and the best of these are ranked with exact scores.
+4. Leaves lie side by side on shelves of `SHELF` bytes of vectors at most (a leaf may span several). A query goes once to each shelf that holds a leaf it visits,
+   with a bit for each leaf there. A task holds one shelf; queries stream by in slices of `SLICE` and keep their best few, with exact scores, from leaf to leaf.
+   The best of all shelves are ranked. So no task's memory depends on the number of queries or visits.
 
 Scores are cosines in double precision of the original vectors, each summed in the same order wherever it is computed, so equal vectors
 tie exactly and ties go to the smaller vec_id.
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import groups, small, stored, wide
+from .common import runs, small, stored, wide
 
-SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, HELD, SEED = 20_000, 400, 8, 200, 0.97, 2_000, 100_000, 3
+SAMPLE, LEAF, BRANCH, PROBES, RECALL, BLOCK, SEED = 20_000, 400, 8, 200, 0.97, 2_000, 3
+SHELF, SLICE = 16 << 20, 512
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -98,8 +99,11 @@ class Tree:
         return out
 
 
-def _unit(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.array(col.to_pylist(), np.float64).reshape(len(col), -1)
+def _unit(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of one dimension without nulls, their lengths, and their directions."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    x = col.flatten().to_numpy(zero_copy_only=False)
+    x = x.reshape(len(col), len(x) // max(1, len(col)))
     n = np.sqrt((x * x).sum(1))
     return x, n, x / n[:, None]
 
@@ -119,15 +123,35 @@ def _best(q, qn, qu, q_id, x, n, u, ids, k: int) -> list[tuple[int, int, float,
     return out
 
 
-def _combined(pairs: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
-    """Each query's k best pairs."""
-    out, last, n = [], None, 0
-    for p in sorted(pairs, key=lambda p: (p[0], -p[2], p[1])):
-        n = n + 1 if p[0] == last else 1
-        last = p[0]
-        if n <= k:
-            out.append(p)
-    return out
+def _met(q, qn, qu, q_id, seen, leaves, k: int) -> pa.RecordBatch:
+    """Each query's k best of the leaves it visits; seen: query x leaf, leaves: (x, n, u, ids) of each."""
+    best, found = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+    step = max(1, (1 << 20) // max(1, q.shape[1]))
+    for j, leaf in enumerate(leaves):
+        asks = np.flatnonzero(seen[:, j])
+        for s in range(0, len(leaf[0]) if len(asks) else 0, BLOCK):
+            x, n, u, ids = (c[s : s + BLOCK] for c in leaf)
+            near = qu[asks] @ u.T
+            near[q_id[asks, None] == ids[None, :]] = -np.inf
+            cut = best[asks, -1] - 1e-9
+            more = near.max(1) >= cut
+            go, near, cut = asks[more], near[more], cut[more]
+            if near.shape[1] > k and len(go):
+                cut = np.maximum(cut, np.partition(near, -k, axis=1)[:, -k] - 1e-9)
+            r, c = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
+            if not len(r):
+                continue
+            parts = [(r[a : a + step], c[a : a + step]) for a in range(0, len(r), step)]
+            score = np.concatenate([(x[b] * q[go[a]]).sum(1) / (n[b] * qn[go[a]]) for a, b in parts])
+            who, score, ids = np.r_[go[r], np.repeat(go, k)], np.r_[score, best[go].ravel()], np.r_[ids[c], found[go].ravel()]
+            order = np.lexsort((ids, -score, who))
+            who = who[order]
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            rank = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+            kept = rank < k
+            best[who[kept], rank[kept]], found[who[kept], rank[kept]] = score[order[kept]], ids[order[kept]]
+    r, c = np.nonzero(best > -np.inf)
+    return pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(found[r, c]), pa.array(best[r, c])], ["query_id", "vec_id", "score"])
 
 
 PAIRS = "query_id long, vec_id long, score double"
@@ -191,34 +215,52 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5, leaf: int = LEAF, r
     needed = sorted(order[t["query_id"]][t["leaf"]] for t in truth) or [1]
     visits = needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]
 
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    q = usable(queries, size)[0].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n = np.zeros(tree.leaves, np.int64)
+    for r in rows.groupBy("leaf").count().collect():  # a row a leaf, bounded by the sample
+        n[r["leaf"] - 1] = r["count"]
+    per = max(1, min(SHELF // (8 * size), max(BLOCK, -(-total // wide(spark)))))
+    begin, shelves = np.cumsum(n) - n, -(-total // per)
+    spans = [(int(np.searchsorted(begin + n, s * per, "right")), int(np.searchsorted(begin, (s + 1) * per))) for s in range(shelves)]  # leaves of a shelf
+    q = usable(queries, size)[0].repartition(wide(spark), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 512):
-            u = _unit(b.column("embedding"))[2]
-            go = [tree.visits(v, visits) for v in u]
-            at = np.repeat(np.arange(len(go)), [len(g) for g in go])
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), b.column("embedding").take(pa.array(at)), pa.array([x for g in go for x in g], pa.int64())], ["vec_id", "embedding", "leaf"])
-
-    asked = q.mapInArrow(ask, "vec_id long, embedding array<double>, leaf long").join(sizes, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding", F.lit(True).alias("query"))
-    kept = rows.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("at"), F.col("blocks")).alias("block"), "vec_id", "embedding", F.lit(False).alias("query"))
-    met = asked.unionByName(kept).repartition(wide(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "query", "vec_id")
+        for b in small(batches, SLICE):
+            seen = np.zeros((b.num_rows, tree.leaves), bool)
+            for i, v in enumerate(_unit(b.column("embedding"))[2]):
+                seen[i, np.array(tree.visits(v, visits)) - 1] = True
+            seen &= n > 0
+            for s, (lo, hi) in enumerate(spans):
+                go = np.flatnonzero(seen[:, lo:hi].any(1))
+                bits = [x.tobytes() for x in np.packbits(seen[go, lo:hi], axis=1)]
+                at = pa.array(go, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(go), pa.int64()), b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(bits, pa.binary())], ["shelf", "vec_id", "embedding", "seen"])
+
+    asked = q.mapInArrow(ask, "shelf long, vec_id long, embedding array<double>, seen binary").select("shelf", F.lit(True).alias("query"), "vec_id", "embedding", F.lit(0).cast("long").alias("leaf"), "seen")
+    places = spark.createDataFrame([(i, int(a), int(c)) for i, (a, c) in enumerate(zip(begin, n), 1) if c], "leaf long, begin long, n long")
+    kept = rows.join(F.broadcast(places), "leaf").withColumn("shelf", F.floor((F.col("begin") + F.pmod(F.xxhash64("at"), F.col("n"))) / per))
+    kept = kept.select("shelf", F.lit(False).alias("query"), "vec_id", "embedding", "leaf", F.lit(None).cast("binary").alias("seen"))
+    met = asked.unionByName(kept).repartitionById(shelves, F.col("shelf").cast("int")).sortWithinPartitions("shelf", "query")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, float]] = []  # combined inside the task: a query's k best of all leaves seen here
-        for g in groups(batches, ["leaf", "block"]):
-            asks = g.column("query").to_numpy()
-            if asks.any() and not asks.all():
-                x, n, u = _unit(g.column("embedding"))
-                ids = g.column("vec_id").to_numpy()
-                held += [f[:3] for f in _best(x[asks], n[asks], u[asks], ids[asks], x[~asks], n[~asks], u[~asks], ids[~asks], k)]
-                if len(held) > HELD:
-                    held = _combined(held, k)
-                    if len(held) > HELD // 2:
-                        yield _pairs(held)
-                        held = []
-        yield _pairs(_combined(held, k))
+        held: list[pa.RecordBatch] = []  # of the shelf
+        shelf, leaves = None, []
+        for (at, asks), part in runs(batches, ["shelf", "query"]):
+            if at != shelf:
+                shelf, held, leaves = at, [], []
+            lo, hi = spans[at]
+            if not asks:
+                held.append(part)
+                continue
+            if held:
+                t = pa.Table.from_batches(held)
+                held, leaf = [], t.column("leaf").to_numpy()
+                order = np.argsort(leaf, kind="stable")
+                ends = np.searchsorted(leaf[order], np.arange(lo + 1, hi + 2))
+                cols = [c[order] for c in (*_unit(t.column("embedding")), t.column("vec_id").to_numpy())]
+                leaves = [tuple(c[a:b] for c in cols) for a, b in zip(ends, ends[1:])]
+            for b in small([part], SLICE):
+                bits = np.frombuffer(b"".join(b.column("seen").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                x, length, u = _unit(b.column("embedding"))
+                yield _met(x, length, u, b.column("vec_id").to_numpy(), np.unpackbits(bits, axis=1, count=hi - lo).astype(bool), leaves, k)
 
     return _ranked(met.mapInArrow(meet, PAIRS), k).select("query_id", "rank", "vec_id", "score")
