@@ -51,7 +51,7 @@ def _raw_lines(spark, sf_dir):
 
 def _one(spark, sf_dir):
     """The whole corpus as a single document; its chunks are small so that small tables are cut too."""
-    return L.joined(_lines(spark, sf_dir), 2_000)
+    return L.joined(_lines(spark, sf_dir), 2_000, dense=True)
 
 
 def _one_located(spark, sf_dir):

@@ -32,7 +32,7 @@ def before_ten(rows: DataFrame) -> Column:
     """The ten non-blank lines before, joined by spaces."""
     own = F.collect_list("stripped").over(by_line(rows).rowsBetween(-chunks.BEHIND, -1))
     if in_chunks(rows):
-        both = F.concat(F.col("prior")["stripped"], own)
+        both = F.concat(F.transform("prior", chunks.stripped), own)
         own = F.when(F.col("n") <= chunks.BEHIND, F.slice(both, F.greatest(F.lit(1), F.size(both) - chunks.BEHIND + 1), chunks.BEHIND)).otherwise(own)
     return F.concat_ws(" ", own)
 
@@ -43,7 +43,7 @@ def before_title(rows: DataFrame) -> Column:
     for k in range(chunks.BEHIND, 0, -1):
         line = F.lag("hint", k).over(w)
         if in_chunks(rows):
-            line = F.when(F.col("n") > k, line).otherwise(F.get("prior", (F.size("prior") + F.col("n") - k - 1).cast("int"))["stripped"])
+            line = F.when(F.col("n") > k, line).otherwise(chunks.stripped(F.get("prior", (F.size("prior") + F.col("n") - k - 1).cast("int"))))
         lines.append(F.coalesce(line, F.lit("")))
     return F.when(F.col("stripped").isin(*TITLES), F.concat_ws(" ", *lines))
 

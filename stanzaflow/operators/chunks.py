@@ -65,28 +65,28 @@ def _entered(folded: Column) -> Column:
 
 
 def entry_states(maps: DataFrame) -> DataFrame:
-    """(doc_id, chunk, turn) -> (doc_id, chunk, entry): a scan in two levels, over blocks of BLOCK chunks and inside each."""
-    in_order = lambda key: F.array_sort(F.collect_list(F.struct(key, "turn")))
-    blocks = maps.withColumn("block", F.floor((F.row_number().over(by_chunk()) - 1) / BLOCK)).groupBy("doc_id", "block").agg(in_order("chunk").alias("rows"))
-    whole = F.aggregate(F.col("rows")["turn"], _same(), _then)
-    docs = blocks.select("doc_id", "block", whole.alias("turn")).groupBy("doc_id").agg(in_order("block").alias("rows"))
-    begun = docs.select("doc_id", F.explode(F.arrays_zip(F.col("rows")["block"].alias("block"), _entered(F.struct(F.lit(0).alias("state"), F.col("rows")["turn"].alias("maps"))).alias("state"))).alias("x")).select("doc_id", "x.*")
+    """(doc_id, chunk, turn, ...) -> the same with entry: a scan in two levels, over blocks of BLOCK chunks and inside each. The rows pass once, with what they carry."""
+    row = F.struct("chunk", *[c for c in maps.columns if c not in KEYS])
+    blocks = maps.withColumn("block", F.floor((F.row_number().over(by_chunk()) - 1) / BLOCK)).groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    blocks = blocks.withColumn("whole", F.aggregate(F.col("rows")["turn"], _same(), _then))
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("state", F.element_at(F.aggregate(F.collect_list("whole").over(before), _same(), _then), 1))
     inside = _entered(F.struct(F.col("state"), F.col("rows")["turn"].alias("maps")))
-    return blocks.join(begun, ["doc_id", "block"]).select("doc_id", F.explode(F.arrays_zip(F.col("rows")["chunk"].alias("chunk"), inside.alias("entry"))).alias("x")).select("doc_id", "x.*")
+    return blocks.select("doc_id", F.explode(F.arrays_zip(F.col("rows"), inside.alias("entry"))).alias("x")).select("doc_id", "x.rows.*", "x.entry")
 
 
 def summaries(features: DataFrame) -> DataFrame:
     """One row for each chunk with a non-blank line: entry (state), prior (up to BEHIND lines before it, in their order) and follow (up to AHEAD lines after it)."""
     inside = Window.partitionBy(*KEYS)
     w = inside.orderBy("lineno")
-    f = features.withColumns({"kind": _kind(), "n": F.row_number().over(w), "of": F.count("*").over(inside), "opens": F.lead("opens_next").over(w)})
+    f = features.withColumns({"kind": _kind(), "of": F.count("*").over(inside), "opens": F.lead("opens_next").over(w)})
     sure = F.max(F.when((F.col("kind") == 3) | ((F.col("kind") == 4) & F.col("opens")), F.col("n"))).over(inside)  # what comes before a line that leads to one state does not matter
     f = f.withColumn("sure", F.coalesce(sure, F.lit(1)))
-    line = F.struct("n", "lineno", "raw", "stripped", "opens_next", (F.col("stanza") | F.col("title")).alias("sets"))
+    line = F.struct("n", "lineno", "raw", "opens_next", (F.col("stanza") | F.col("title")).alias("sets"))
     gather = lambda when, what: F.array_sort(F.collect_list(F.when(when, what)))
     # at most AHEAD and BEHIND lines, and the kinds after the last sure line
     s = f.groupBy(*KEYS).agg(
-        gather(F.col("n") <= AHEAD, line).alias("head"), gather(F.col("n") > F.col("of") - BEHIND, line).alias("tail"), F.max_by("kind", "n").alias("last"),
+        gather(F.col("n") <= AHEAD, line).alias("head"), gather(F.col("n") > F.col("of") - BEHIND, F.struct("n", "raw")).alias("tail"), F.max_by("kind", "n").alias("last"),
         gather((F.col("n") >= F.col("sure")) & (F.col("n") < F.col("of")), F.struct("n", "kind", "opens")).alias("turns"),
     )
     lines = lambda c, a, b: F.flatten(F.collect_list(c).over(by_chunk().rowsBetween(a, b)))
@@ -95,7 +95,7 @@ def summaries(features: DataFrame) -> DataFrame:
     turn = F.aggregate("turns", _same(), lambda m, x: _then(m, _turn(x["kind"], x["opens"])))
     opens = F.coalesce(F.get("follow", F.lit(0))["opens_next"], F.lit(True))
     s = s.withColumn("turn", _then(turn, _turn(F.col("last"), opens))).select(*KEYS, "prior", "follow", "turn")
-    return s.join(entry_states(s.select(*KEYS, "turn")), list(KEYS)).drop("turn")
+    return entry_states(s).drop("turn")
 
 
 def carried(rows: DataFrame, of_chunk: dict[str, Column], over_chunks: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
@@ -120,8 +120,13 @@ def anywhere(name: str) -> Callable[[WindowSpec], Column]:
     return lambda w: F.min(name).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
+def stripped(line: Column) -> Column:
+    """Of a line carried from another chunk; null where there is none."""
+    return F.when(line["raw"].isNotNull(), T.strip(line["raw"]))
+
+
 def following(k: int, have: list[Column], follow: Column, name: str) -> Column:
     """The k-th line after a line: one of its chunk (`have`: what lead gives for 1, 2, ...), else one of the lines after the chunk."""
     left = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in have), F.lit(0))
     line = F.get(follow, F.lit(k - 1) - left)
-    return T.category(line["stripped"]) if name == "category" else line[name]
+    return T.category(stripped(line)) if name == "category" else stripped(line) if name == "stripped" else line[name]

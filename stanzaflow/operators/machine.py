@@ -25,9 +25,14 @@ def by_line(rows: DataFrame) -> WindowSpec:
 
 
 def features(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with the regex facts, each computed once before any window."""
+    """Non-blank lines with the regex facts, each computed once. Lines in chunks are numbered first: so the exchange moves bare lines, one for all passes over them."""
     c = F.col("stripped")
-    s = lines.withColumn("stripped", T.strip(F.col("raw"))).where("stripped <> ''")
+    s = lines.where(T.strip(F.col("raw")) != "")
+    if in_chunks(s):
+        s = s.where(F.col("doc_id").isNotNull() & F.col("chunk").isNotNull())  # as joins on them would infer for some of the passes, which then shared no exchange
+        w = by_line(s)
+        s = s.withColumns({"n": F.row_number().over(w), "ends": F.lead("lineno", chunks.AHEAD).over(w).isNull()})
+    s = s.withColumn("stripped", T.strip(F.col("raw")))
     s = s.withColumns({"lead": F.regexp_extract(c, R.LEAD, 1), "stanza": T.is_stanza(c), "title": T.is_psalm_title(c), "heading": T.is_heading(c), "tok": T.token_count(c)})
     digits, verse = (F.col("lead") != "") & (F.length("lead") == F.length(c)), (F.col("lead") != "") & (F.length("lead") < F.length(c))
     s = s.withColumns({"digits": digits, "verse": verse})
@@ -51,16 +56,19 @@ def events(lines: DataFrame) -> DataFrame:
     none = F.lit(None)
     if split:
         f = f.join(chunks.summaries(f), list(chunks.KEYS))
+        # only lines at a chunk's ends keep the lines around it, so what is sorted next stays as large as the lines
+        f = f.withColumns({"prior": F.when(F.col("n") <= chunks.BEHIND, F.col("prior")), "follow": F.when(F.col("ends"), F.col("follow"))})
         entry = F.col("entry")
         enters_waiting, digits_before = entry >= 3, F.when(entry == 2, 2).when(entry.isin(1, 4), 1).otherwise(0)
-        after = lambda c: F.get("follow", F.lit(0))[c]
-        ahead = lambda c: F.try_element_at("prior", F.lit(-1))[c]
+        of_line = lambda line, c: chunks.stripped(line) if c == "stripped" else line[c]
+        after = lambda c: of_line(F.get("follow", F.lit(0)), c)
+        ahead = lambda c: of_line(F.try_element_at("prior", F.lit(-1)), c)
     else:
         enters_waiting, digits_before, after, ahead = F.lit(False), F.lit(0), lambda c: none, lambda c: none
     first = lambda *c: F.coalesce(*c) if split else c[0]
     next_ = lambda c, name, at_end: F.coalesce(F.lead(c).over(w), after(name), F.lit(at_end)) if split else F.coalesce(F.lead(c).over(w), F.lit(at_end))
     f = f.withColumns({
-        "n": F.row_number().over(w), "next_opens": next_("opens_next", "opens_next", True), "next_sets": next_(F.col("stanza") | F.col("title"), "sets", False),
+        **({} if split else {"n": F.row_number().over(w)}), "next_opens": next_("opens_next", "opens_next", True), "next_sets": next_(F.col("stanza") | F.col("title"), "sets", False),
         "prev_raw": first(F.lag("raw").over(w), ahead("raw")), "next_raw": first(F.lead("raw").over(w), after("raw")),
         "prev": first(F.lag("stripped").over(w), ahead("stripped")), "next": first(F.lead("stripped").over(w), after("stripped")),
     })

@@ -42,13 +42,15 @@ def from_text_files(spark: SparkSession, path: str) -> DataFrame:
     return lines if largest > share else lines.drop("chunk")
 
 
-def joined(lines: DataFrame, size: int, doc_id: int = 0) -> DataFrame:
+def joined(lines: DataFrame, size: int, doc_id: int = 0, dense: bool = False) -> DataFrame:
     """The lines of all documents, in the order of doc_id and lineno, as one document in chunks of `size` line numbers.
 
     Documents are counted; running sums inside up to PIECES ranges of doc_id and over these ranges give each document the number of its first line.
+    dense: each document's lines are numbered 1, 2, ... as exploded; where no doc_id repeats, which the counts tell, lines are then not shuffled to be numbered.
     """
-    counts = lines.groupBy("doc_id").agg(F.count("*").alias("lines"))
-    bounds = counts.agg(F.percentile_approx("doc_id", [k / PIECES for k in range(1, PIECES)])).first()[0] or []
+    counts = lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("lineno").alias("last"))
+    bounds, once = counts.agg(F.percentile_approx("doc_id", [k / PIECES for k in range(1, PIECES)]), F.every(F.col("lines") == F.col("last"))).first()
+    bounds, counts = bounds or [], counts.drop("last")
     piece = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>"), lambda b: b < F.col("doc_id")))
     inside = Window.partitionBy("piece").orderBy("doc_id")
     counts = counts.withColumn("piece", piece).withColumn("upto", F.sum("lines").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -56,7 +58,7 @@ def joined(lines: DataFrame, size: int, doc_id: int = 0) -> DataFrame:
     pieces = pieces.select("piece", F.coalesce(F.sum("all").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     first = counts.join(F.broadcast(pieces), "piece").select(F.col("doc_id").alias("_doc"), (F.col("base") + F.col("upto") - F.col("lines")).alias("_base"))
     order = Window.partitionBy("doc_id").orderBy("lineno")
-    placed = lines.withColumn("_n", F.row_number().over(order)).join(first, F.col("doc_id") == F.col("_doc"))
+    placed = lines.withColumn("_n", F.col("lineno") if dense and once else F.row_number().over(order)).join(first, F.col("doc_id") == F.col("_doc"))
     placed = placed.select(F.lit(doc_id).cast("long").alias("doc_id"), (F.col("_base") + F.col("_n")).alias("lineno"), "raw")
     return placed.withColumn("chunk", F.floor((F.col("lineno") - 1) / size))
 
