@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 7).
 
 1. A tree of k-means splits is fitted on the driver to a bounded sample, `SAMPLE` vectors on average: each row is in it or not by a draw of its own, so nothing
-   is sorted for it. Leaves hold about `LEAF` rows each while the sample has eight rows a leaf or more, so up to about a million vectors; above  Every row goes down the tree to its leaf.
+   is sorted for it. Leaves hold about `LEAF` rows each while the sample has eight rows a leaf or more, so up to about a million vectors; above that the tree
+   stays as large as the sample allows and leaves grow with the table, which step 4 bounds by shelves. Every row goes down the tree to its leaf.
 2. Queries visit leaves best-bin-first: a priority queue over tree nodes, ordered by distance to the node's centre.
 3. Calibration: for `PROBES` rows of the sample the exact neighbours are found against all rows, and the number of leaves to visit widens until `RECALL`
    of them lie in visited leaves. That number holds for all queries.
